@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhawk.llm import simhash
-from tallyhawk.llm.common import read
+from tallyhawk.llm import ann, embedding_neardup, langid, packing, simhash, toxicity
+from tallyhawk.llm.common import doc_crc, read
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as power-of-two pieces, each a sequence of its own."""
+    return packing.digest(read(spark, sf_dir, "documents"), VOCABULARY, longest=2048)
+
+
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings."""
+    return embedding_neardup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from four folds of five."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = doc_crc(F.col("doc_id"), 5)
+    model = langid.fit(docs, fold != 0)
+    return langid.predicted(docs.drop("lang"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest of every twentieth embedding among all others."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +42,17 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labels of two folds of three."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), doc_crc(F.col("doc_id"), 3) != 1)
+    held = F.coalesce(doc_crc(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_simhash_neardup": op9_simhash_neardup,
+    f.__name__: f
+    for f in (op1_binary_packing, op2_embedding_neardup, op3_language_mixture, op4_prefix_forest, op9_simhash_neardup, op10_subword_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
