@@ -5,14 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import ann, embedding_neardup, langid, packing, simhash, toxicity
+from tallyhawk.llm import ann, chat, embedding_neardup, langid, license_scan, mixing, mixing_sql, packing, pii, simhash, toxicity
 from tallyhawk.llm.common import doc_crc, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
+#: Domains of the sources, target weights of the tree's nodes, and the rest of the mixture's parameters.
+CRAWL, REFERENCE = ("src0",), tuple(f"src{i}" for i in range(1, 10))
+WEIGHTS = {"domain": {"crawl": 2, "reference": 5, "community": 3}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+MAX_EPOCHS, MIX_SEED = 2, 7
+
+#: The conversation that says control strings, to show that they come back as text.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def domain_of() -> Column:
+    return F.when(F.col("source").isin(*CRAWL), "crawl").when(F.col("source").isin(*REFERENCE), "reference").when(F.col("source").isNotNull(), "community")
+
+
+def mix_budget() -> Column:
+    """Three fifths of all tokens."""
+    return F.expr("sum(supply) * 3 div 5")
+
+
+def learns_toxicity() -> Column:
+    return doc_crc(F.col("doc_id"), 3) != 1
+
 
 def op1_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as power-of-two pieces, each a sequence of its own."""
@@ -37,6 +58,31 @@ def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_chat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, rendered turn by turn and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
+    )
+    return chat.digest(rows.unionByName(control))
+
+
+def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: fixed formats, and what their contexts vouch for."""
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
+def op7_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a mixture of all sources takes, in which epochs."""
+    return mixing.mixed(read(spark, sf_dir, "documents"), domain_of(), WEIGHTS, mix_budget(), MAX_EPOCHS, MIX_SEED)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families named in all documents."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicate groups of all documents."""
     return simhash.simhash_groups(read(spark, sf_dir, "documents"))
@@ -45,14 +91,24 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from labels of two folds of three."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), doc_crc(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), learns_toxicity())
     held = F.coalesce(doc_crc(F.col("doc_id"), 3) == 1, F.lit(False))
     return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_binary_packing, op2_embedding_neardup, op3_language_mixture, op4_prefix_forest, op9_simhash_neardup, op10_subword_toxicity)
+    for f in (
+        op1_binary_packing, op2_embedding_neardup, op3_language_mixture, op4_prefix_forest, op5_chat_spans, op6_contextual_pii,
+        op7_hierarchical_mixing, op8_license_scan, op9_simhash_neardup, op10_subword_toxicity,
+    )
+}
+
+_DOMAIN_SQL = (
+    f"CASE WHEN source IN ({', '.join(repr(x) for x in CRAWL)}) THEN 'crawl' WHEN source IN ({', '.join(repr(x) for x in REFERENCE)}) THEN 'reference' "
+    "WHEN source IS NOT NULL THEN 'community' ELSE 'unknown' END"
+)
+
+ORACLES: dict[str, str] = {
+    "op7_hierarchical_mixing": mixing_sql.mixture(_DOMAIN_SQL, WEIGHTS, "CAST(sum(supply) * 3 AS BIGINT) // 5", MAX_EPOCHS, MIX_SEED),
 }
-
-ORACLES: dict[str, str] = {}
