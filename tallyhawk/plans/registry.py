@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyhawk.plans import core_queries
+
+QUERIES: dict = {**core_queries.QUERIES}
+ORACLES: dict[str, str] = {**core_queries.ORACLES}
