@@ -37,11 +37,11 @@ def stretches(df: DataFrame, keys: list[str], ts: str, dur: str, out: str) -> Da
     task, not its rows.
     """
     slot = F.floor(micros(ts) / (seconds(dur) * 1_000_000))
-    slots = df.select(*keys, slot.alias("slot")).groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*keys).orderBy("slot")
-    cut = F.coalesce((F.col("slot") - F.lag("slot").over(order) > 1).cast("int"), F.lit(0))
-    numbered = slots.withColumn("cut", cut).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col("slot").alias("s_slot"), F.sum("cut").over(order).alias(out))
-    on = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys] + [slot == F.col("s_slot")]
+    slots = df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], slot.alias("_slot")).distinct()
+    order = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_slot")
+    cut = F.coalesce((F.col("_slot") - F.lag("_slot").over(order) > 1).cast("int"), F.lit(0))
+    numbered = slots.withColumn("_cut", cut).withColumn(out, F.sum("_cut").over(order))
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [slot == F.col("_slot")]
     return df.join(numbered, on).select(*df.columns, out)
 
 

@@ -20,11 +20,11 @@ def marked_late(df: DataFrame, ts: str, arrival: str, delay: str, slots: str) ->
     latest event of each earlier slot of arrivals (the integer column ``slots``), then that
     within the slot, so no task holds the whole input.
     """
-    before = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    heads = df.groupBy(F.col(slots).alias("s")).agg(F.max(micros(ts)).alias("m")).select("s", F.max("m").over(before).alias("earlier"))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    heads = df.groupBy(F.col(slots).alias("_s")).agg(F.max(micros(ts)).alias("_m")).select("_s", F.max("_m").over(before).alias("_earlier"))
     inside = Window.partitionBy(slots).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.join(heads, F.col(slots) == F.col("s"))
-    latest = F.greatest(F.max(micros(ts)).over(inside), F.col("earlier"))
+    rows = df.join(heads, F.col(slots) == F.col("_s"))
+    latest = F.greatest(F.max(micros(ts)).over(inside), F.col("_earlier"))
     return rows.withColumn("late", F.coalesce(micros(ts) < latest - seconds(delay) * 1_000_000, F.lit(False))).select(*df.columns, "late")
 
 
@@ -45,5 +45,5 @@ def audit(df: DataFrame, ts: str, arrival: str, event_id: str, delay: str, slots
     """One row: counts of rows, rows earlier than one that arrived before, late rows, and repeats of an event id."""
     disorder = marked_late(df, ts, arrival, "0s", slots).select(F.col("late").cast("long").alias("out_of_order"))
     late = marked_late(df, ts, arrival, delay, slots).select(F.col("late").cast("long").alias("late"))
-    ids = df.groupBy(event_id).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates"))
+    ids = df.groupBy(event_id).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n").alias("rows"), F.sum(F.col("_n") - 1).alias("duplicates"))
     return ids.crossJoin(disorder.agg(F.sum("out_of_order").alias("out_of_order"))).crossJoin(late.agg(F.sum("late").alias("late")))  # one row each
