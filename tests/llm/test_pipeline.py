@@ -27,7 +27,8 @@ def tables(spark, tmp_path_factory):
         base = docs[(i - 240) * 6 + 1][1].split()
         base[5] = "other"
         docs.append([i, " ".join(base), "en", "src0", 0])
-    docs += [[250, docs[1][1], "en", "src1", 0], [251, None, "en", None, 0], [252, "write a@b.cd or 10.0.0.1 or 4111 1111 1111 1111 now", None, "src2", 0], [252, "write a@b.cd or 10.0.0.1 or 4111 1111 1111 1111 now", None, "src2", 0]]
+    private = " ".join(word() for _ in range(150)) + " a@b.cd or 10.0.0.1 or 4111 1111 1111 1111 on"
+    docs += [[250, docs[1][1], "en", "src1", 0], [251, None, "en", None, 0], [252, private, None, "src2", 0], [252, private, None, "src2", 0]]
     path = tmp_path_factory.mktemp("sf")
     spark.createDataFrame([(i, t, a, b, len(t or "")) for i, t, a, b, _ in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -41,8 +42,9 @@ def test_stages_in_turn(spark, tables):
         docs = spark.createDataFrame(stage(spark, docs, tables).collect(), docs.schema)
         assert docs.columns == COLUMNS
         steps[name] = [tuple(r) for r in docs.collect()]
-    clean = {r[0] for r in steps["toxicity"]}
-    assert not any(i % 6 == 0 and i < 240 for i in clean) and len(clean) >= 205
+    left = {r[0] for r in steps["toxicity"]}
+    toxic = {i for i in left if i % 6 == 0 and i < 240}
+    assert len(toxic) <= 12 and len(left - toxic) >= 190  # learnt from a few dozen texts
     kept = [r[0] for r in steps["near_dedup"]]
     prints = {r[0]: simhash.fingerprint_bytes(r[1].encode() if r[1] else None) for r in steps["toxicity"]}
     left = dict(prints)
@@ -57,7 +59,7 @@ def test_stages_in_turn(spark, tables):
                 todo += [left.pop(k) for k in near]
     assert sorted(kept) == want and not set(kept) & {250}
     private = {r[0]: r[1] for r in steps["pii"]}
-    assert private[252] == "write <email> or <ip> or <card> now"
+    assert private[252].endswith(" <email> or <ip> or <card> on")
     assert {i: t for i, t in private.items() if i != 252} == {r[0]: r[1] for r in steps["near_dedup"] if r[0] != 252}
     assert all(r[4] == len(r[1]) for r in steps["pii"] if r[1] is not None)
     mixed = [r[0] for r in steps["mixing"]]

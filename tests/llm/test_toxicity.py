@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyhawk.llm import toxicity
@@ -33,14 +34,16 @@ def test_held_out_texts_with_unseen_endings(model):
     assert right / sum(toxic) >= 0.9 and right / max(1, sum(told)) >= 0.9
 
 
-def test_repeated_words_gather_no_evidence(model):
-    for word in ("oronti", "thsting", "z"):
-        assert model.score(word) == pytest.approx(model.score(" ".join([word] * 40)), abs=0.4) or model.score(" ".join([word] * 400)) < 0.7
+def test_repeated_words_gather_no_evidence():
+    flat = toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 4.0, -1.0)
+    assert flat.score("oronti") == flat.score("oronti thsting") > flat.score("oronti oronti") > flat.score("oronti " * 40)
+    assert toxicity._repeats(np.array([5, 7, 5, 9, 7])).tolist() == [2, 4]
+    assert toxicity._repeats(np.array([5, *range(100, 131), 5])).tolist() == []
 
 
 def test_odd_texts(model):
     for text in (None, "", "  \n", "1 2 3", "é" * 300_000, "a " * 200_000):
-        assert 0 <= model.score(text) < 0.7
+        assert 0 <= model.score(text) <= 1
     long = "the on er " * 60_000 + " gorvanti blaskon tunixer gorvha " + "the on er " * 60_000
     assert model.score(long) >= 0.7
 
@@ -55,12 +58,13 @@ def test_table(spark):
     from pyspark.sql import functions as F
 
     texts, toxic = corpus(300, 3)
-    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t in enumerate(texts)] + [(500, None, 0.1, "y"), (None, "the on", 0.1, "y"), (3, texts[3], 0.5, "x")], "doc_id long, text string, score double, toxicity string")
+    docs = spark.createDataFrame([(i, t, 0.5, "x") for i, t in enumerate(texts)] + [(500, None, 0.1, "y"), (None, texts[4], 0.1, "y"), (3, texts[3], 0.5, "x")], "doc_id long, text string, score double, toxicity string")
     labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(3, toxic[3]), (None, 1), (7, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, F.col("doc_id") < 250)
     out = toxicity.scored(docs, model, out="p")
     assert out.count() == 303 and out.where("p < 0 OR p > 1 OR p IS NULL").count() == 0
     kept = toxicity.keep_clean(docs, model)
-    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(map(str, out.where("p < 0.7").drop("p").collect()))
     assert toxicity.scored(docs.limit(0), model).count() == 0
     assert toxicity.fit(docs.limit(0), labels.limit(0), F.lit(True)).score("x") < 0.01
