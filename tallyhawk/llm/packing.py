@@ -12,6 +12,7 @@ the worker, which saves encoding a frequent word again.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint
+from tallyhawk.llm.common import checkpoint, written
 
 END = np.uint32(1).tobytes()
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes them for white space, the vocabulary's pattern does not
@@ -31,54 +32,81 @@ class WordIds:
     """Token ids of texts as little-endian uint32 bytes; remembers up to ``most`` words."""
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # Lower-case letters need no normaliser and no pattern, and a word's last token tells where it ends.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, at in vocabulary.items():
+            self.ends[at] = token.endswith("</w>")
         self.most = most
         self.words: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode_stems(self, stems: list[str]) -> list[bytes]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.nonzero(self.ends[ids])[0] + 1
+        if len(cut) != len(stems):  # not expected; each alone is always right
+            return self._encode(stems)
+        raw = ids.tobytes()
+        return [raw[4 * s : 4 * e] for s, e in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
+
     @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A lower-case stem and the punctuation after it, where both are safe to encode apart."""
-        if not (word.isascii() or max(word) < "ɐ"):
-            return word, ""
+    def _stem(word: str) -> tuple[str, str]:
+        """Its letters in lower case and the punctuation after them; no stem where they are not safe to encode apart."""
         stem = word.rstrip(".,;:!?")
-        if stem == word or not stem or not stem[-1].isalpha():
-            return word.lower(), ""
-        return stem.lower(), word[len(stem) :]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        parts = {w: self._parts(w) for w in words}
-        wanted = list({p for two in parts.values() for p in two if p} - self.bases.keys())
-        new = dict(zip(wanted, self._encode(wanted), strict=True)) if wanted else {}
-        get = lambda p: new.get(p) or self.bases.get(p, b"")
-        out = {w: get(a) + get(b) if b else get(a) for w, (a, b) in parts.items()}
-        if len(self.words) + len(out) > self.most or len(self.bases) + len(new) > self.most:
-            self.words.clear()
-            self.bases.clear()
+        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ") and "İ" not in stem:
+            return stem.lower(), word[len(stem) :]
+        return "", ""
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        parts = [self._stem(w) for w in words]
+        stems = list({s for s, _ in parts if s and s not in self.stems})
+        new = dict(zip(stems, self._encode_stems(stems), strict=True)) if stems else {}
+        whole = list({p if s else w for w, (s, p) in zip(words, parts, strict=True) if p or not s})
+        apart = dict(zip(whole, self._encode(whole), strict=True)) if whole else {}
+        out = {}
+        for w, (s, p) in zip(words, parts, strict=True):
+            if s:
+                ids = new[s] if s in new else self.stems[s]
+                out[w] = ids + apart[p] if p else ids
+            else:
+                out[w] = apart[w]
+        if len(self.words) + len(out) > self.most:
+            self.words, self.stems = {}, {}
         self.words.update((w, v) for w, v in out.items() if len(w) <= _LONGEST_KEPT)
-        self.bases.update((p, v) for p, v in new.items() if len(p) <= _LONGEST_KEPT)
+        self.stems.update((s, v) for s, v in new.items() if len(s) <= _LONGEST_KEPT)
         return out
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _CONTROLS):
-            return self._encode([text])[0]
-        words = text.split()
-        known = self.words
-        new = {w for w in words if w not in known}
-        if not new:
-            return b"".join(map(known.__getitem__, words))
-        known = dict(known) if len(known) + len(new) > self.most else known  # _learn may forget
-        learnt = self._learn(new)
-        return b"".join([learnt[w] if w in learnt else known[w] for w in words])
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split: list[list[str] | None] = []
+        known, new = self.words, set()
+        for text in texts:
+            if text and any(c in text for c in _CONTROLS):
+                split.append(None)
+                continue
+            split.append((text or "").split())
+            new.update(w for w in split[-1] if w not in known)
+        learnt = self._learn(list(new)) if new else {}
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(self._encode([text])[0])
+            else:
+                out.append(b"".join([known[w] if w in known else learnt[w] for w in words]))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -112,11 +140,13 @@ def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for k in range(len(batch)):
-                tokens = encode(texts[k].as_py()) + END
-                n, doc = len(tokens) // 4, ids[k].as_py()
-                rows += [(doc, s, m, tokens[4 * s : 4 * (s + m)], n) for s, m in cuts(n, longest)]
-                held += len(tokens)
+            for at in range(0, len(batch), 64):
+                docs, some = ids[at : at + 64].to_pylist(), texts[at : at + 64].to_pylist()
+                for doc, tokens in zip(docs, encode(some), strict=True):
+                    tokens += END
+                    n = len(tokens) // 4
+                    rows += [(doc, s, m, tokens[4 * s : 4 * (s + m)], n) for s, m in cuts(n, longest)]
+                    held += len(tokens)
                 if held > most_bytes:
                     yield flush()
                     rows, held = [], 0
@@ -141,10 +171,11 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
 def number(parts: DataFrame) -> DataFrame:
     """``parts`` with ``sequence_id`` (rising with length, then document) and ``offset`` (0: a piece fills its sequence).
 
-    The range exchange sorts the pieces over all tasks; numbers come from the rows' places
-    in the written checkpoint and so stay as they are if a task runs again.
+    The pieces are written first, since finding the ranges reads them once more than sorting
+    does and would encode every text again. Numbers come from the rows' places in the
+    checkpoint of the sorted pieces and so stay as they are if a task runs again.
     """
-    ranged = checkpoint(parts.repartitionByRange("length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start"))
+    ranged = checkpoint(written(parts).repartitionByRange("length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start"))
     return ranged.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
