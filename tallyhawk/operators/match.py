@@ -44,6 +44,17 @@ def any_of(*steps: Step) -> Step:
     return Step(" OR ".join(f"({s.flag})" for s in steps), min(s.least for s in steps))
 
 
+def aligned(**aliases: tuple[DataFrame, dict[str, str]]) -> DataFrame:
+    """Events of several windows as one stream: ``src`` names the alias, and each alias' columns are renamed
+    to the common key and time names by its map (own name: common name). Columns that one lacks are null there.
+    """
+    out = None
+    for alias, (df, names) in aliases.items():
+        part = df.withColumnsRenamed(names).withColumn("src", F.lit(alias))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 class _Chain:
     """State of one key: the open window's start, the step under way and its measure."""
 

@@ -63,7 +63,7 @@ def run(rule: Rule, events: DataFrame, ts: str = "ts", order: str = "event_id",
     return reduce(DataFrame.unionByName, out)
 
 
-def oracle(rule: Rule, source: str, delay: str = "0s", end_reason: str = "eos", name: str = "w") -> str:
+def oracle(rule: Rule, source: str, delay: str = "0s", end_reason: str | None = "eos", name: str = "w") -> str:
     """The alerts of ``run`` as SQL over ``source``, columns as ``flat`` has them."""
     bound = f"SELECT * FROM ({source}) WHERE {rule.where}"
     steps = list(rule.steps)
@@ -81,7 +81,7 @@ def oracle(rule: Rule, source: str, delay: str = "0s", end_reason: str = "eos",
         parts.append(
             f"{head}, CASE WHEN passed THEN 'close:timeout' ELSE 'close:{end_reason}' END AS origin, CASE WHEN passed THEN {sql.us(end)} ELSE {sql.us('last')} END AS fired_at_us, CAST(NULL AS DOUBLE) AS measure "
             f"FROM (SELECT *, {end} <= (SELECT max(ts) FROM ({bound})) - INTERVAL {seconds(delay)} SECOND AS passed FROM (SELECT {k}, window_start, bool_or(fired) AS armed, coalesce({rule.close}, FALSE) AS holds, max(ts) AS last "
-            f"FROM {name} WHERE window_start IS NOT NULL GROUP BY {k}, window_start)) WHERE {armed}"
+            f"FROM {name} WHERE window_start IS NOT NULL GROUP BY {k}, window_start)) WHERE {armed}{'' if end_reason else ' AND passed'}"
         )
     return ctes + " " + " UNION ALL ".join(parts)
 

@@ -68,14 +68,14 @@ _BOTH_SQL = (
 )
 
 
-def _rule(name: str, r: Rule, source: str, delay: str = "0s", prepare=None, source_sql: str | None = None):
+def _rule(name: str, r: Rule, source: str, delay: str = "0s", prepare=None, source_sql: str | None = None, end_reason: str | None = "eos"):
     def run(spark, sf):
         rows = _both(spark, sf) if source == "both" else view(spark, sf, source)
-        return rule.flat(rule.run(r, prepare(rows) if prepare else rows, delay=delay))
+        return rule.flat(rule.run(r, prepare(rows) if prepare else rows, delay=delay, end_reason=end_reason))
 
     run.__name__, run.__doc__ = name, f"{r.name} over {source} events."
     told = source_sql or (_BOTH_SQL if source == "both" else view_sql(source))
-    query(rule.oracle(r, told, delay))(run)
+    query(rule.oracle(r, told, delay, end_reason))(run)
 
 
 # Thresholds are scaled to the driver's events, about two a user and day.
@@ -115,6 +115,13 @@ _rule("e9_or_close", _AND.with_(name="or_close", close_mode="or"), "conn", "12h"
 _rule("e11_close_conditions", _AND.with_(name="close_conditions", close="count(*) >= 2 AND avg(bytes) >= 5000 AND max(dport) > 100 AND count(DISTINCT dip) >= 2"), "conn")
 _rule("c8_close_guard", _AND.with_(name="close_guard", close="count(*) >= 2 AND min(bytes) >= 1000"), "conn")
 
+_OPEN = _AND.with_(dur="6d", close="count(*) >= 2")
+_rule("f9_close_timeout", _OPEN.with_(name="by_timeout"), "conn", "1d", end_reason=None)
+_rule("f10_close_eos", _OPEN.with_(name="by_end", dur="60d"), "conn", "1d")
+_rule("f11_close_flush", _OPEN.with_(name="by_flush"), "conn", "1d", end_reason="flush")
+_rule("i8_no_end_close", _OPEN.with_(name="swept", close_mode="or"), "conn", "10d", end_reason=None)
+_rule("e10_close_counts_all", _AND.with_(name="all_events", steps=(Step("bytes >= 5000", 1), Step("bytes < 5000", 1)), close="count(*) >= 3"), "conn")
+
 # --- row triggers and joins ---------------------------------------------------------------
 
 
@@ -276,6 +283,25 @@ def f8_two_sources(spark, sf):
     return rule.flat(rule.run(_PAIRED, own.unionByName(orders, allowMissingColumns=True)))
 
 
+_MAPPED = Rule("key_map", ("who",), "4d", (Step("src = 'act' AND event_type = 'view'", 1), Step("src = 'buy'", 1)), 40, ("user", "who"))
+
+
+@query(
+    rule.oracle(
+        _MAPPED,
+        "SELECT event_id, ts, user_id AS who, event_type, 'act' AS src FROM events UNION ALL SELECT 1000000000 + o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 700), o_custkey, NULL, 'buy' FROM orders WHERE o_orderkey % 5 = 0",
+    )
+)
+def e6_key_map(spark, sf):
+    """One chain over two tables whose key columns have different names."""
+    orders = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
+        "o_custkey", (F.col("o_orderkey") + 1_000_000_000).alias("order_no"), F.timestamp_seconds(F.lit(1704067200) + (F.col("o_orderkey") % 700) * 3600).alias("at")
+    )
+    acts = events(spark, sf).select("event_id", "ts", "user_id", "event_type")
+    both = match.aligned(act=(acts, {"user_id": "who"}), buy=(orders, {"o_custkey": "who", "order_no": "event_id", "at": "ts"}))
+    return rule.flat(rule.run(_MAPPED, both))
+
+
 @query(
     f"SELECT * FROM (SELECT window_start_us, user_id, scan, row_number() OVER (PARTITION BY window_start_us ORDER BY scan DESC, user_id) AS rank FROM (SELECT {sql.us('time_bucket(INTERVAL 1 DAY, ts)')} AS window_start_us, user_id, count(DISTINCT k) AS scan FROM {E} GROUP BY ALL HAVING count(DISTINCT k) >= 3)) WHERE rank <= 2"
 )

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyhawk.functions import scalars as fn
 from tallyhawk.operators import alerts, reconcile
+from tallyhawk.operators.match import Step
 from tallyhawk.operators.windows import micros
-from tallyhawk.plans import rule
-from tallyhawk.plans.core_queries import E, events, table
+from tallyhawk.plans import rule, sql
+from tallyhawk.plans.core_queries import SOURCE, E, events, table, us
 from tallyhawk.plans.rule_queries import _FIRST, _MANY, view, view_sql
 from tallyhawk.sinks import writers
 from tallyhawk.sinks.writers import Sink
-from tallyhawk.streaming import lateness
+from tallyhawk.streaming import lateness, stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +125,25 @@ def i11_input_audit(spark, sf):
     return lateness.audit(_arrived(spark, sf), "ts", "arrival", "event_id", "20d", "slot")
 
 
+_STREAM = [Step("event_type IN ('click', 'view')", 3, "distinct", "k")]
+
+
+@query(
+    sql.chain(SOURCE, ["user_id"], "3d", _STREAM)
+    + f" SELECT event_id, CAST(measure AS DOUBLE) AS value, {sql.us('window_start')} AS window_start_us FROM w WHERE fired AND epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 86400000) * 1000"
+)
+def i_stream_equals_batch(spark, sf):
+    """Firings of a stream over the events, run to its end: those that the last watermark has passed."""
+    path = f"{sf}/events.parquet"
+    shape = spark.read.parquet(path).schema
+    raw = spark.readStream.schema(shape).parquet(f"{sf}/events*.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    found = stateful.matched(lateness.watermarked(raw, "ts", "1d"), ["user_id"], "ts", "event_id", "3d", _STREAM)
+    base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
+    stateful.drain(found, f"{base}/state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.select(F.col("event_id").cast("bigint").alias("event_id"), "value", us("window_start"))
+
+
 # --- reconciliation -------------------------------------------------------------------------------
 
 _FOUND = rule.oracle(_FIRST, view_sql("conn"))

@@ -8,10 +8,11 @@ open chain of a key; a key whose window is over and whose buffer is empty has no
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,6 +90,11 @@ def matched(
     return ready.groupBy("_k").applyInPandasWithState(run, OUTPUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, or one of our own where it is unset, as in tests."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhawk-")
+
+
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool = True, every: str = "10 seconds"):
     """Run a stream into ``each(batch, number)``: all there is now and stop, or on and on at an interval."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(each)
