@@ -106,8 +106,8 @@ def track(
 ) -> DataFrame:
     """``df`` with ``window_start, step, fired, value`` of each row.
 
-    The first row that counts toward step 1 opens a key's window; rows outside a window have
-    none. A row completes at most one step; the next counts strictly later rows, in order of
+    Rows that are an event of no step are left out before the shuffle. The first row that
+    counts toward step 1 opens a key's window; rows outside a window have none. A row completes at most one step; the next counts strictly later rows, in order of
     (``ts``, ``order``). After the last step the chain starts again within the window
     (``reset``), stays quiet until the next (``once``), or fires on every further row whose
     measure is still there (``every``). Sums and averages skip nothing: a null counts as 0.
@@ -140,13 +140,22 @@ def track(
 
     deal = [*keys, *(parts or [])]
     values = [F.expr(s.of).cast("string" if s.measure == "distinct" else "double").alias(f"_v{i}") for i, s in enumerate(steps)]
-    ready = df.where(F.col(ts).isNotNull()).select(
+    ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
         "*", micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"),
         *[F.coalesce(F.expr(s.flag), F.lit(False)).alias(f"_f{i}") for i, s in enumerate(steps)], *values,
     )
     return ready.repartition(*deal).sortWithinPartitions("_k", "_t", order).mapInPandas(run, shape)
 
 
+def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFrame, list[Step]]:
+    """Only ``keep`` and what the steps look at, already worked out: Spark cannot prune columns below a Python reader."""
+    cols, out = [], []
+    for i, s in enumerate(steps):
+        cols += [F.coalesce(F.expr(s.when), F.lit(False)).alias(f"_when{i}"), F.expr(s.of).alias(f"_of{i}"), F.coalesce(F.expr(s.guard or "TRUE"), F.lit(False)).alias(f"_guard{i}")]
+        out.append(Step(f"_when{i}", s.least, s.measure, f"_of{i}", f"_guard{i}"))
+    return df.select(*dict.fromkeys(keep), *cols), out
+
+
 def _counted(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, step: Step, on_fire: str, parts: list[str] | None) -> DataFrame:
     n, least = F.col("row_in_window"), int(-(-step.least // 1))
     value = {"reset": (n - 1) % least + 1, "once": n, "every": n}[on_fire]

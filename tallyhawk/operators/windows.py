@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,12 +84,13 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
             if not n:
                 continue
             times = batch.column(n_cols).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = batch.column(n_cols + 1).to_pylist()
-            change = np.nonzero([a != b for a, b in zip(codes[1:], codes[:-1], strict=True)])[0] + 1
+            codes = batch.column(n_cols + 1)
+            change = np.nonzero(pc.not_equal(codes.slice(1), codes.slice(0, n - 1)).to_numpy(zero_copy_only=False))[0] + 1
             start, number = np.empty(n, np.int64), np.empty(n, np.int64)
             for s, e in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
-                if codes[s] != key:
-                    key, open_, rows = codes[s], None, 0
+                own_key = codes[s].as_py()
+                if own_key != key:
+                    key, open_, rows = own_key, None, 0
                 own, first = starts(times[s:e], open_)
                 place = np.where(first < 0, rows + np.arange(1, e - s + 1), np.arange(e - s) - first + 1)
                 start[s:e], number[s:e] = own, place

@@ -49,7 +49,10 @@ def run(rule: Rule, events: DataFrame, ts: str = "ts", order: str = "event_id",
     """
     bound = events.where(rule.where)
     keys = list(rule.keys)
-    tracked = match.track(bound, keys, ts, order, rule.dur, list(rule.steps), rule.on_fire)
+    steps = list(rule.steps)
+    if not rule.close:
+        bound, steps = match.slimmed(bound, [*keys, rule.entity[1], ts, order], steps)
+    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire)
     entity = (rule.entity[0], F.col(rule.entity[1]))
     out = []
     if not rule.close or rule.close_mode == "or":

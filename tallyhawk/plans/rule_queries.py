@@ -307,7 +307,7 @@ def e6_key_map(spark, sf):
 )
 def f12_top_scanners(spark, sf):
     per = windows.fixed(events(spark, sf), "ts", "1d").groupBy("window_start", "user_id").agg(F.count_distinct("k").alias("scan")).where("scan >= 3")
-    return alerts.top(per, ["window_start"], F.col("scan"), 2, "user_id").select(us("window_start"), "user_id", "scan", "rank")
+    return alerts.top(per, ["window_start"], F.col("scan"), 2, "user_id").select(us("window_start"), "user_id", "scan", F.col("rank").cast("bigint").alias("rank"))
 
 
 _FIRST = Rule("stage_one", ("sip",), "1d", (Step("TRUE", 2),), 50, ("ip", "sip"), "action = 'syn'")
