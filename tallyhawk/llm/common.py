@@ -41,6 +41,11 @@ def doc_crc(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def dealt(doc_id: Column, salt: int) -> Column:
+    """A number from 0 up to 1 by a hash of the id: rows below ``n / count`` are about ``n`` rows, however many tasks choose them."""
+    return F.pmod(F.xxhash64(F.lit(salt), doc_id), F.lit(1 << 30)) / float(1 << 30)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

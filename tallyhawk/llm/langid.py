@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhawk.llm.common import dealt
 from tallyhawk.llm.grams import word_grams
 
 BITS = 16
@@ -93,9 +94,8 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return Model((), np.zeros((1 << BITS, 0)), penalty)
-    dealt = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)]), F.col("lang"))
-    some = known.where(dealt < share).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(64)))
+    some = known.where(dealt(F.col("id"), 3) < share).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(64)))
     counts = some.groupBy("lang", "lot").applyInPandas(_count, "lang string, counts binary").groupBy("lang").applyInPandas(_add, "lang string, counts binary")
     got = sorted((r.lang, np.frombuffer(r.counts, np.int64)) for r in counts.collect())
     if not got:

@@ -8,7 +8,7 @@ the same as alone; in training that window is chosen anew in every epoch. A word
 comes again within a window's reach counts in the length but adds no second vector, so
 junk that repeats one word gathers no evidence.
 
-Fitting uses at most ``rows`` labelled texts of each class, dealt by a hash of the id.
+Fitting uses about ``rows`` labelled texts of each class, dealt by a hash of the id.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhawk.llm.common import unused
+from tallyhawk.llm.common import dealt, unused
 from tallyhawk.llm.grams import word_grams
 
 BITS = 17
@@ -159,15 +159,22 @@ def train(texts: list[str], toxic: list[int], epochs: int = 14, dim: int = 8, ra
     return Model(weight[:size].astype(np.float32), scale, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", rows: int = 1500) -> Model:
-    """A model of ``labels.toxic``, learnt from at most ``rows`` documents of each class among those of ``learn``."""
+def fit(
+    docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", rows: int = 1500, longest: int = 100_000
+) -> Model:
+    """A model of ``labels.toxic``, learnt from about ``rows`` documents of each class among those of ``learn``.
+
+    Texts of more than ``longest`` characters are scored like any other but not learnt from,
+    which bounds what the driver holds.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    dealt = F.xxhash64(F.lit(5), F.col("doc_id"))
-    some = [known.where(F.col("toxic") == c).orderBy(dealt, "doc_id").limit(rows) for c in (0, 1)]
-    ids = some[0].union(some[1]).collect()
+    share = F.lit(0.0)
+    for r in known.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == r.toxic, rows / r["count"]).otherwise(share)
+    ids = known.where(dealt(F.col("doc_id"), 5) < share).collect()
     marks = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "id long, toxic int")
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    # At most 2 * rows marks, so the texts never move to meet them.
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= longest)
+    # About 2 * rows marks, so the texts never move to meet them.
     got = source.join(F.broadcast(marks), "id").dropDuplicates(["id"]).collect()
     got.sort(key=lambda r: r.id)
     return train([r.text for r in got], [r.toxic for r in got])
