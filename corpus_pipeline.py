@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhawk.llm import mixing, packing, pii, queries, simhash, toxicity
-from tallyhawk.llm.common import read, written
+from tallyhawk.llm.common import read, text_batches, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), queries.learns_toxicity())
     return toxicity.keep_clean(docs, model, threshold=0.7)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fingerprints up to 6 bits apart, which a few changed words in a hundred give; 28 tables keep every such link."""
+    text_batches(spark)
     return simhash.keep_one(docs, radius=6, blocks=8)
 
 
@@ -29,6 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return packing.digest(docs, queries.VOCABULARY, longest=2048)
 
 

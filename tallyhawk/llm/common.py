@@ -32,7 +32,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in Arrow batches of so many rows: ten thousand take tens of MB on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if table == "documents":
+        text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
