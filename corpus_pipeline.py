@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import mixing, packing, pii, queries, simhash, toxicity
+from tallyhawk.llm import mixing, packing, pii, queries, shingle_neardup, toxicity
 from tallyhawk.llm.common import read, text_batches, written
 
 
@@ -16,9 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fingerprints up to 6 bits apart, which a few changed words in a hundred give; 28 tables keep every such link."""
+    """Texts linked by 0.8 or more of their five-word shingles, each link counted out; one of each group stays."""
     text_batches(spark)
-    return simhash.keep_one(docs, radius=6, blocks=8)
+    return shingle_neardup.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

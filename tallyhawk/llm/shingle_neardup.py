@@ -1,0 +1,150 @@
+"""Near-duplicates by the Jaccard similarity of word shingles.
+
+Two texts are linked if their sets of ``SHINGLE``-word shingles, as XXH64 hashes, share at
+least ``SHARE`` of their union. Candidates agree in one of ``BANDS`` bands of ``ROWS``
+minimum hashes each; a pair exactly at 0.8 is missed with a chance of (1 - 0.8^6)^24, seven in
+ten thousand, and a closer one more rarely. Every candidate is then counted out exactly.
+
+Equal sets are made one first. A bucket is not paired with itself at once: its rows are
+held against one centre, and only rows that are then still in different components meet
+each other, those of the bucket's largest component not among themselves.
+Pairs left out so are connected already, so no link between components is lost; a bucket of
+many rows that are not alike stays quadratic, which is inherent in checking all of them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyhawk.llm.common import checkpoint, written
+from tallyhawk.llm.components import connected_components
+
+SHINGLE = 5
+SHARE = (4, 5)
+BANDS, ROWS = 24, 6
+_SEED = 42
+_STEP = 1 << 12
+_MIX = np.random.default_rng(9).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a UTF-8 text; a text of fewer words is one shingle, one without words has none."""
+    words = text.lower().split() if text else []  # as simhash.fingerprint_bytes
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(SHINGLE, len(words))
+    digest = xxhash.xxh64_intdigest
+    at = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    return np.unique(np.array([digest(joined[s:e], _SEED) for s, e in at], dtype=np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key of each band's minimum hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), _STEP):
+        least = np.minimum(least, ((hashes[at : at + _STEP, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
+
+
+def _key(hashes: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(hashes.tobytes(), _SEED)], np.uint64).view(np.int64)[0])
+
+
+def _prints(text: str) -> Column:
+    @F.pandas_udf("struct<key long, n int, bands array<long>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"key": [_key(s) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]})
+
+    return of(text)
+
+
+def _hashes(text: str) -> Column:
+    @F.pandas_udf("struct<key long, hashes binary>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"key": [_key(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+
+    return of(text)
+
+
+def _alike(a: str, b: str) -> Column:
+    @F.pandas_udf("boolean")
+    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(x, y, strict=True)], dtype=bool)
+
+    return of(a, b)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``rows`` (key, n, root, and the same of the other) in different components whose sizes allow the share."""
+    may = F.least("n", "other_n") * SHARE[1] >= F.greatest("n", "other_n") * SHARE[0]
+    return rows.where((F.col("root") != F.col("other_root")) & may).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def _around_centres(rows: DataFrame) -> DataFrame:
+    one = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "root")).alias("c"))
+    return _pairs(rows.join(one, "bucket").select("key", "n", "root", F.col("c.key").alias("other"), F.col("c.n").alias("other_n"), F.col("c.root").alias("other_root")))
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    main = rows.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rest = rows.join(main, "bucket").where(F.col("root") != F.col("main")).select("bucket", "key", "n", "root")
+    return _pairs(rest.join(rows.select("bucket", F.col("key").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root")), "bucket"))
+
+
+def _linked(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, root) of the sets that have a link."""
+    spread = sets.where("n > 0").select("key", "n", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = checkpoint(spread.join(shared, "bucket").select("bucket", "key", "n"))
+    named = rows.select("key").distinct().join(sets, "key").select("key", F.col("least").alias("doc_id"))
+    told = written(docs.join(named, "doc_id").select("key", _hashes("text").alias("h")))  # else the comparison of keys pulls the hashing of all texts before the join
+    sides = checkpoint(told.where(F.col("h.key") == F.col("key")).select("key", "h.hashes").dropDuplicates(["key"]))
+    checked = edges = sides.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    roots = connected_components(edges)
+    for find in (_around_centres, _across):
+        seen = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = seen.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("bucket")
+        seen = checkpoint(seen.join(open_, "bucket"))
+        if seen.isEmpty():
+            break
+        fresh = checkpoint(find(seen).join(checked, ["a", "b"], "left_anti"))
+        with_a = fresh.join(sides.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
+        told = with_a.join(sides.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
+        edges = edges.union(checkpoint(told.where(_alike("ha", "hb")).select("a", "b")))
+        checked, roots = checked.union(fresh), connected_components(edges)
+    return roots.select(F.col("node").alias("key"), "root")
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document row: ``doc_id, component_id``, the least id reachable by links.
+
+    Null, empty and wordless texts are equal to each other and like no other.
+    """
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    prints = checkpoint(raw.select("doc_id", _prints("text").alias("p")).select("doc_id", "p.*"))
+    sets = checkpoint(prints.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    rooted = sets.join(_linked(sets, raw), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = checkpoint(rooted)
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``simhash.keep_one``, by these groups: the least id of each, once if its row repeats; rows without an id stay."""
+    named = docs.where(F.col(doc_id).isNotNull())
+    kept = groups(named, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
+    return named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)

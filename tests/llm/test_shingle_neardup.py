@@ -1,0 +1,55 @@
+import random
+
+import corpus_pipeline
+
+from tallyhawk.llm import simhash
+from tallyhawk.llm import shingle_neardup as sn
+
+
+def slow_set(text):
+    words = (text or "").lower().split()
+    k = min(5, len(words))
+    return {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
+
+
+def slow_kept(rows):
+    sets = {i: slow_set(t) for i, t in rows}
+    linked = lambda a, b: sets[a] == sets[b] or (sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    kept, left = [], sorted(sets)
+    while left:
+        todo, left = [left[0]], left[1:]
+        kept.append(todo[0])
+        while todo:
+            x = todo.pop()
+            near = [y for y in left if linked(x, y)]
+            left = [y for y in left if y not in near]
+            todo += near
+    return kept
+
+
+def corpus():
+    rnd = random.Random(4)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, bases = [], [fresh(n) for n in (60, 100, 200, 400, 200, 80)]
+    for i in range(240):
+        words = list(bases[i % 6])
+        for _ in range(rnd.randrange(len(words) // 16)):
+            words[rnd.randrange(len(words))] = "other"
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, " ".join(fresh(rnd.choice([1, 3, 5, 40])))) for i in range(40)]
+    return rows + [(400, None), (401, ""), (402, " \n"), (403, rows[0][1].upper()), (404, "one two"), (405, "One  two")]
+
+
+def test_stage_keeps_one_of_each_group_as_a_full_comparison_does(spark):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == slow_kept(rows)
+    plain = sorted(r.doc_id for r in simhash.keep_one(docs, radius=6, blocks=8).collect())
+    assert plain != got  # fingerprints alone lose and keep others
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in sn.keep_one(docs).collect()) == [0, 1, 3]
+    assert sn.keep_one(docs.limit(0)).count() == 0
