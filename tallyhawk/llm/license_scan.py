@@ -5,14 +5,17 @@ paragraphs. It is trained here, on notices of each family with words dropped, sw
 from the corpus or cut off, against paragraphs of the corpus (a bounded sample) as the
 unknown class; a temperature fitted on held-out examples calibrates its probabilities. A
 family is reported only where one of its notices confirms it: the words of the notice have
-to stand in the paragraph to a set share. Paragraphs are lines; a paragraph without any of
-the words that every notice has one of cannot be confirmed and is not scored.
+to stand in the paragraph to a set share. A paragraph is a line, or a run of lines without a
+blank one between that a notice may be wrapped over: the fewest that confirm it, scored from
+the notice's first pair of words to its last. Texts whose pairs of words confirm no notice
+cannot have a line or run that does, and are not looked at further.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,6 +117,63 @@ def confirmed(tokens: list[str], family: str) -> bool:
     return False
 
 
+_PAIRS = {f: [(len(w := words(n)), set(zip(w, w[1:], strict=False))) for n in notices] for f, notices in NOTICES.items()}
+
+
+def _runs(lines: list[list[str]], length: int, pairs: set[tuple[str, str]]) -> Iterator[tuple[int, int, list[str]]]:
+    """First and last line, and words from the first to the last pair, of the shortest runs of two lines or more of a block that confirm a notice.
+
+    Where a notice of ``length`` words is wrapped, the lines between its first and last hold only words of it, and a comment mark each.
+    """
+    tokens = [w for line in lines for w in line]
+    of = [i for i, line in enumerate(lines) for _ in line]
+    hits = [k for k, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in pairs]
+    for first in sorted({of[k] for k in hits}):
+        have, start, between = set(), None, 0
+        for k in hits:
+            if of[k] < first:
+                continue
+            last = of[k + 1]
+            between = sum(len(x) for x in lines[first + 1 : last])
+            if between > length + last - first:
+                break
+            start = k if start is None else start
+            have.add((tokens[k], tokens[k + 1]))
+            if len(have) >= CONFIRM * len(pairs):
+                if last > first:
+                    yield first, last, tokens[start : k + 2]
+                break
+
+
+def findings(model: Model, text: str | None, least: float = 0.5) -> list[tuple[int, str, float]]:
+    """(line it begins at, family, probability) of each confirmed paragraph of a text."""
+    tokens = words(text or "")
+    have = set(zip(tokens, tokens[1:], strict=False))
+    able = [(f, length, pairs) for f, told in _PAIRS.items() for length, pairs in told if len(pairs & have) >= CONFIRM * len(pairs)]
+    if not able:
+        return []
+    raw = text.split("\n")
+    lines = [words(x) for x in raw]
+    out, taken = [], set()
+    for i, line in enumerate(lines):
+        if any(confirmed(line, f) for f in {f for f, _, _ in able}):
+            name, p = model.family(raw[i], least)
+            if name != UNKNOWN:
+                out.append((i, name, p))
+                taken.add((i, name))
+    begins = [i for i in range(len(raw)) if raw[i].strip() and not (i and raw[i - 1].strip())]
+    for begin in begins:
+        end = next((i for i in range(begin, len(raw)) if not raw[i].strip()), len(raw))
+        for family, length, pairs in able:
+            for first, last, span in _runs(lines[begin:end], length, pairs):
+                own = {(begin + i, family) for i in range(first, last + 1)}
+                p = float(model.probabilities(" ".join(span))[model.families.index(family)])
+                if p >= least and not own & taken:
+                    out.append((begin + first, family, p))
+                    taken |= own
+    return sorted(out)
+
+
 def examples(corpus: list[str], copies: int, rng: np.random.Generator) -> list[tuple[list[str], str]]:
     """Notices, whole and disturbed, by family, and corpus paragraphs as unknown."""
     filler = [w for p in corpus[:500] for w in words(p)] or ["the"]
@@ -173,23 +233,23 @@ def train(corpus: list[str], copies: int = 30, epochs: int = 12, rate: float = 0
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 400) -> Model:
-    """A model with first lines (600 characters) of about ``rows`` documents, dealt by a hash of the id, as unknown class."""
+    """A model with the first blocks of lines of about ``rows`` documents, dealt by a hash of the id, as unknown class; those that a notice confirms are left out."""
     share = rows / max(1, docs.count())
-    line = F.substring(F.get(F.split(F.col(text), "\n", 2), F.lit(0)), 1, 600).alias("line")
-    some = docs.where((dealt(F.col(doc_id), 8) < share) & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), line)
-    return train([r.line for r in sorted(some.where(~F.col("line").rlike(ANCHOR_PATTERN)).collect(), key=lambda r: (r.id or 0, r.line))])
+    block = F.get(F.split(F.col(text), r"\n\s*\n", 2), F.lit(0)).alias("block")
+    some = docs.where((dealt(F.col(doc_id), 8) < share) & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), block)
+    told = sorted(some.collect(), key=lambda r: (r.id or 0, r.block))
+    return train([r.block for r in told if not any(confirmed(words(r.block), f) for f in NOTICES)])
 
 
 def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, paragraph (number from 0), family, probability`` of the paragraphs with a confirmed licence."""
+    """``doc_id, paragraph (number of its first line, from 0), family, probability`` of the paragraphs with a confirmed licence."""
 
-    @F.pandas_udf("struct<family string, probability double>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.family(t) for t in texts], columns=["family", "probability"])
+    @F.pandas_udf("array<struct<paragraph int, family string, probability double>>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("paragraph", "family", "probability"), x, strict=True)) for x in findings(model, t)] for t in texts], dtype=object)
 
-    some = docs.where(F.col(text).rlike(ANCHOR_PATTERN)).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("paragraph", "body"))
-    told = some.where(F.col("body").rlike(ANCHOR_PATTERN)).select("doc_id", "paragraph", of("body").alias("f"))
-    return told.where(F.col("f.family") != UNKNOWN).select("doc_id", "paragraph", "f.family", "f.probability")
+    told = docs.select(F.col(doc_id).alias("doc_id"), of(text).alias("f")).where(F.size("f") > 0).select("doc_id", F.explode("f").alias("f"))
+    return told.select("doc_id", "f.paragraph", "f.family", "f.probability")
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
