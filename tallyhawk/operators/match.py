@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhawk.operators.windows import START, anchored, micros, seconds
+from tallyhawk.operators.windows import START, anchored, micros, seconds, unused
 
 STEP, FIRED, VALUE = "step", "fired", "value"
 
@@ -26,6 +27,7 @@ class Step:
 
     ``measure`` is count, sum, avg or distinct; all but count look at the expression ``of``.
     ``guard`` decides besides ``when`` which rows count. Both are SQL conditions; null is no.
+    With ``either`` the step has several thresholds, see ``any_of``.
     """
 
     when: str
@@ -33,15 +35,20 @@ class Step:
     measure: str = "count"
     of: str = "1"
     guard: str = ""
+    either: tuple[Step, ...] = ()
 
     @property
     def flag(self) -> str:
         return f"({self.when}) AND ({self.guard})" if self.guard else self.when
 
+    @property
+    def thresholds(self) -> tuple[Step, ...]:
+        return self.either or (self,)
+
 
 def any_of(*steps: Step) -> Step:
-    """Alternatives of one step that count rows: any row of any of them counts."""
-    return Step(" OR ".join(f"({s.flag})" for s in steps), min(s.least for s in steps))
+    """A step reached when any of ``steps`` is: each keeps its own measure, a row counts for all that it is an event of, and the first reached gives the value."""
+    return Step(" OR ".join(f"({s.flag})" for s in steps), 0, "any", either=steps)
 
 
 def aligned(**aliases: tuple[DataFrame, dict[str, str]]) -> DataFrame:
@@ -55,47 +62,79 @@ def aligned(**aliases: tuple[DataFrame, dict[str, str]]) -> DataFrame:
     return out
 
 
+def plan_of(steps: list[Step]) -> tuple[tuple[tuple[str, float], ...], ...]:
+    """(measure, least) of each threshold of each step."""
+    return tuple(tuple((t.measure, t.least) for t in s.thresholds) for s in steps)
+
+
+def inputs_of(steps: list[Step]) -> list[Column]:
+    """Flag and value of each threshold, as columns ``_f<step>_<threshold>`` and ``_v<step>_<threshold>``."""
+    out = []
+    for i, s in enumerate(steps):
+        for j, t in enumerate(s.thresholds):
+            out.append(F.coalesce(F.expr(t.flag), F.lit(False)).alias(f"_f{i}_{j}"))
+            out.append(F.expr(t.of).cast("string" if t.measure == "distinct" else "double").alias(f"_v{i}_{j}"))
+    return out
+
+
+def rows_of(t: pd.DataFrame, steps: list[Step]) -> tuple[list[tuple], list[tuple]]:
+    """Flags and values of each row as ``_Chain.feed`` takes them: a tuple a step."""
+    flags, values = [], []
+    for i, s in enumerate(steps):
+        at = range(len(s.thresholds))
+        flags.append(list(zip(*[t[f"_f{i}_{j}"] for j in at], strict=True)))
+        values.append(list(zip(*[t[f"_v{i}_{j}"].astype(object).where(t[f"_v{i}_{j}"].notna(), None) for j in at], strict=True)))
+    return list(zip(*flags, strict=True)), list(zip(*values, strict=True))
+
+
 class _Chain:
-    """State of one key: the open window's start, the step under way and its measure."""
+    """State of one key: the open window's start, the step under way and its measures."""
 
-    def __init__(self, steps: tuple[tuple[str, float], ...], span: int, on_fire: str):
+    def __init__(self, steps: tuple[tuple[tuple[str, float], ...], ...], span: int, on_fire: str):
         self.steps, self.span, self.on_fire = steps, span, on_fire
         self.start: int | None = None
         self.fired_once = False
-        self.clear()
         self.at = 0
+        self.clear()
 
     def clear(self) -> None:
-        self.n, self.total, self.seen = 0, 0.0, set()
+        self.state = [(0, 0.0, set()) for _ in self.steps[self.at]]
+
+    def _measure(self, j: int, v) -> float:
+        kind = self.steps[self.at][j][0]
+        n, total, seen = self.state[j]
+        n += 1
+        if kind == "distinct":
+            if v is not None:
+                seen.add(v)
+            m = float(len(seen))
+        elif kind == "count":
+            m = float(n)
+        else:
+            total += 0.0 if v is None else v
+            m = total if kind == "sum" else total / n
+        self.state[j] = (n, total, seen)
+        return m
 
     def feed(self, t: int, flags: tuple, values: tuple) -> tuple[int | None, int | None, bool, float | None]:
         """(window start, step completed, fires, measure) of a row."""
         if self.start is None or t >= self.start + self.span:
             self.start, self.at, self.fired_once = None, 0, False
             self.clear()
-        if not flags[self.at]:
+        mine = flags[self.at]
+        if not any(mine):
             return self.start, None, False, None
         if self.start is None:
             self.start = t
-        kind, least = self.steps[self.at]
-        v = values[self.at]
-        self.n += 1
-        if kind == "distinct":
-            if v is not None:
-                self.seen.add(v)
-            m = float(len(self.seen))
-        elif kind == "count":
-            m = float(self.n)
-        else:
-            self.total += 0.0 if v is None else v
-            m = self.total if kind == "sum" else self.total / self.n
-        if m < least:
-            return self.start, None, False, m
+        got = [(self._measure(j, values[self.at][j]), self.steps[self.at][j][1]) for j, f in enumerate(mine) if f]
+        m = next((x for x, least in got if x >= least), None)
+        if m is None:
+            return self.start, None, False, got[0][0]
         done, last = self.at, self.at == len(self.steps) - 1
         if last and self.on_fire == "every":
             return self.start, done, True, m
-        self.clear()
         self.at = 0 if last else self.at + 1
+        self.clear()
         fires = last and not (self.on_fire == "once" and self.fired_once)
         self.fired_once |= last
         return self.start, done, fires, m
@@ -118,41 +157,48 @@ def track(
     if len(steps) == 1 and steps[0].measure == "count":
         return _counted(df, keys, ts, order, dur, steps[0], on_fire, parts)
     fields = [T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()), T.StructField(VALUE, T.DoubleType())]
-    shape = T.StructType([*df.schema.fields, *fields])
-    names, k = df.columns, len(steps)
-    plan, span = tuple((s.measure, s.least) for s in steps), seconds(dur) * 1_000_000
+    names, all_ = df.columns, unused(df.columns, "_row")
+    # The event's own columns travel as one struct, so none can clash with what the chain reads.
+    shape = T.StructType([T.StructField(all_, df.schema), *fields])
+    plan, span = plan_of(steps), seconds(dur) * 1_000_000
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, chain = object(), None
-        for t in frames:
-            if not len(t):
+        for batch in batches:
+            if not len(batch):
                 continue
-            flags = zip(*[t[f"_f{i}"] for i in range(k)], strict=True)
-            values = zip(*[t[f"_v{i}"].astype(object).where(t[f"_v{i}"].notna(), None) for i in range(k)], strict=True)
+            t = batch.select(batch.schema.names[1:]).to_pandas()
             out = []
-            for own, at, f, v in zip(t["_k"], t["_t"], flags, values, strict=True):
+            for own, at, f, v in zip(t["_k"], t["_t"], *rows_of(t, steps), strict=True):
                 if own != key:
                     key, chain = own, _Chain(plan, span, on_fire)
                 out.append(chain.feed(at, f, v))
             start, step, fired, value = zip(*out, strict=True)
-            rest = {START: pd.to_datetime(pd.Series(start, dtype="Int64"), unit="us", utc=True), STEP: pd.Series(step, dtype="Int32"), FIRED: fired, VALUE: pd.Series(value, dtype="float64")}
-            yield t[names].reset_index(drop=True).assign(**rest)
+            told = [pa.array(start, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(step, pa.int32()), pa.array(fired, pa.bool_()), pa.array(value, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=[all_, START, STEP, FIRED, VALUE])
 
     deal = [*keys, *(parts or [])]
-    values = [F.expr(s.of).cast("string" if s.measure == "distinct" else "double").alias(f"_v{i}") for i, s in enumerate(steps)]
     ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
-        "*", micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"),
-        *[F.coalesce(F.expr(s.flag), F.lit(False)).alias(f"_f{i}") for i, s in enumerate(steps)], *values,
+        F.struct(*[F.col(c) for c in names]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o"), *inputs_of(steps)
     )
-    return ready.repartition(*deal).sortWithinPartitions("_k", "_t", order).mapInPandas(run, shape)
+    told = ready.repartition("_k").sortWithinPartitions("_k", "_t", "_o").drop("_o").mapInArrow(run, shape)
+    return told.select(*[F.col(f"{all_}.{c}") for c in names], START, STEP, FIRED, VALUE)
 
 
 def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFrame, list[Step]]:
     """Only ``keep`` and what the steps look at, already worked out: Spark cannot prune columns below a Python reader."""
-    cols, out = [], []
-    for i, s in enumerate(steps):
-        cols += [F.coalesce(F.expr(s.when), F.lit(False)).alias(f"_when{i}"), F.expr(s.of).alias(f"_of{i}"), F.coalesce(F.expr(s.guard or "TRUE"), F.lit(False)).alias(f"_guard{i}")]
-        out.append(Step(f"_when{i}", s.least, s.measure, f"_of{i}", f"_guard{i}"))
+    cols = []
+
+    def short(s: Step, name: str) -> Step:
+        at = [unused(keep, f"_{part}{name}") for part in ("when", "of", "guard")]
+        if s.either:
+            return any_of(*[short(t, f"{name}_{j}") for j, t in enumerate(s.either)])
+        cols.extend(
+            [F.coalesce(F.expr(s.when), F.lit(False)).alias(at[0]), F.expr(s.of).alias(at[1]), F.coalesce(F.expr(s.guard or "TRUE"), F.lit(False)).alias(at[2])]
+        )
+        return Step(at[0], s.least, s.measure, at[1], at[2])
+
+    out = [short(s, str(i)) for i, s in enumerate(steps)]
     return df.select(*dict.fromkeys(keep), *cols), out
 
 
@@ -168,30 +214,42 @@ def firings(tracked: DataFrame) -> DataFrame:
     return tracked.where(FIRED)
 
 
+def with_reason(tracked: DataFrame, dur: str, watermark: DataFrame | None = None, end_reason: str | None = "eos") -> DataFrame:
+    """``tracked`` with ``close_reason``: why the row's window closes.
+
+    Windows whose end the watermark (one row, see ``watermark_of``) has passed close by
+    timeout, the others for ``end_reason``, or stay open if it is None.
+    """
+    if watermark is None:
+        return tracked.withColumn("close_reason", F.lit(end_reason).cast("string"))
+    passed = F.col(START) + F.make_dt_interval(secs=F.lit(seconds(dur))) <= F.col("watermark")
+    return tracked.join(F.broadcast(watermark)).withColumn("close_reason", F.when(passed, "timeout").otherwise(F.lit(end_reason))).drop("watermark")
+
+
+def with_interval(tracked: DataFrame, keys: list[str], ts: str, order: str) -> DataFrame:
+    """``tracked`` with ``interval_s``: seconds since the event before in the same window, null for its first."""
+    before = F.lag(micros(ts)).over(Window.partitionBy(*keys, START).orderBy(ts, order))
+    return tracked.withColumn("interval_s", (micros(ts) - before) / 1e6)
+
+
 def evidence(tracked: DataFrame, keys: list[str], ts: str, order: str, dur: str, *more: Column) -> DataFrame:
-    """One row per window: counts of its events and matches, its first and last event, its bounds, and ``more`` aggregates."""
+    """One row per window: counts of its events and matches, its first and last event, its bounds, and ``more`` aggregates.
+
+    Of rows with a ``close_reason`` it is told too, and ``more`` may look at it.
+    """
     rows = tracked.where(F.col(START).isNotNull())
     at = F.struct(F.col(ts), F.col(order))
-    return rows.groupBy(*keys, START).agg(
+    reason = [c for c in ("close_reason",) if c in tracked.columns]
+    return rows.groupBy(*keys, START, *reason).agg(
         F.count(F.lit(1)).alias("window_events"), F.count_if(FIRED).alias("matches"), F.max_by(F.when(F.col(FIRED), F.col(VALUE)), F.when(F.col(FIRED), at)).alias("trigger_value"),
         F.min(ts).alias("first_event"), F.max(ts).alias("last_event"), *more,
     ).withColumn("window_end", F.col(START) + F.make_dt_interval(secs=F.lit(seconds(dur))))
 
 
-def closings(
-    windows: DataFrame, close: Column, dur: str, watermark: Column | None = None, end_reason: str | None = "eos",
-    last: str = "last_event",
-) -> DataFrame:
-    """Windows that close with ``close`` true, with ``close_reason`` and ``fired_at``.
-
-    Windows whose end the watermark has passed close by timeout, at their end; the others
-    close for ``end_reason`` at their last event, or stay open (left out) if it is None.
-    ``windows`` is the result of ``evidence``.
-    """
-    passed = (F.col("window_end") <= watermark) if watermark is not None else F.lit(False)
-    reason = F.when(passed, "timeout").otherwise(F.lit(end_reason))
-    at = F.when(passed, F.col("window_end")).otherwise(F.col(last))
-    return windows.withColumn("close_reason", reason).withColumn("fired_at", at).where(F.col("close_reason").isNotNull() & F.coalesce(close, F.lit(False)))
+def closings(windows: DataFrame, close: Column, last: str = "last_event") -> DataFrame:
+    """Windows (``evidence`` of rows ``with_reason``) that close with ``close`` true, with ``fired_at``: their end by timeout, else their last event."""
+    at = F.when(F.col("close_reason") == "timeout", F.col("window_end")).otherwise(F.col(last))
+    return windows.withColumn("fired_at", at).where(F.col("close_reason").isNotNull() & F.coalesce(close, F.lit(False)))
 
 
 def watermark_of(df: DataFrame, ts: str, delay: str = "0s") -> DataFrame:

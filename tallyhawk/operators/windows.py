@@ -31,6 +31,14 @@ def seconds(text: str) -> int:
     return int(text[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86400}[text[-1]]
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or it with underscores added until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stretches(df: DataFrame, keys: list[str], ts: str, dur: str, out: str) -> DataFrame:
     """``df`` with a number per key that rises wherever a whole slot of length ``dur`` has no event.
 
@@ -72,9 +80,9 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
     time are left out. ``parts`` are columns of ``stretches`` to deal by as well as the keys.
     """
     span = seconds(dur) * 1_000_000
-    kinds = T.StructType([*df.schema.fields, T.StructField(START, T.TimestampType()), T.StructField(ROW, T.LongType())])
-    names = df.columns
-    held = "_t"
+    names, all_ = df.columns, unused(df.columns, "_row")
+    # The event's own columns travel as one struct, so none can clash with those added here.
+    kinds = T.StructType([T.StructField(all_, df.schema), T.StructField(START, T.TimestampType()), T.StructField(ROW, T.LongType())])
     starts = _starts(span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +91,8 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
             n = len(batch)
             if not n:
                 continue
-            times = batch.column(n_cols).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = batch.column(n_cols + 1)
+            times = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            codes = batch.column(2)
             change = np.nonzero(pc.not_equal(codes.slice(1), codes.slice(0, n - 1)).to_numpy(zero_copy_only=False))[0] + 1
             start, number = np.empty(n, np.int64), np.empty(n, np.int64)
             for s, e in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
@@ -95,16 +103,14 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
                 place = np.where(first < 0, rows + np.arange(1, e - s + 1), np.arange(e - s) - first + 1)
                 start[s:e], number[s:e] = own, place
                 open_, rows = int(own[-1]), int(place[-1])
-            cols = [batch.column(i) for i in range(n_cols)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(start, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(number)], names=[*names, START, ROW])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(number)], names=[all_, START, ROW])
 
-    n_cols = len(names)
     deal = [*keys, *(parts or [])]
-    sorted_ = (
-        df.where(F.col(ts).isNotNull()).withColumn(held, micros(ts)).withColumn("_k", F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}))
-        .repartition(*deal).sortWithinPartitions("_k", held, order)
-    )
-    return sorted_.mapInArrow(run, kinds)
+    ready = df.where(F.col(ts).isNotNull()).select(
+        F.struct(*[F.col(c) for c in names]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o")
+    )
+    told = ready.repartition("_k").sortWithinPartitions("_k", "_t", "_o").drop("_o").mapInArrow(run, kinds)
+    return told.select(*[F.col(f"{all_}.{c}") for c in names], START, ROW)
 
 
 def fixed(df: DataFrame, ts: str, dur: str) -> DataFrame:

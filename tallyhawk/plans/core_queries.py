@@ -276,7 +276,7 @@ _matching("e2_distinct_every", "2d", [Step("TRUE", 3, "distinct", "event_type")]
 _matching("e3_sum", "1d", [Step("event_type = 'purchase'", 100, "sum", "amount")])
 _matching("e4_avg", "1d", [Step("TRUE", 60, "avg", "amount", guard="amount > 5")])
 _matching("e5_compound_key", "5d", [Step("TRUE", 3)], keys=("user_id", "event_type"))
-_matching("e7_any_of", "1d", [match.any_of(Step("event_type = 'error'", 2), Step("amount >= 90", 2))])
+_matching("e7_any_of", "1d", [match.any_of(Step("event_type = 'error'", 2), Step("amount >= 20", 90, "sum", "amount"), Step("k < 50", 3, "distinct", "event_type"))])
 _matching("f5_sequence3", "3d", [Step("event_type = 'view'", 1), Step("event_type = 'click'", 1), Step("event_type = 'purchase'", 1)], score=90)
 _matching("f6_counted_sequence", "3d", [Step("event_type = 'view'", 2), Step("event_type IN ('click', 'error')", 2)], score=90)
 _matching("f7_sum_sequence", "2d", [Step("event_type = 'view'", 50, "sum", "amount"), Step("event_type = 'purchase'", 50, "sum", "amount")])

@@ -59,6 +59,11 @@ def beaconing(events: int = 20, dur: str = "10m", bytes_out: int = 1000, duratio
     return Rule("c2_beaconing", PAIR, dur, _count(events), 70, IP, f"bytes_out < {bytes_out} AND duration < {duration} AND action = 'syn'", f"count(*) >= {events}")
 
 
+def heartbeat(events: int = 12, variance: float = 60, dur: str = "24h", bytes_out: int = 200) -> Rule:
+    """Small connections of a pair at even intervals: their variance in seconds squared stays within ``variance``."""
+    return Rule("heartbeat", PAIR, dur, _count(1), 90, IP, f"bytes_out < {bytes_out}", f"count(*) >= {events} AND var_pop(interval_s) <= {variance}")
+
+
 def dns_tunneling(events: int = 10, closing: int = 20, dur: str = "5m") -> Rule:
     return Rule("dns_tunneling", ("sip",), dur, _count(events), 85, IP, "qtype = 'TXT'", f"count(*) >= {closing}")
 
@@ -162,7 +167,7 @@ def weak_password_login(logins: DataFrame, hashes: DataFrame, service: str = "")
     good = logins.where("result = 'success'" + (f" AND service = '{service}'" if service else ""))
     found = enrich.snapshot(good, hashes, {"password_hash": "hash_value"}, {"found_password": "password_masked", "category": "category"}, ["password_masked"], required=True)
     password, kind = F.coalesce("found_password", F.lit("?")), F.coalesce("category", F.lit("unknown"))
-    detail = fn.fmt("user '{}' logged in from {} with known weak credential (password: {}, category: {})", F.col("account"), F.col("sip"), password, kind)
+    detail = fn.fmt("listed password {} [{}] opened account {} to {}", password, kind, F.col("account"), F.col("sip"))
     return found.withColumns({"found_password": password, "category": kind, "detail": detail})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
 from graphlib import TopologicalSorter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyhawk.operators import alerts, match
 from tallyhawk.operators.match import Step
-from tallyhawk.operators.windows import START, micros, seconds
+from tallyhawk.operators.windows import START, micros, seconds, stretches, unused
 from tallyhawk.plans import sql
 
 
@@ -20,7 +21,8 @@ class Rule:
     """``keys`` in anchored windows of ``dur`` over the events where ``where`` holds.
 
     Without ``close`` every completion of ``steps`` is an alert. ``close`` is a condition on
-    aggregates of the window's events. With ``close_mode`` and, a completed chain only arms:
+    aggregates of the window's events, on ``close_reason`` (timeout, eos, flush) and on
+    ``interval_s``, the seconds since the window's event before. With ``close_mode`` and, a completed chain only arms:
     one alert when the window closes, if the condition holds. With or, completions alert at
     once and the condition is judged by itself when the window closes. ``entity`` is a type
     and one of the keys.
@@ -41,27 +43,35 @@ class Rule:
         return replace(self, **changes)
 
 
-def run(rule: Rule, events: DataFrame, ts: str = "ts", order: str = "event_id", delay: str = "0s", end_reason: str | None = "eos", late_close: bool = True) -> DataFrame:
+def run(
+    rule: Rule, events: DataFrame, ts: str = "ts", order: str = "event_id", delay: str = "0s", end_reason: str | None = "eos", late_close: bool = True, split: bool = False
+) -> DataFrame:
     """Alerts of ``rule`` with the firing measure in ``measure`` (null for closings).
 
     Windows that end ``delay`` before the latest event of the rule's input or earlier close
-    by timeout, the rest for ``end_reason``.
+    by timeout, the rest for ``end_reason``. ``split`` deals a key's rows to several tasks
+    wherever it pauses for a whole window, for keys with very many rows.
     """
     bound = events.where(rule.where)
     keys = list(rule.keys)
-    steps = list(rule.steps)
-    if not rule.close:
-        bound, steps = match.slimmed(bound, [*keys, rule.entity[1], ts, order], steps)
-    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire)
+    named = [c for c in events.columns if re.search(rf"\b{re.escape(c)}\b", rule.close)]
+    bound, steps = match.slimmed(bound, [*keys, rule.entity[1], ts, order, *named], list(rule.steps))
+    parts = None
+    if split:
+        parts = [unused(bound.columns, "_part")]
+        bound = stretches(bound, keys, ts, rule.dur, parts[0])
+    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire, parts)
     entity = (rule.entity[0], F.col(rule.entity[1]))
     out = []
     if not rule.close or rule.close_mode == "or":
         out.append(alerts.envelope(match.firings(tracked), rule.name, entity, rule.score, F.col(ts), measure=F.col(match.VALUE)))
     if rule.close:
-        seen = match.evidence(tracked, keys, ts, order, rule.dur, F.expr(rule.close).alias("holds"))
-        seen = seen.join(F.broadcast(match.watermark_of(bound, ts, delay)))  # one row
+        told = match.with_reason(tracked, rule.dur, match.watermark_of(bound, ts, delay) if late_close else None, end_reason)
+        if re.search(r"\binterval_s\b", rule.close):
+            told = match.with_interval(told, keys, ts, order)
+        seen = match.evidence(told, keys, ts, order, rule.dur, F.expr(rule.close).alias("holds"))
         armed = F.col("holds") & (F.col("matches") > 0) if rule.close_mode == "and" else F.col("holds")
-        closed = match.closings(seen, armed, rule.dur, F.col("watermark") if late_close else None, end_reason)
+        closed = match.closings(seen, armed)
         out.append(alerts.envelope(closed, rule.name, entity, rule.score, F.col("fired_at"), F.concat(F.lit("close:"), F.col("close_reason")), measure=F.lit(None).cast("double")))
     return reduce(DataFrame.unionByName, out)
 
@@ -72,6 +82,7 @@ def oracle(rule: Rule, source: str, delay: str = "0s", end_reason: str | None =
     steps = list(rule.steps)
     if len(steps) == 1 and steps[0].measure == "count":
         bound += f" AND coalesce({steps[0].flag}, FALSE)"
+    watermark = f"(SELECT max(ts) FROM ({bound})) - INTERVAL {seconds(delay)} SECOND"
     ctes = sql.chain(bound, list(rule.keys), rule.dur, steps, rule.on_fire, name=name)
     head = f"SELECT '{rule.name}' AS rule_name, CAST({rule.score} AS DOUBLE) AS score, '{rule.entity[0]}' AS entity_type, CAST({rule.entity[1]} AS VARCHAR) AS entity_id"
     parts = []
@@ -81,10 +92,12 @@ def oracle(rule: Rule, source: str, delay: str = "0s", end_reason: str | None =
         k = ", ".join(rule.keys)
         end = f"window_start + INTERVAL {seconds(rule.dur)} SECOND"
         armed = "armed AND holds" if rule.close_mode == "and" else "holds"
+        gap = f"({sql.us('ts')} - lag({sql.us('ts')}) OVER (PARTITION BY {k}, window_start ORDER BY ts, event_id)) / 1e6"
+        rows = f"SELECT *, {gap} AS interval_s, CASE WHEN {end} <= {watermark} THEN 'timeout' ELSE {repr(end_reason) if end_reason else 'NULL'} END AS close_reason FROM {name} WHERE window_start IS NOT NULL"
         parts.append(
-            f"{head}, CASE WHEN passed THEN 'close:timeout' ELSE 'close:{end_reason}' END AS origin, CASE WHEN passed THEN {sql.us(end)} ELSE {sql.us('last')} END AS fired_at_us, CAST(NULL AS DOUBLE) AS measure "
-            f"FROM (SELECT *, {end} <= (SELECT max(ts) FROM ({bound})) - INTERVAL {seconds(delay)} SECOND AS passed FROM (SELECT {k}, window_start, bool_or(fired) AS armed, coalesce({rule.close}, FALSE) AS holds, max(ts) AS last "
-            f"FROM {name} WHERE window_start IS NOT NULL GROUP BY {k}, window_start)) WHERE {armed}{'' if end_reason else ' AND passed'}"
+            f"{head}, 'close:' || close_reason AS origin, CASE WHEN close_reason = 'timeout' THEN {sql.us(end)} ELSE {sql.us('last')} END AS fired_at_us, CAST(NULL AS DOUBLE) AS measure "
+            f"FROM (SELECT {k}, window_start, close_reason, bool_or(fired) AS armed, coalesce({rule.close}, FALSE) AS holds, max(ts) AS last "
+            f"FROM ({rows}) GROUP BY {k}, window_start, close_reason) WHERE {armed} AND close_reason IS NOT NULL"
         )
     return ctes + " " + " UNION ALL ".join(parts)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyhawk.operators import alerts, enrich, match, windows
 from tallyhawk.operators.match import Step
@@ -11,6 +12,7 @@ from tallyhawk.plans import detections as d
 from tallyhawk.plans import rule, sql
 from tallyhawk.plans.core_queries import SOURCE, E, customers, events, table, us
 from tallyhawk.plans.rule import Rule
+from tallyhawk.sources import routing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +86,7 @@ _rule("l02_password_spraying", d.password_spraying(4, "2h"), "auth")
 _rule("l03_ssh_brute_force", d.ssh_brute_force(3, "4d"), "auth")
 _rule("l06_lateral_spread", d.lateral_spread(2, 3, "3d"), "conn")
 _rule("l07_c2_beaconing", d.beaconing(2, "10d", 6000), "conn", "2d")
+_rule("e17_periodicity", d.heartbeat(3, 1.5e10, "20d", 6000), "conn", "2d")
 _rule("l09_dns_tunneling", d.dns_tunneling(2, 4, "4d"), "dns")
 _rule("l10_data_exfiltration", d.data_exfiltration(3, 5000, "3d"), "conn")
 _rule("l11_pass_the_hash", d.pass_the_hash(2, 2, "6d"), "auth")
@@ -92,17 +95,12 @@ _rule("l14_new_account", d.new_account(2, "2d"), "change")
 _rule("l15_scheduled_task", d.scheduled_task(1, "1d"), "change")
 _rule("l16_data_bulk_export", d.data_bulk_export(60, 6000, 2, "6d"), "data")
 _rule("l18_close_demo", d.close_demo(4000, 2, "1d"), "conn", "12h")
-_rule("l19_netflow_syn_scan", d.netflow_syn_scan(3, "3d"), "conn")
-_rule("l20_dns_tunnel_probe", d.netflow_dns_tunnel_probe(2, 40, "3d"), "dns")
 _rule("l22_rat_propagation", d.rat_propagation("8d", 6000, 7000), "both")
 _rule("l22_rat_propagation_exploit", d.rat_propagation_exploit("4d", 6000, 7000), "both")
 _rule(
     "l23_sqli_probe", d.sqli_probe(3, "2d"), "http", prepare=d.marked_sqli,
     source_sql=f"SELECT *, regexp_matches(uri, '{'|'.join('(' + p.replace(chr(39), chr(39) * 2) + ')' for p in d.SQLI_PATTERNS)}') AS injected FROM ({view_sql('http')})",
 )
-_rule("l26_known_route", d.known_route("1d"), "conn")
-_rule("l27_scan_detect", d.scan_detect(5, "2d"), "conn")
-_rule("l27_traffic_spike", d.traffic_spike(6, "2d"), "conn")
 _rule("l28_brute_force", d.brute_force_count(2, "2d"), "auth")
 _rule("l28_port_scan", d.port_scan_distinct(4, "4d"), "conn")
 _rule("l28_data_exfil", d.data_exfil(10_000, 12_000, "1d"), "conn", "6h")
@@ -113,7 +111,7 @@ _AND = Rule("and_close", ("sip",), "1d", (Step("TRUE", 2),), 70, ("ip", "sip"),
 _rule("e8_and_close", _AND, "conn", "12h")
 _rule("e9_or_close", _AND.with_(name="or_close", close_mode="or"), "conn", "12h")
 _rule("e11_close_conditions", _AND.with_(name="close_conditions", close="count(*) >= 2 AND avg(bytes) >= 5000 AND max(dport) > 100 AND count(DISTINCT dip) >= 2"), "conn")
-_rule("c8_close_guard", _AND.with_(name="close_guard", close="count(*) >= 2 AND min(bytes) >= 1000"), "conn")
+_rule("c8_close_guard", _AND.with_(name="close_guard", close="count(*) >= 2 AND min(bytes) >= 1000 AND close_reason = 'timeout'"), "conn", "12h")
 
 _OPEN = _AND.with_(dur="6d", close="count(*) >= 2")
 _rule("f9_close_timeout", _OPEN.with_(name="by_timeout"), "conn", "1d", end_reason=None)
@@ -122,6 +120,78 @@ _rule("f11_close_flush", _OPEN.with_(name="by_flush"), "conn", "1d", end_reason=
 _rule("i8_no_end_close", _OPEN.with_(name="swept", close_mode="or"), "conn", "10d", end_reason=None)
 _rule("e10_close_counts_all", _AND.with_(name="all_events", steps=(Step("bytes >= 5000", 1), Step("bytes < 5000", 1)), close="count(*) >= 3"), "conn")
 
+# --- routed streams ---------------------------------------------------------------------------
+
+_SCAN, _PROBE = d.netflow_syn_scan(3, "3d"), d.netflow_dns_tunnel_probe(2, 40, "3d")
+
+
+def _tagged(spark, sf, tag: str = "NULL", fixed: str = "") -> DataFrame:
+    """All events as one stream; ``tag`` is the SQL expression of its tag field."""
+    return routing.tag(events(spark, sf).withColumnRenamed("value", "amount").withColumn("stream_tag", F.expr(tag)), fixed)
+
+
+def _window(stream: DataFrame, tag: str, name: str) -> DataFrame:
+    return routing.window(stream, tag, *BASE, *[F.expr(e).alias(c) for c, e in VIEWS[name].items()])
+
+
+def _window_sql(name: str, where: str = "TRUE") -> str:
+    return f"SELECT {', '.join(BASE)}, {', '.join(f'{e} AS {c}' for c, e in VIEWS[name].items())} FROM ({SOURCE}) WHERE {where}"
+
+
+@query(f"SELECT * FROM ({rule.oracle(_SCAN, _window_sql('conn'), name='w0')}) UNION ALL SELECT * FROM ({rule.oracle(_PROBE, _window_sql('dns'), name='w1')})")
+def l19_netflow_syn_scan(spark, sf):
+    """One tagged stream feeds a connection and a DNS window, with a rule on each."""
+    stream = _tagged(spark, sf, fixed="netflow")
+    scans, probes = rule.run(_SCAN, _window(stream, "netflow", "conn")), rule.run(_PROBE, _window(stream, "netflow", "dns"))
+    return rule.flat(scans.unionByName(probes))
+
+
+_MIXED = "CASE WHEN event_type IN ('click', 'view') THEN 'netflow' ELSE 'dns' END"
+
+
+@query(
+    f"SELECT * FROM ({rule.oracle(_SCAN, _window_sql('conn', _MIXED + chr(61) + repr('netflow')), name='w0')}) UNION ALL "
+    f"SELECT * FROM ({rule.oracle(_PROBE.with_(name='dns_tunnel_probe'), _window_sql('dns', _MIXED + chr(61) + repr('dns')), name='w1')})"
+)
+def l20_dns_tunnel_probe(spark, sf):
+    """A stream of mixed tags: each tag feeds its own window, with a rule on each."""
+    stream = _tagged(spark, sf, _MIXED)
+    scans = rule.run(_SCAN, _window(stream, "netflow", "conn"))
+    return rule.flat(scans.unionByName(rule.run(_PROBE.with_(name="dns_tunnel_probe"), _window(stream, "dns", "dns"))))
+
+
+_ROUTE = d.known_route("1d")
+_STRAY = "CASE event_type WHEN 'error' THEN ' ' WHEN 'signup' THEN 'mystery' ELSE 'netflow' END"
+
+
+@query(
+    f"SELECT rule_name AS name, count(*) AS n FROM ({rule.oracle(_ROUTE, _window_sql('conn', _STRAY + chr(61) + repr('netflow')))}) GROUP BY rule_name UNION ALL "
+    f"SELECT CASE event_type WHEN 'error' THEN 'missing_stream_tag_field' ELSE 'unknown_stream_schema' END, count(*) FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1"
+)
+def l26_known_route(spark, sf):
+    """A known route keeps alerting while rows of an unknown tag and of none are counted as misses."""
+    stream = _tagged(spark, sf, _STRAY)
+    found = rule.run(_ROUTE, _window(stream, "netflow", "conn")).groupBy(F.col("rule_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(routing.misses(stream, ["netflow"]).select(F.col("reason").alias("name"), F.col("rows").alias("n")))
+
+
+_TARGET = T.StructType([T.StructField(n, t) for n, t in (("sip", T.LongType()), ("alert_type", T.StringType()), ("detail", T.StringType()), ("request_count", T.IntegerType()), ("sensor", T.StringType()))])
+
+
+def _yielding(name: str, r: Rule, kind: str, n: int):
+    def run(spark, sf):
+        found = rule.run(r, view(spark, sf, "conn"))
+        base = {"alert_type": F.lit("base"), "sensor": F.lit("flow")}
+        fields = alerts.preset(base, sip=F.col("entity_id"), alert_type=F.lit(kind), detail=F.lit(f"{n} or more requests"), request_count=F.lit(str(n)))
+        return alerts.yields(found, _TARGET, fields)
+
+    run.__name__, run.__doc__ = name, f"{r.name} in the target's shape: a preset, what the rule gives by name, and the target's types."
+    query(f"SELECT CAST(entity_id AS BIGINT) AS sip, '{kind}' AS alert_type, '{n} or more requests' AS detail, CAST({n} AS INTEGER) AS request_count, 'flow' AS sensor FROM ({rule.oracle(r, view_sql('conn'))})")(run)
+
+
+_yielding("l27_scan_detect", d.scan_detect(5, "2d"), "scanner", 5)
+_yielding("l27_traffic_spike", d.traffic_spike(6, "2d"), "spike", 6)
+
 # --- row triggers and joins ---------------------------------------------------------------
 
 
@@ -134,7 +204,7 @@ _WEAK = f"SELECT a.*, password_masked, coalesce(category, 'unknown') AS category
 
 
 @query(
-    f"SELECT event_id, password_masked AS found_password, category, 'user ''' || account || ''' logged in from ' || sip || ' with known weak credential (password: ' || password_masked || ', category: ' || category || ')' AS detail FROM ({_WEAK})"
+    f"SELECT event_id, password_masked AS found_password, category, 'listed password ' || password_masked || ' [' || category || '] opened account ' || account || ' to ' || sip AS detail FROM ({_WEAK})"
 )
 def l04_weak_password_login(spark, sf):
     return d.weak_password_login(view(spark, sf, "auth"), _hashes(spark, sf), "ssh").select("event_id", "found_password", "category", "detail")
@@ -206,9 +276,21 @@ def _evidence(spark, sf):
     return kept.select("sip", us("window_start"), "window_events", "matches", "trigger_value", *[us(t) for t in times[1:]], "first_dip", "top_account")
 
 
-@query(ORACLES["l24_ssh_evidence"])
+_STAGED = [Step("action = 'syn'", 2), Step("action = 'login_fail'", 1)]
+
+
+@query(
+    sql.chain(view_sql("conn"), ["sip"], "4d", _STAGED)
+    + f" SELECT sip, {sql.us('window_start')} AS window_start_us, count(*) AS window_events, count(*) FILTER (fired) AS matches, count(*) FILTER (step = 0) AS scans_reached, count(*) FILTER (step = 1) AS logins_reached, "
+    f"arg_max(measure, (ts, event_id)) FILTER (fired) AS trigger_value, {sql.us('min(ts)')} AS first_event_us, {sql.us('max(ts)')} AS last_event_us FROM w "
+    "WHERE window_start IS NOT NULL AND (action = 'syn' OR action = 'login_fail') GROUP BY sip, window_start"
+)
 def e13_evidence(spark, sf):
-    return _evidence(spark, sf)
+    """What a two-step chain leaves behind in each window: its counts, how often each step was reached, the measure that fired last."""
+    tracked = match.track(view(spark, sf, "conn"), ["sip"], "ts", "event_id", "4d", _STAGED)
+    reached = [F.count_if(F.col("step") == i).alias(n) for i, n in enumerate(("scans_reached", "logins_reached"))]
+    seen = match.evidence(tracked, ["sip"], "ts", "event_id", "4d", *reached)
+    return seen.select("sip", us("window_start"), "window_events", "matches", "scans_reached", "logins_reached", "trigger_value", us("first_event"), us("last_event"))
 
 
 @query(
@@ -223,17 +305,6 @@ def e16_values(spark, sf):
     ).select("user_id", us("window_start"), "kinds", "first_k", "last_k")
 
 
-@query(
-    f"SELECT user_id, count(*) AS gaps, round(avg(g) / 1e6, 4) AS mean_gap, round(sqrt(var_pop(g)) / avg(g), 4) AS variation FROM (SELECT user_id, CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS g FROM {E}) WHERE g IS NOT NULL GROUP BY user_id HAVING count(*) >= 5"
-)
-def e17_periodicity(spark, sf):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = (windows.micros("ts") - F.lag(windows.micros("ts")).over(order)).cast("double")
-    gaps = events(spark, sf).select("user_id", gap.alias("g")).where(F.col("g").isNotNull())
-    out = gaps.groupBy("user_id").agg(F.count(F.lit(1)).alias("gaps"), F.round(F.avg("g") / 1e6, 4).alias("mean_gap"), F.round(F.sqrt(F.var_pop("g")) / F.avg("g"), 4).alias("variation"))
-    return out.where("gaps >= 5")
-
-
 # --- windows ---------------------------------------------------------------------------------
 
 
@@ -271,13 +342,13 @@ def f4_trailing(spark, sf):
 
 
 _PAIRED = Rule("two_sources", ("user_id",), "5d", (Step("src = 'event' AND amount >= 60", 1), Step("src = 'order'", 1)), 90, ("user", "user_id"))
-_TWO = "SELECT event_id, ts, user_id, 'event' AS src, amount FROM (" + SOURCE + ") UNION ALL SELECT 1000000000 + o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 720), o_custkey, 'order', NULL FROM orders WHERE o_orderkey % 4 = 0"
+_TWO = "SELECT event_id, ts, user_id, 'event' AS src, amount FROM (" + SOURCE + ") UNION ALL SELECT 1000000000 + o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 720), o_custkey, 'order', NULL FROM orders"
 
 
 @query(rule.oracle(_PAIRED, _TWO))
 def f8_two_sources(spark, sf):
     own = events(spark, sf).select("event_id", "ts", "user_id", F.lit("event").alias("src"), F.col("value").alias("amount"))
-    orders = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(
+    orders = table(spark, sf, "orders").select(
         (F.col("o_orderkey") + 1_000_000_000).alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + (F.col("o_orderkey") % 720) * 3600).alias("ts"), F.col("o_custkey").alias("user_id"), F.lit("order").alias("src")
     )
     return rule.flat(rule.run(_PAIRED, own.unionByName(orders, allowMissingColumns=True)))
@@ -289,12 +360,12 @@ _MAPPED = Rule("key_map", ("who",), "4d", (Step("src = 'act' AND event_type = 'v
 @query(
     rule.oracle(
         _MAPPED,
-        "SELECT event_id, ts, user_id AS who, event_type, 'act' AS src FROM events UNION ALL SELECT 1000000000 + o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 700), o_custkey, NULL, 'buy' FROM orders WHERE o_orderkey % 5 = 0",
+        "SELECT event_id, ts, user_id AS who, event_type, 'act' AS src FROM events UNION ALL SELECT 1000000000 + o_orderkey, CAST('2024-01-01' AS TIMESTAMP) + INTERVAL 1 HOUR * (o_orderkey % 700), o_custkey, NULL, 'buy' FROM orders",
     )
 )
 def e6_key_map(spark, sf):
     """One chain over two tables whose key columns have different names."""
-    orders = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(
+    orders = table(spark, sf, "orders").select(
         "o_custkey", (F.col("o_orderkey") + 1_000_000_000).alias("order_no"), F.timestamp_seconds(F.lit(1704067200) + (F.col("o_orderkey") % 700) * 3600).alias("at")
     )
     acts = events(spark, sf).select("event_id", "ts", "user_id", "event_type")

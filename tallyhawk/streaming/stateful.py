@@ -8,7 +8,6 @@ open chain of a key; a key whose window is over and whose buffer is empty has no
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyhawk.operators.match import Step, _Chain
+from tallyhawk.operators.match import Step, _Chain, inputs_of, plan_of, rows_of
 from tallyhawk.operators.windows import micros, seconds
 
 OUTPUT = "key string, window_start timestamp, fired_at timestamp, event_id string, origin string, value double, window_events long"
@@ -32,7 +31,7 @@ def _advance(rows: list, chain: _Chain | None, plan: tuple, span: int, on_fire:
         if close_at_least is not None and state.start is not None and seen >= close_at_least:
             out.append((key, state.start, state.start + span, None, "close:timeout", None, seen))
 
-    for row in sorted(rows):
+    for row in sorted(rows, key=lambda r: r[:2]):
         t, event, flags, values = row
         if t > upto:
             wait.append(row)
@@ -60,14 +59,12 @@ def matched(
     ``stream`` needs a watermark on ``ts``. Append mode. What the watermark has not passed
     at the end of a finite input stays in the state, as windows do that end later.
     """
-    span, plan, k = seconds(dur) * 1_000_000, tuple((s.measure, s.least) for s in steps), len(steps)
+    span, plan = seconds(dur) * 1_000_000, plan_of(steps)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows, chain = pickle.loads(state.get[0]) if state.exists else ([], None)
         for t in frames:
-            flags = list(zip(*[t[f"_f{i}"] for i in range(k)], strict=True))
-            values = list(zip(*[[None if v is None or v != v else v for v in t[f"_v{i}"]] for i in range(k)], strict=True))
-            rows += list(zip(t["_t"].tolist(), t["_id"], flags, values, strict=True))
+            rows += list(zip(t["_t"].tolist(), t["_id"], *rows_of(t, steps), strict=True))
         upto = state.getCurrentWatermarkMs() * 1000
         out, rows, chain = _advance(rows, chain, plan, span, on_fire, upto, key[0], close_at_least)
         if rows or chain.start is not None:
@@ -82,17 +79,19 @@ def matched(
                 table[c] = pd.to_datetime(table[c], unit="us", utc=True)
             yield table
 
-    values = [F.expr(s.of).cast("string" if s.measure == "distinct" else "double").alias(f"_v{i}") for i, s in enumerate(steps)]
     ready = stream.where(F.col(ts).isNotNull()).select(
         ts, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_k"), micros(ts).alias("_t"), F.col(order).cast("string").alias("_id"),
-        *[F.coalesce(F.expr(s.flag), F.lit(False)).alias(f"_f{i}") for i, s in enumerate(steps)], *values,
+        *inputs_of(steps),
     )
     return ready.groupBy("_k").applyInPandasWithState(run, OUTPUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or one of our own where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhawk-")
+    """The folder that ``spark.checkpoint.dir`` names. Without one there is none that driver and executors share, which is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool = True, every: str = "10 seconds"):

@@ -146,3 +146,52 @@ def test_null_keys_and_times(spark):
     assert sorted((r.event_id, r.row_in_window) for r in got) == [(1, 1), (2, 2), (4, 1)]
     cut = windows.stretches(df.where("ts IS NOT NULL"), ["k"], "ts", "5m", "part")
     assert cut.count() == 3
+
+
+def test_alternatives_keep_their_own_thresholds(spark):
+    step = match.any_of(Step("kind = 'error'", 2), Step("amount >= 50", 100, "sum", "amount"), Step("TRUE", 4, "distinct", "kind"))
+    r = rule.Rule("either", ("who",), "10m", (step,), 10, ("user", "who"))
+    names = ["who", "kind", "amount"]
+    run = lambda rows: len(said(rule.run(r, table(spark, rows, names))))
+    assert run([(None, "a", "error", 1), (None, "a", "ok", 60)]) == 0
+    assert run([(None, "a", "error", 1), (None, "a", "error", 1)]) == 1
+    assert run([(None, "a", "ok", 60), (None, "a", "ok", 49), (None, "a", "ok", 50)]) == 1
+    assert run([(None, "a", k, 1) for k in "abcd"]) == 1 and run([(None, "a", k, 1) for k in "abca"]) == 0
+
+
+def test_close_guard_on_the_reason(spark):
+    r = d.brute_force_count(1, "1m").with_(close="count(*) >= 1 AND close_reason = 'timeout'")
+    rows = table(spark, [(0, "a", "failed"), (100, "b", "failed")], ["sip", "result"])
+    assert said(rule.run(r, rows)) == [("a", "close:timeout", 70.0)]
+    assert said(rule.run(r.with_(close="close_reason = 'eos'"), rows)) == [("b", "close:eos", 70.0)]
+    assert said(rule.run(r.with_(close="close_reason = 'flush'"), rows, end_reason="flush")) == [("b", "close:flush", 70.0)]
+
+
+def test_even_intervals(spark):
+    r = d.heartbeat(4, 1.0, "1h", 200)
+    names = ["sip", "dip", "bytes_out"]
+    even, uneven = [(60 * k, "a", "x", 10) for k in range(5)], [(60 * k + 7 * (k % 2), "b", "x", 10) for k in range(5)]
+    assert said(rule.run(r, table(spark, even + uneven, names))) == [("a", "close:eos", 90.0)]
+
+
+@pytest.mark.parametrize("on_fire", ["reset", "once", "every"])
+def test_split_keys_and_clashing_columns(spark, on_fire):
+    """A hot key dealt to several tasks gives what one task gives, whatever the event's columns are called."""
+    rnd = random.Random(2)
+    rows, at = [], 0
+    for i in range(400):
+        at += rnd.choice([1, 5, 20, 400])
+        rows.append((i, T0 + timedelta(seconds=at), "hot" if i % 3 else None, i % 7, i, 1, 2, 3))
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, who string, k bigint, _t bigint, _k int, _f0_0 int, _row int").repartition(3)
+    steps = [Step("k < 5", 2, "distinct", "k"), Step("k > 2", 6, "sum", "k")]
+    whole = match.track(df, ["who"], "ts", "event_id", "1m", steps, on_fire)
+    part = windows.stretches(df, ["who"], "ts", "1m", "part")
+    assert part.select("part").distinct().count() > 20
+    split = match.track(part, ["who"], "ts", "event_id", "1m", steps, on_fire, ["part"])
+    assert split.drop("part").columns == whole.columns
+    assert sorted(map(str, split.drop("part").collect())) == sorted(map(str, whole.collect()))
+    one = windows.anchored(df, ["who"], "ts", "event_id", "1m")
+    assert sorted((r._t, r.window_start) for r in one.collect()) == sorted((r._t, r.window_start) for r in windows.anchored(part, ["who"], "ts", "event_id", "1m", ["part"]).collect())
+    r = rule.Rule("hot", ("who",), "1m", tuple(steps), 1, ("user", "who"), on_fire=on_fire)
+    told = lambda f: sorted(str((r.entity_id, r.fired_at)) for r in f.collect())
+    assert told(rule.run(r, df, split=True)) == told(rule.run(r, df))
