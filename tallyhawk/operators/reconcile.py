@@ -1,14 +1,18 @@
 """Expected against actual alerts within tolerances, and how well rules detect.
 
-Alerts meet by rule, entity and origin. Within such a group each expected alert, in time
-order, takes the nearest actual one not taken yet. Where both sides have at most one, which
-is the usual case, a full outer join says the same; only the other groups are paired in
-order, by a cogrouped function.
+Alerts meet by rule, entity and origin. Within such a group each expected alert, in order of
+time and score, takes the nearest actual one not taken yet (of equally near ones the earlier,
+then the one of lower score). Both sides are one table dealt by key and sorted by time, read
+once: expected alerts wait for the next actual one, and actual ones that nobody took lie on
+a stack whose top is the nearest before. What is held is the waiting and the left-over
+alerts of one key, not the key's alerts.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,42 +35,96 @@ def plain(alerts: DataFrame) -> DataFrame:
     )
 
 
+class _Pairing:
+    """Pairs of one key: actual alerts are given by time, those of one time together, expected ones by time after them."""
+
+    def __init__(self):
+        self.waiting: list[tuple[int, float]] = []  # expected (time, score) later than every actual one but those on the stack
+        self.left: list[tuple[int, float]] = []  # actual, nearest on top
+        self.pairs: list[tuple] = []
+
+    def expect(self, t: int, score) -> None:
+        self.waiting.append((t, score))
+
+    def meet(self, t: int, scores: list) -> None:
+        """Actual alerts of time ``t``, lowest score first."""
+        for at, (e, score) in enumerate(self.waiting):
+            if self.left and e - self.left[-1][0] <= t - e:
+                self.pairs.append((e, score, *self.left.pop()))
+            elif scores:
+                self.pairs.append((e, score, t, scores.pop(0)))
+            else:
+                self.waiting = self.waiting[at:]
+                return
+        self.waiting = []
+        self.left += [(t, s) for s in reversed(scores)]
+
+    def end(self) -> None:
+        for e, score in self.waiting:
+            self.pairs.append((e, score, *(self.left.pop() if self.left else (None, None))))
+        self.pairs += [(None, None, *a) for a in self.left]
+        self.waiting, self.left = [], []
+
+
+_OUT = [("expected_at", pa.int64()), ("expected_score", pa.float64()), ("actual_at", pa.int64()), ("actual_score", pa.float64())]
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(k, pa.string()) for k in KEY] + _OUT)
+    key, pairing, same = None, _Pairing(), None  # same: the time whose actual alerts are being gathered, and their scores
+    out: list[tuple] = []
+
+    def told() -> None:
+        out.extend((*key, *p) for p in pairing.pairs)
+        pairing.pairs = []
+
+    for batch in batches:
+        for *own, expected, t, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != key:
+                if key is not None:
+                    if same:
+                        pairing.meet(*same)
+                    pairing.end()
+                    told()
+                key, same = own, None
+            if same and (expected or t != same[0]):
+                pairing.meet(*same)
+                same = None
+            if expected:
+                pairing.expect(t, score)
+            else:
+                same = same or (t, [])
+                same[1].append(score)
+        if key is not None:
+            told()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out.clear()
+    if key is not None:
+        if same:
+            pairing.meet(*same)
+        pairing.end()
+        told()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, score_tolerance: float = SCORE_TOLERANCE, time_tolerance_s: float = TIME_TOLERANCE_S) -> DataFrame:
     """One row per pair or leftover: key, ``status`` (matched, field_mismatch, missing, unexpected), both scores and times.
 
-    A null in a key equals a null.
+    A null in a key equals a null; a null time counts as the epoch, a null score agrees with none.
     """
-    sides = []
-    for name, side in (("expected", plain(expected)), ("actual", plain(actual))):
-        known = side.select(*[F.coalesce(k, F.lit("\x00")).alias(k) for k in KEY], F.col("score").alias(f"{name}_score"), F.col("at").alias(f"{name}_at"))
-        sides.append(known)
-    counts = [s.groupBy(*KEY).agg(F.count(F.lit(1)).alias(n)) for s, n in zip(sides, ("e", "a"), strict=True)]
-    several = counts[0].join(counts[1], KEY).where("e > 1 OR a > 1").select(*KEY)
-    single = [s.join(several, KEY, "left_anti") for s in sides]
-    crowd = [s.join(several, KEY, "left_semi") for s in sides]
-    one = single[0].withColumn("_e", F.lit(True)).join(single[1].withColumn("_a", F.lit(True)), KEY, "full")
-
-    def pair(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(["expected_at", "expected_score"])
-        a = a.sort_values(["actual_at", "actual_score"]).reset_index(drop=True)
-        free, rows = list(range(len(a))), []
-        for x in e.itertuples(index=False):
-            near = min(free, key=lambda k: abs((a.actual_at[k] - x.expected_at).total_seconds()), default=None)
-            if near is not None:
-                free.remove(near)
-            rows.append((*x[:4], x.expected_score, x.expected_at, *((a.actual_score[near], a.actual_at[near]) if near is not None else (None, None)), True, near is not None))
-        rows += [(*a.loc[k, KEY], None, None, a.actual_score[k], a.actual_at[k], False, True) for k in free]
-        return pd.DataFrame(rows, columns=[*KEY, "expected_score", "expected_at", "actual_score", "actual_at", "_e", "_a"])
-
-    shape = ", ".join(f"{k} string" for k in KEY) + ", expected_score double, expected_at timestamp, actual_score double, actual_at timestamp, _e boolean, _a boolean"
-    many = crowd[0].groupBy(*KEY).cogroup(crowd[1].groupBy(*KEY)).applyInPandas(pair, shape)
-    pairs = one.unionByName(many)
-    within = (F.abs(F.col("expected_score") - F.col("actual_score")) <= score_tolerance) & (
-        F.abs(F.unix_micros("expected_at") - F.unix_micros("actual_at")) <= time_tolerance_s * 1e6
-    )
-    status = F.when(F.col("_a").isNull() | ~F.col("_a"), "missing").when(F.col("_e").isNull() | ~F.col("_e"), "unexpected").when(F.coalesce(within, F.lit(False)), "matched").otherwise("field_mismatch")
-    keys = [F.nullif(F.col(k), F.lit("\x00")).alias(k) for k in KEY]
-    return pairs.select(*keys, status.alias("status"), "expected_score", "actual_score", "expected_at", "actual_at")
+    sides = [
+        plain(side).select(*KEY, F.lit(name == "expected").alias("expected"), F.coalesce(F.unix_micros("at"), F.lit(0)).alias("t"), "score")
+        for name, side in (("expected", expected), ("actual", actual))
+    ]
+    dealt = sides[0].unionByName(sides[1]).repartition(*KEY).sortWithinPartitions(*KEY, "t", "expected", "score")
+    shape = ", ".join(f"{k} string" for k in KEY) + ", expected_at long, expected_score double, actual_at long, actual_score double"
+    pairs = dealt.mapInArrow(_paired, shape)
+    within = (F.abs(F.col("expected_score") - F.col("actual_score")) <= score_tolerance) & (F.abs(F.col("expected_at") - F.col("actual_at")) <= time_tolerance_s * 1e6)
+    status = F.when(F.col("actual_at").isNull(), "missing").when(F.col("expected_at").isNull(), "unexpected").when(F.coalesce(within, F.lit(False)), "matched").otherwise("field_mismatch")
+    times = [F.timestamp_micros(c).alias(c) for c in ("expected_at", "actual_at")]
+    return pairs.select(*KEY, status.alias("status"), "expected_score", "actual_score", *times)
 
 
 def report(pairs: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ _ACTUAL = (
 
 
 def _sides(spark, sf):
-    found = rule.run(_FIRST, view(spark, sf, "conn")).withColumn("origin", F.concat_ws("@", "origin", micros("fired_at")))
+    found = rule.run(_FIRST, view(spark, sf, "conn"))
     n = F.floor(micros("fired_at") / 1000) + F.col("entity_id").cast("bigint")
     moved = F.timestamp_micros(micros("fired_at") + F.when(n % 11 == 0, 3_000_000).otherwise(500_000))
     actual = found.where(n % 7 != 0).select(
@@ -165,17 +165,28 @@ def _sides(spark, sf):
     return found, actual.unionByName(more)
 
 
-_PAIRS = (
-    f"SELECT coalesce(x.entity_id, y.entity_id) AS entity_id, coalesce(x.origin, y.origin) AS origin, CASE WHEN y.origin IS NULL THEN 'missing' WHEN x.origin IS NULL THEN 'unexpected' "
-    "WHEN abs(x.score - y.s) <= 0.01 AND abs(x.fired_at_us - y.moved) <= 1000000 THEN 'matched' ELSE 'field_mismatch' END AS status "
-    f"FROM (SELECT entity_id, 'event@' || fired_at_us AS origin, score, fired_at_us FROM ({_FOUND})) x FULL JOIN "
-    f"(SELECT entity_id, 'event@' || fired_at_us AS origin, s, moved FROM ({_ACTUAL}) UNION ALL SELECT entity_id, 'xevent@' || fired_at_us, s, moved FROM ({_ACTUAL}) WHERE {_BY} % 13 = 0) y ON x.entity_id = y.entity_id AND x.origin = y.origin"
-)
+#: The nearest actual alert not taken yet, for each expected one in turn; used holds the places taken.
+_NEAR = "list_transform(free, lambda i: abs(ts[i] - t))"
+_PAIRS = f"""WITH RECURSIVE ex AS (SELECT entity_id, origin, score, fired_at_us AS t, row_number() OVER (PARTITION BY entity_id, origin ORDER BY fired_at_us, score) AS rn FROM ({_FOUND})),
+act AS (SELECT entity_id, origin, s, moved FROM ({_ACTUAL}) UNION ALL SELECT entity_id, 'x' || origin, s, moved FROM ({_ACTUAL}) WHERE {_BY} % 13 = 0),
+ac AS (SELECT entity_id, origin, list(moved ORDER BY moved, s) AS ts, list(s ORDER BY moved, s) AS ss FROM act GROUP BY ALL),
+st AS (SELECT DISTINCT entity_id, origin, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM ex
+ UNION ALL SELECT entity_id, origin, rn, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM
+  (SELECT *, free[list_position({_NEAR}, list_min({_NEAR}))] AS pick FROM
+   (SELECT e.entity_id, e.origin, e.rn, e.t, st.used, ac.ts, list_filter(range(1, coalesce(len(ac.ts), 0) + 1), lambda i: NOT list_contains(st.used, i)) AS free
+    FROM st JOIN ex e ON e.entity_id = st.entity_id AND e.origin = st.origin AND e.rn = st.rn + 1 LEFT JOIN ac ON ac.entity_id = e.entity_id AND ac.origin = e.origin))),
+both_ AS (SELECT e.entity_id, e.origin, e.t AS expected_us, e.score AS es, ac.ts[st.pick] AS actual_us, ac.ss[st.pick] AS s FROM ex e JOIN st USING (entity_id, origin, rn) LEFT JOIN ac USING (entity_id, origin)
+ UNION ALL SELECT entity_id, origin, NULL, NULL, m, s FROM (SELECT a.entity_id, a.origin, unnest(a.ts) AS m, unnest(a.ss) AS s, unnest(range(1, len(a.ts) + 1)) AS i, u.used FROM ac a LEFT JOIN
+   (SELECT entity_id, origin, arg_max(used, rn) AS used FROM st GROUP BY ALL) u USING (entity_id, origin)) WHERE used IS NULL OR NOT list_contains(used, i))
+SELECT entity_id, origin, CASE WHEN actual_us IS NULL THEN 'missing' WHEN expected_us IS NULL THEN 'unexpected'
+ WHEN abs(es - s) <= 0.01 AND abs(expected_us - actual_us) <= 1000000 THEN 'matched' ELSE 'field_mismatch' END AS status, coalesce(expected_us, -1) AS expected_us, coalesce(actual_us, -1) AS actual_us FROM both_"""
 
 
 @query(_PAIRS)
 def j1_reconcile(spark, sf):
-    return reconcile.reconcile(*_sides(spark, sf)).select("entity_id", "origin", "status")
+    """Alerts of each entity against themselves with losses, shifts and repeats: every key has several on both sides."""
+    pairs = reconcile.reconcile(*_sides(spark, sf))
+    return pairs.select("entity_id", "origin", "status", *[F.coalesce(micros(f"{c}_at"), F.lit(-1)).alias(f"{c}_us") for c in ("expected", "actual")])
 
 
 @query(

@@ -116,6 +116,30 @@ def test_reconcile_pairs(spark):
     assert [r.passed for r in reconcile.checks(rates, [("hit", ">=", 0.8), ("miss", "<=", 0.1)]).collect()] == [True, False]
 
 
+def test_reconcile_against_a_plain_search(spark):
+    """Crowded keys, ties in time and score, prefixed names, nulls."""
+    import random
+
+    rnd = random.Random(3)
+    shape = "rule_name string, score double, entity_type string, entity_id string, origin string, fired_at timestamp"
+    some = lambda n: [("r", float(rnd.choice([10, 20])), "ip", rnd.choice("ab"), "event", T0 + timedelta(seconds=rnd.randrange(40))) for _ in range(n)]
+    for n, m in ((60, 60), (80, 30), (10, 70), (0, 5), (5, 0)):
+        expected, actual = some(n), some(m)
+        want = []
+        for k in "ab":
+            free = sorted((a[5], a[1]) for a in actual if a[3] == k)
+            for t, s in sorted((e[5], e[1]) for e in expected if e[3] == k):
+                near = min(free, key=lambda a: abs(a[0] - t), default=None)
+                if near:
+                    free.remove(near)
+                want.append((k, t, s, *(near or (None, None))))
+            want += [(k, None, None, *a) for a in free]
+        named = alerts.with_prefix(spark.createDataFrame(actual, shape))
+        got = reconcile.reconcile(spark.createDataFrame(expected, shape), named).collect()
+        utc = lambda t: t and t.replace(tzinfo=timezone.utc)
+        assert sorted(map(str, ((r.entity_id, utc(r.expected_at), r.expected_score, utc(r.actual_at), r.actual_score) for r in got))) == sorted(map(str, want))
+
+
 def test_late_rows(spark):
     rows = [(i, T0 + timedelta(seconds=s)) for i, s in enumerate([0, 100, 50, 95, 200, 100])]
     df = spark.createDataFrame(rows, "n long, ts timestamp").withColumn("slot", F.floor(F.col("n") / 2))
