@@ -2,8 +2,9 @@
 
 A document of n tokens is cut into pieces whose lengths are powers of two: as many of the
 longest length as fit, then the binary digits of the rest from the top. Each piece is a
-sequence of its own, so no sequence crosses documents and none has padding. Sequences are
-numbered in order of length, so those of one length form a bucket of adjacent numbers.
+sequence of its own, so no sequence crosses documents and none has padding. A sequence's
+number has its length in the leading bits, so those of one length form a bucket; then the
+task that made it, then its place there. Nothing is sorted or moved: packing is one pass.
 
 Token ids come from a published vocabulary. Words that white space separates are encoded
 alone (neither its normaliser nor its merges look across white space) and remembered in
@@ -15,28 +16,27 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint, written
-
 END = np.uint32(1).tobytes()
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split() takes them for white space, the vocabulary's pattern does not
 _LONGEST_KEPT = 64
 
 
 class WordIds:
-    """Token ids of texts as little-endian uint32 bytes; remembers up to ``most`` words."""
+    """Token ids of texts as little-endian uint32 bytes; remembers up to ``most`` words, when full the half met first, which has the frequent ones."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # Lower-case letters need no normaliser and no pattern, and a word's last token tells where it ends.
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -48,8 +48,7 @@ class WordIds:
         for token, at in vocabulary.items():
             self.ends[at] = token.endswith("</w>")
         self.most = most
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -63,49 +62,43 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[4 * s : 4 * e] for s, e in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)]
 
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
-        """Its letters in lower case and the punctuation after them; no stem where they are not safe to encode apart."""
-        stem = word.rstrip(".,;:!?")
-        if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ") and "İ" not in stem:
-            return stem.lower(), word[len(stem) :]
-        return "", ""
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        parts = [self._stem(w) for w in words]
-        stems = list({s for s, _ in parts if s and s not in self.stems})
-        new = dict(zip(stems, self._encode_stems(stems), strict=True)) if stems else {}
-        whole = list({p if s else w for w, (s, p) in zip(words, parts, strict=True) if p or not s})
-        apart = dict(zip(whole, self._encode(whole), strict=True)) if whole else {}
-        out = {}
-        for w, (s, p) in zip(words, parts, strict=True):
-            if s:
-                ids = new[s] if s in new else self.stems[s]
-                out[w] = ids + apart[p] if p else ids
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words: the stem in lower case and the punctuation after it apart, where that is safe, else the word as it is."""
+        known = self.words
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        lower = list(map(str.lower, plain))
+        parts, apart = [], []
+        for w in new.difference(plain):
+            s = w.rstrip(".,;:!?")
+            if s.isalpha() and (s.isascii() or (max(s) < "ɐ" and "İ" not in s)):
+                parts.append((w, s.lower(), w[len(s) :]))
             else:
-                out[w] = apart[w]
-        if len(self.words) + len(out) > self.most:
-            self.words, self.stems = {}, {}
-        self.words.update((w, v) for w, v in out.items() if len(w) <= _LONGEST_KEPT)
-        self.stems.update((s, v) for s, v in new.items() if len(s) <= _LONGEST_KEPT)
-        return out
+                apart.append(w)
+        stems = list({*lower, *[s for _, s, _ in parts]}.difference(known))
+        if stems:
+            known.update(zip(stems, self._encode_stems(stems), strict=True))
+        tails = list({t for _, _, t in parts}.difference(known))
+        known.update(zip([*apart, *tails], self._encode(apart + tails), strict=True))
+        known.update(zip(plain, map(known.__getitem__, lower), strict=True))
+        known.update([(w, known[s] + known[t]) for w, s, t in parts])
+
+    def _forget(self, met: set[str]) -> None:
+        for w in met:
+            if len(w) > _LONGEST_KEPT:
+                self.words.pop(w, None)
+                self.words.pop(w.rstrip(".,;:!?").lower(), None)
+        if len(self.words) > self.most:
+            self.words = dict(islice(self.words.items(), self.most // 2))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        known, new = self.words, set()
-        for text in texts:
-            if text and any(c in text for c in _CONTROLS):
-                split.append(None)
-                continue
-            split.append((text or "").split())
-            new.update(w for w in split[-1] if w not in known)
-        learnt = self._learn(list(new)) if new else {}
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(self._encode([text])[0])
-            else:
-                out.append(b"".join([known[w] if w in known else learnt[w] for w in words]))
+        split = [None if text and any(c in text for c in _CONTROLS) else (text or "").split() for text in texts]
+        new = set().union(*[words for words in split if words]).difference(self.words)
+        if new:
+            self._learn(new)
+        known = self.words.__getitem__
+        out = [self._encode([text])[0] if words is None else b"".join(map(known, words)) for text, words in zip(texts, split, strict=True)]
+        if new:
+            self._forget(new)
         return out
 
 
@@ -126,12 +119,20 @@ def cuts(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
+_PIECES = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+        ("sequence_id", pa.int64()), ("offset", pa.int64()),
+    ]
+)
 
 
 def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
+        task = TaskContext.get().partitionId() << 32
+        # The next number of each length.
+        after = {1 << k: (k << 56) + task for k in range(longest.bit_length())}
         rows: list[tuple] = []
         held = 0
 
@@ -140,12 +141,14 @@ def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for at in range(0, len(batch), 64):
-                docs, some = ids[at : at + 64].to_pylist(), texts[at : at + 64].to_pylist()
+            for at in range(0, len(batch), 128):
+                docs, some = ids[at : at + 128].to_pylist(), texts[at : at + 128].to_pylist()
                 for doc, tokens in zip(docs, encode(some), strict=True):
                     tokens += END
                     n = len(tokens) // 4
-                    rows += [(doc, s, m, tokens[4 * s : 4 * (s + m)], n) for s, m in cuts(n, longest)]
+                    for s, m in cuts(n, longest):
+                        rows.append((doc, s, m, tokens[4 * s : 4 * (s + m)], n, after[m], 0))
+                        after[m] += 1
                     held += len(tokens)
                 if held > most_bytes:
                     yield flush()
@@ -156,35 +159,22 @@ def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
     return run
 
 
-def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
-    """``doc_id, start, length, ids (little-endian uint32), doc_tokens``: every token in exactly one piece.
+def packed(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
+    """``doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset``: every token in exactly one piece.
 
     ``longest`` is a power of two. Each document ends with id 1; a null text counts as
-    empty and so has that one token. Repeated rows give their pieces once each.
+    empty and so has that one token. Repeated rows give their pieces once each, an empty
+    table none. ``offset`` is 0, since a piece fills its sequence. A task that runs again on
+    the same rows gives the same numbers; pack a written table, not a plan that draws anew.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
+    schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_cut(vocabulary, longest), schema)
 
 
-def number(parts: DataFrame) -> DataFrame:
-    """``parts`` with ``sequence_id`` (rising with length, then document) and ``offset`` (0: a piece fills its sequence).
-
-    The pieces are written first, since finding the ranges reads them once more than sorting
-    does and would encode every text again. Numbers come from the rows' places in the
-    checkpoint of the sorted pieces and so stay as they are if a task runs again.
-    """
-    ranged = checkpoint(written(parts).repartitionByRange("length", "doc_id", "start").sortWithinPartitions("length", "doc_id", "start"))
-    return ranged.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-
-
-def packed(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
-    """``pieces`` numbered into sequences."""
-    return number(pieces(docs, vocabulary, doc_id, text, longest))
-
-
 def digest(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
-    """``packed`` with the ids' CRC-32 in place of the ids, taken before the exchange."""
-    parts = pieces(docs, vocabulary, doc_id, text, longest)
-    return number(parts.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    """``packed`` with the ids' CRC-32 in place of the ids."""
+    return packed(docs, vocabulary, doc_id, text, longest).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
