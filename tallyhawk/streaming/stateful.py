@@ -8,6 +8,7 @@ open chain of a key; a key whose window is over and whose buffer is empty has no
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,11 +88,11 @@ def matched(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Without one there is none that driver and executors share, which is an error."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local session gets one of its own, and a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder
+    return folder or tempfile.mkdtemp(prefix="spark-")
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool = True, every: str = "10 seconds"):
