@@ -9,27 +9,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder that ``spark.checkpoint.dir`` names.
+#: Rows of a written table that may be broadcast; a larger one is joined by shuffle.
+MOST_BROADCAST = 50_000
 
-    A folder of our own is set only where the session has none, as in tests.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session (as in tests) gets one of its own; on a cluster that
+    would be a folder that driver and executors do not share, so there it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhawk-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like ``checkpoint``, as a compressed Parquet table: for rows that carry whole texts."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhawk-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    """Cut lineage: ``df`` as a Parquet table in the shared folder, read back.
+
+    Unlike ``DataFrame.checkpoint`` this gives the table's true size to the planner. A
+    checkpoint keeps the estimate of the plan it came from, and estimates of joins multiply:
+    over rounds of joins they grow to numbers that the driver can no longer work out.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table marked for broadcast if it has few enough rows, else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -59,3 +80,6 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+checkpoint = written

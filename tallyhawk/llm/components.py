@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint
+from tallyhawk.llm.common import few, released, written
 
 
-def _order(c: str):
-    # A hashed order, so that long chains of ascending ids contract geometrically.
-    return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+#: Edges up to which one task holds them all (about 4 MB): rounds over small tables then cost a few tasks, not a shuffle each.
+_ONE_TASK = 1 << 18
+
+
+def _order(c: str, turn: int):
+    # A hashed order, another in each round, so that neither chains of ascending ids nor a star with an unlucky centre last long.
+    return F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("v"))
 
 
 def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -24,33 +28,39 @@ def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node long, root long) for every node of an edge; equal roots mean connected.
 
-    Each round maps every node to its least neighbour in a hashed order and contracts
-    the edges, which at least halves the nodes left. Only min() with map-side partial
-    aggregation and joins that adaptive execution can split touch a hot node. No edges
-    give an empty result; loops and repeated edges do not matter.
+    Each round maps every node to its least neighbour (itself included) in a hashed order of
+    that round and contracts the edges. A node with a neighbour stays with a chance of at
+    most one half, so the expected number of rounds is logarithmic. Only min() with map-side
+    partial aggregation and joins that adaptive execution can split touch a hot node. No
+    edges give an empty result; loops and repeated edges do not matter.
     """
-    left = checkpoint(_undirected(edges, a, b))
-    roots = None
-    while not left.isEmpty():
-        both = left.union(left.select(F.col("b"), F.col("a")))
-        parent = checkpoint(
+    left = written(_undirected(edges, a, b))
+    roots, turn = None, 0
+    while n := left.count():
+        rows = left.coalesce(1) if n <= _ONE_TASK else left
+        both = rows.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        parent = written(
             both.groupBy("a")
-            .agg(F.min(_order("b")).alias("m"))
+            .agg(F.min(_order("b", turn)).alias("m"))
             .select(
                 F.col("a").alias("node"),
-                F.when(F.col("m") < _order("a"), F.col("m.v")).otherwise(F.col("a")).alias("parent"),
+                F.when(F.col("m") < _order("a", turn), F.col("m.v")).otherwise(F.col("a")).alias("parent"),
             )
         )
+        past = [left, parent]
         if roots is None:
-            roots = parent.select("node", F.col("parent").alias("root"))
+            roots, past = parent.select("node", F.col("parent").alias("root")), [left]
         else:
             step = parent.select(F.col("node").alias("root"), "parent")
-            roots = checkpoint(
+            roots = written(
                 roots.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
             )
-        pa = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
-        pb = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        left = checkpoint(_undirected(left.join(pa, "a").join(pb, "b"), "pa", "pb"))
+        turn += 1
+        pa = few(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")))
+        pb = few(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")))
+        left = written(_undirected(rows.join(pa, "a").join(pb, "b"), "pa", "pb"))
+        for table in past:
+            released(table)
     if roots is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots

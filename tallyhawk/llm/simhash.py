@@ -28,33 +28,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhawk.llm.common import checkpoint
+from tallyhawk.llm.common import written
 from tallyhawk.llm.components import connected_components
 from tallyhawk.llm.forest import merge
 
 CHUNK = 1024
 _SEED = 42
 _STEP = 1 << 14
+_SHIFTS = 64
 
 
-def fingerprint_bytes(text: bytes | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint of a UTF-8 text; 0 for null or a text without words."""
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text, repeats included; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split() if text else []  # bytes.lower() touches A-Z only; split() takes ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    total = len(words) - k + 1
-    for at in range(0, total, _STEP):
-        upto = min(at + _STEP, total)
+    out = np.empty(len(words) - k + 1, np.uint64)
+    for at in range(0, len(out), _STEP):
+        upto = min(at + _STEP, len(out))
         pairs = zip(starts[at:upto].tolist(), ends[at + k - 1 : upto + k - 1].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], _SEED) for s, e in pairs], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
+        out[at:upto] = np.array([digest(joined[s:e], _SEED) for s, e in pairs], np.uint64)
+    return out
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each of the 64 bits: every eighth bit is added up in bytes, 255 hashes at a time."""
+    lanes = np.uint64(0x0101010101010101)
+    counts = np.zeros((8, 8), np.int64)  # [bit in byte, byte]
+    for at in range(0, len(hashes), 255 * 64):
+        h = hashes[at : at + 255 * 64]
+        rows = np.zeros(-(-len(h) // 255) * 255, np.uint64)
+        rows[: len(h)] = h
+        for bit in range(8):
+            sums = ((rows >> np.uint64(bit)) & lanes).reshape(-1, 255).sum(axis=1, dtype=np.uint64)
+            counts[bit] += sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+    return counts.T.ravel()
+
+
+def _remixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """64 further bits from each hash (the finaliser of SplitMix64); word 0 is the hash itself."""
+    if not word:
+        return hashes
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * word % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """``words`` uint64 whose bits are set where over half of the hashes (remixed for each word) have them; zero without hashes."""
+    bits = [_bit_counts(_remixed(hashes, w)) * 2 > len(hashes) for w in range(words)]
+    return np.packbits(np.concatenate(bits), bitorder="little").view("<u8")
+
+
+def fingerprint_bytes(text: bytes | None, shingle: int = 3) -> int:
+    """Unsigned fingerprint of a UTF-8 text; 0 for null or a text without words."""
+    return int(fingerprint_of(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 3) -> DataFrame:
@@ -68,11 +102,11 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
 
 
 def bit_planes(fp: np.ndarray) -> np.ndarray:
-    """[64, words] uint64: bit ``i`` of word ``w`` of plane ``k`` is bit k of fingerprint 64 w + i."""
+    """[bits, words] uint64: bit ``i`` of word ``w`` of plane ``k`` is bit k of fingerprint 64 w + i. Fingerprints are [n] or [n, words] uint64."""
     n = len(fp)
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(np.ascontiguousarray(fp.astype("<u8")).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     packed = np.packbits(bits.T, axis=1, bitorder="little")
-    wide = np.zeros((64, -(-n // 64) * 8), np.uint8)
+    wide = np.zeros((bits.shape[1], -(-n // 64) * 8), np.uint8)
     wide[:, : packed.shape[1]] = packed
     return wide.view("<u8")
 
@@ -107,7 +141,7 @@ def _lanes(words: np.ndarray) -> np.ndarray:
 def shifted_links(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int) -> np.ndarray:
     """Lanes r for which r and r + shift are within the radius; ``valid`` masks lanes, packed as a plane."""
     hop, r = divmod(shift, 64)
-    padded = np.concatenate([planes, np.zeros((64, hop + 1), planes.dtype)], axis=1)
+    padded = np.concatenate([planes, np.zeros((len(planes), hop + 1), planes.dtype)], axis=1)
     w = np.nonzero(valid)[0]
     found = np.zeros_like(valid)
     width = radius.bit_length() or 1
@@ -120,7 +154,7 @@ def shifted_links(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int
         other = p[w + hop] if r == 0 else (p[w + hop] >> r64) | (p[w + hop + 1] << l64)
         return p[w] ^ other
 
-    for k in range(0, 64, 2):
+    for k in range(0, len(planes), 2):
         if k % 8 == 0 and k:
             live = (valid[w] & ~over) != 0
             if not live.any():
@@ -132,17 +166,23 @@ def shifted_links(planes: np.ndarray, shift: int, valid: np.ndarray, radius: int
     return found
 
 
-def group_forest(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
-    """For rows sorted by group: label of each row = first row of its component within its group."""
-    label = np.arange(len(fp))
-    rows = np.arange(len(fp))
-    _, inverse, size = np.unique(group, return_inverse=True, return_counts=True)
+def _shifted_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j), i before j, within the radius and of one group, for rows sorted by group.
+
+    Groups of over ``_SHIFTS`` rows go in slabs; all others together, row against the next, the next but one, and so on.
+    """
+    _, first, inverse, size = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+    for at, n in zip(first[size > _SHIFTS].tolist(), size[size > _SHIFTS].tolist(), strict=True):
+        for i, j in cross_links(fp[at : at + n], fp[at : at + n], radius):
+            once = i < j
+            yield i[once] + at, j[once] + at
     size, group = size[inverse], inverse
+    rows = np.nonzero(size <= _SHIFTS)[0]
     shift, planes, kept = 1, None, -1
     while True:
         live = size[rows] > shift
         if not live.any():
-            return label
+            return
         if planes is None or live.sum() < 0.7 * kept:
             rows = rows[live]
             planes, kept = bit_planes(fp[rows]), len(rows)
@@ -150,10 +190,24 @@ def group_forest(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
         same[: len(rows) - shift] = group[rows[:-shift]] == group[rows[shift:]]
         hit = np.nonzero(_lanes(shifted_links(planes, shift, np.packbits(same, bitorder="little").view("<u8"), radius)))[0]
         if len(hit):
-            label = merge(label, rows[hit], rows[hit + shift])
+            yield rows[hit], rows[hit + shift]
         shift += 1
 
 
+def group_links(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``_shifted_pairs``."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_shifted_pairs(fp, group, radius)]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def group_forest(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by group: label of each row = first row of its component within its group."""
+    label = np.arange(len(fp))
+    for i, j in _shifted_pairs(fp, group, radius):
+        label = merge(label, i, j)
+    return label
+
+
 def cross_links(a: np.ndarray, b: np.ndarray, radius: int, slab: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) with a[i] and b[j] within the radius: ``a`` in slabs against the planes of ``b``."""
     planes = bit_planes(b)
@@ -164,13 +218,13 @@ def cross_links(a: np.ndarray, b: np.ndarray, radius: int, slab: int = 128) -> I
         part = a[at : at + slab]
         rows = np.arange(len(part))
         mask = np.where(
-            np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") > 0,
+            np.unpackbits(np.ascontiguousarray(part.astype("<u8")).view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little") > 0,
             np.uint64(0xFFFFFFFFFFFFFFFF),
             np.uint64(0),
         )
         counters = [np.zeros((len(part), len(full)), np.uint64) for _ in range(radius.bit_length() or 1)]
         over = np.zeros_like(counters[0])
-        for k in range(0, 64, 2):
+        for k in range(0, len(planes), 2):
             if k % 8 == 0 and k:
                 live = ((~over & full) != 0).any(axis=1)
                 if not live.any():
@@ -286,7 +340,7 @@ def links(fps: DataFrame, fp: str = "fingerprint", radius: int = 3, blocks: int
         F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.lit(0)).alias("chunk"),
         F.coalesce("chunks", F.lit(1)).alias("chunks"),
     )
-    found = checkpoint(
+    found = written(
         chunked.repartition("slot", "bucket", "chunk").sortWithinPartitions("slot", "bucket", "chunk", "fp").mapInArrow(_chunk_links(radius), _CHUNKS)
     )
     tiles = (
@@ -309,22 +363,11 @@ def simhash_groups(
     the least id reachable by links; an empty table gives an empty result.
     """
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = checkpoint(fingerprints(raw, out="fp", shingle=shingle).select("doc_id", "fp"))
+    prints = written(fingerprints(raw, out="fp", shingle=shingle).select("doc_id", "fp"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = connected_components(links(distinct, "fp", radius, blocks))
     rooted = distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = checkpoint(rooted)
+    rooted = written(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the least id, once if its row repeats.
-
-    Rows without an id cannot be named as a copy of another and stay.
-    """
-    named = docs.where(F.col(doc_id).isNotNull())
-    groups = simhash_groups(named, doc_id, text, **options).where(F.col("doc_id") == F.col("component_id"))
-    kept = groups.select(F.col("doc_id").alias(doc_id)).distinct()
-    return named.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull())).select(docs.columns)

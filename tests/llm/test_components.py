@@ -1,9 +1,14 @@
 import random
 
+import pytest
+
+from tallyhawk.llm import components
 from tallyhawk.llm.components import connected_components
 
 
-def test_against_search(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 18])
+def test_against_search(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "_ONE_TASK", one_task)
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5000 + i) for i in range(80)] + [(7, 7), (1, 2), (2, 1)]
     near = {}
