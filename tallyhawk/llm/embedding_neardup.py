@@ -2,9 +2,12 @@
 
 Equal vectors are grouped first, so copies cost one aggregation and no pair. The distinct
 vectors are scaled to length one and turned to the principal axes of the whole table, which
-puts most of a product into the leading dimensions. Blocks of about ``BLOCK`` vectors are
-cut along the first axis; unit vectors with cosine t differ there by at most sqrt(2 - 2t),
-so blocks further apart than that never meet. A pair of blocks goes tile by tile: the
+puts most of a product into the leading dimensions. Blocks of at most about ``BLOCK``
+vectors, and at least ``FEWEST`` of them, are cut along the first axis; unit vectors with
+cosine t differ there by at most sqrt(2 - 2t), so blocks further apart than that never meet,
+nor do tiles. A vector travels once for every block that its own meets, so up to ``FEWEST``
+blocks the rows moved grow as the table, and then with the square at 1 / ``BLOCK`` of it,
+which is inherent in all pairs. A pair of blocks goes tile by tile: the
 product over the leading dimensions plus the product of the two suffix norms bounds the
 cosine (Cauchy-Schwarz), comparison stops where the bound stays below the threshold, and
 what is left takes more dimensions, at last all of them in double precision. A tile gives
@@ -21,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint
+from tallyhawk.llm.common import written
 from tallyhawk.llm.components import connected_components
 from tallyhawk.llm.forest import merge
 from tallyhawk.llm.vectors import dimension, matrix, unpack, usable
 
-BLOCK = 4096
+BLOCK = 1 << 16
+FEWEST = 5
 _TILE = 1024
 _SLACK = 1e-5  # single-precision bounds stay above the true cosine by this
 
@@ -89,7 +93,7 @@ def _tile_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray,
     return i[hit], j[hit]
 
 
-def _compare(dim: int, least: float):
+def _compare(dim: int, least: float, reach: float):
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values("block")
         ids = [np.frombuffer(b, np.int64) for b in t["ids"]]
@@ -103,6 +107,8 @@ def _compare(dim: int, least: float):
         label = np.arange(len(all_ids))
         for at in range(0, len(x), _TILE):
             for to in range(at if same else 0, len(y), _TILE):
+                if y[to, 0] - x[at : at + _TILE][-1, 0] > reach:  # rows are in the first axis' order
+                    break
                 i, j = _tile_pairs(x[at : at + _TILE], y[to : to + _TILE], least)
                 i, j = i + at, j + to
                 if same:
@@ -167,7 +173,7 @@ def near_duplicates(
     rows = rows.withColumn("vector", F.when(usable("vector", dim), F.col("vector")))
     alone = rows.where(F.col("vector").isNull())
     # The class of equal vectors is known by its least id; min and count combine before the shuffle.
-    classes = checkpoint(
+    classes = written(
         rows.where(F.col("vector").isNotNull())
         .groupBy("vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
         .withColumn("id", F.monotonically_increasing_id())
@@ -176,27 +182,27 @@ def near_duplicates(
     if n:
         axes = principal_axes(classes, dim)
         reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-        cuts = _cuts(classes, axes[:, 0], -(-n // BLOCK))
+        cuts = _cuts(classes, axes[:, 0], max(min(FEWEST, -(-n // _TILE)), -(-n // BLOCK)))
         turn, pack = _blocks(dim, axes, cuts, reach)
         packed = (
             classes.select("id", "copies", "vector").mapInPandas(turn, "id long, copies long, block int, turned binary")
             .groupBy("block").applyInPandas(pack, "block int, last int, ids binary, copies binary, vectors binary")
         )
-        packed = checkpoint(packed)
+        packed = written(packed)
         ends = packed.select(F.col("block").alias("i"), "last")
         # Each pair of blocks (i, j) with i <= j <= last(i): block i gets one row for each, block j is told by a join on j.
         pairs = ends.withColumn("j", F.explode(F.sequence("i", "last"))).select("i", "j")
         left = pairs.withColumn("block", F.col("i")).join(packed, "block")
         right = pairs.where("i < j").withColumn("block", F.col("j")).join(packed, "block")
         tiles = left.unionByName(right).select("i", "j", "block", "ids", "copies", "vectors")
-        found = checkpoint(tiles.groupBy("i", "j").applyInPandas(_compare(dim, threshold), "id long, links long, root long"))
+        found = written(tiles.groupBy("i", "j").applyInPandas(_compare(dim, threshold, reach), "id long, links long, root long"))
         counts = found.groupBy("id").agg(F.sum("links").alias("links"))
         roots = connected_components(found, "id", "root").withColumnRenamed("node", "id")
         classes = (
             classes.join(counts, "id", "left").join(roots, "id", "left")
             .select("id", "vector", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "id").alias("root"))
         )
-        classes = checkpoint(classes)
+        classes = written(classes)
         component = classes.groupBy("root").agg(F.min("least").alias("component_id"))
         named = classes.join(component, "root").select("vector", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
         linked = rows.where(F.col("vector").isNotNull()).join(named, "vector").select("vec_id", "n_links", "component_id")
