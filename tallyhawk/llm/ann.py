@@ -11,7 +11,8 @@ scaled by the longest length in the table and filled up to length one, queries g
 
 Index shards hold about ``SHARD`` rows dealt by a hash of the id; query blocks hold about
 ``BLOCK`` queries; each block meets each shard in a task of its own and gives the shard's
-best ``k``, from which a window takes the best of all.
+best ``k``, from which a window takes the best of all. A shard travels once for every
+``BLOCK`` queries and a query once for every ``SHARD`` rows.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint
+from tallyhawk.llm.common import written
 from tallyhawk.llm.vectors import dimension, matrix, unpack, usable
 
-SHARD = 8192
-BLOCK = 1024
+SHARD = 16_384
+BLOCK = 16_384
 BITS = 32
+_AT_ONCE = 1024  # queries whose prefix ranges are held
 
 
 def planes(dim: int, trees: int, seed: int) -> np.ndarray:
@@ -89,7 +91,9 @@ def search(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, enough: float
 
 def _pack(dim: int, projections: np.ndarray, longest: float, asked: bool):
     def pack(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("id").drop_duplicates("id")
+        x = matrix(t["vector"])
+        t["bytes"] = [r.tobytes() for r in x]  # of an id's differing rows the same one in every run
+        t = t.sort_values(["id", "bytes"]).drop_duplicates("id")
         x = matrix(t["vector"])
         length = np.linalg.norm(x, axis=1, keepdims=True)
         if asked:
@@ -124,7 +128,9 @@ def _answer(dim: int, trees: int, k: int, effort: float):
             order = np.frombuffer(shard["order"], np.int32).reshape(trees, -1)
             q_ids, q = np.frombuffer(ask["ids"], np.int64), unpack(ask["vectors"], dim)
             q_keys = np.frombuffer(ask["keys"], np.uint32).reshape(trees, -1)
-            for i, found in enumerate(search(keys, order, q_keys, effort * len(ids), k + 1)):
+            some = range(0, len(q_ids), _AT_ONCE)
+            told = (f for at in some for f in search(keys, order, q_keys[:, at : at + _AT_ONCE], effort * len(ids), k + 1))
+            for i, found in enumerate(told):
                 found = found[ids[found] != q_ids[i]]
                 if not len(found):
                     continue
@@ -148,8 +154,8 @@ def nearest(
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest inner product found for each query row.
 
     ``queries`` says which rows ask. Null, zero and non-finite vectors and those of another
-    than the usual length take no part; an id's repeated rows count once and never answer
-    that id; equal scores go by the smaller id. An empty table gives an empty result.
+    than the usual length take no part; an id's repeated rows count once (differing ones: the least
+    by its bytes) and never answer that id; equal scores go by the smaller id. An empty table gives an empty result.
     """
     dim = dimension(df, vector)
     rows = df.select(F.col(vec_id).alias("id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
@@ -161,7 +167,7 @@ def nearest(
 
     def packed(part: DataFrame, n: int, asked: bool) -> DataFrame:
         dealt = part.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"))
-        return checkpoint(dealt.groupBy("part").applyInPandas(_pack(dim, projections, longest, asked), _PACKED))
+        return written(dealt.groupBy("part").applyInPandas(_pack(dim, projections, longest, asked), _PACKED))
 
     index = packed(rows, shards, False)
     asking = packed(rows.where("asks"), blocks, True)
