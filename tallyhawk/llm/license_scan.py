@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint, dealt
+from tallyhawk.llm.common import dealt
 
 UNKNOWN = "unknown"
 BITS = 15
@@ -241,31 +241,30 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int =
     return train([r.block for r in told if not any(confirmed(words(r.block), f) for f in NOTICES)])
 
 
-def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, paragraph (number of its first line, from 0), family, probability`` of the paragraphs with a confirmed licence."""
-
+def _found(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
     @F.pandas_udf("array<struct<paragraph int, family string, probability double>>")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("paragraph", "family", "probability"), x, strict=True)) for x in findings(model, t)] for t in texts], dtype=object)
 
-    told = docs.select(F.col(doc_id).alias("doc_id"), of(text).alias("f")).where(F.size("f") > 0).select("doc_id", F.explode("f").alias("f"))
-    return told.select("doc_id", "f.paragraph", "f.family", "f.probability")
+    return docs.select("*", of(text).alias(out))
+
+
+def paragraphs(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, paragraph (number of its first line, from 0), family, probability`` of the paragraphs with a confirmed licence."""
+    told = _found(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text", "f")
+    return told.where(F.size("f") > 0).select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.paragraph", "f.family", "f.probability")
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: ``doc_id, license, probability, families, paragraphs``.
 
     ``license`` is the family of the most probable paragraph (ties: first name), ``unknown``
-    with probability 0 where none is confirmed, also for null and empty texts. Rows that
-    repeat an id have the findings of all of them.
+    with probability 0 where none is confirmed, also for null and empty texts. Repeated ids
+    and null ids have the findings of their own row; an empty table gives an empty result.
     """
-    found = checkpoint(paragraphs(docs, model, doc_id, text))
-    per = found.groupBy("doc_id").agg(
-        F.min_by("family", F.struct(-F.col("probability"), F.col("family"))).alias("license"), F.max("probability").alias("probability"),
-        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.count(F.lit(1)).alias("paragraphs"),
-    )
-    all_ = docs.select(F.col(doc_id).alias("doc_id")).join(per, "doc_id", "left")
-    return all_.select(
-        "doc_id", F.coalesce("license", F.lit(UNKNOWN)).alias("license"), F.coalesce("probability", F.lit(0.0)).alias("probability"),
-        F.coalesce("families", F.lit("")).alias("families"), F.coalesce("paragraphs", F.lit(0)).cast("long").alias("paragraphs"),
+    found = _found(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, "text", "f").select("doc_id", "f")
+    best = F.get(F.array_sort(F.transform("f", lambda x: F.struct((-x["probability"]).alias("p"), x["family"].alias("family")))), F.lit(0))
+    return found.select(
+        "doc_id", F.coalesce(best["family"], F.lit(UNKNOWN)).alias("license"), F.coalesce(-best["p"], F.lit(0.0)).alias("probability"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("f", lambda x: x["family"]))), ",").alias("families"), F.size("f").cast("long").alias("paragraphs"),
     )
