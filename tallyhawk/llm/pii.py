@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint, unused, written
+from tallyhawk.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -146,10 +146,10 @@ def learn_patterns(occurrences: DataFrame, rounds: int = 3, support: int = 5, co
     ``support`` different seed strings of the kind and at least ``confidence`` of all its
     different strings trusted.
     """
-    edges = checkpoint(occurrences.select("core", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "core").agg(F.min("kind").alias("kind")))
+    edges = written(occurrences.select("core", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "core").agg(F.min("kind").alias("kind")))
     seeds = edges.where(F.col("kind").isNotNull()).groupBy("core").agg(F.min("kind").alias("kind")).withColumn("trust", F.lit(1.0))
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings"), F.count("kind").alias("seeds")).where(F.col("seeds") >= support)
-    edges = checkpoint(edges.select("pattern", "core").join(wide, "pattern"))
+    edges = written(edges.select("pattern", "core").join(wide, "pattern"))
     trusted = seeds
     best = None
     for _ in range(rounds):
@@ -157,11 +157,11 @@ def learn_patterns(occurrences: DataFrame, rounds: int = 3, support: int = 5, co
             edges.join(trusted, "core").groupBy("pattern", "kind")
             .agg((F.sum("trust") / F.max("strings")).alias("confidence"), F.count_if(F.col("trust") == 1.0).alias("seeds"))
         )
-        best = checkpoint(scored.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "confidence"))
+        best = written(scored.where((F.col("confidence") >= confidence) & (F.col("seeds") >= support)).select("pattern", "kind", "confidence"))
         told = edges.join(best, "pattern").where(_shaped(F.col("core"), F.col("kind"))).groupBy("core", "kind")
         doubt = F.sum(F.log(F.lit(1.0) - F.least("confidence", F.lit(0.99)))).alias("doubt")
         found = told.agg(doubt).select("core", "kind", (1.0 - F.exp("doubt")).alias("trust"))
-        trusted = checkpoint(seeds.unionByName(found.join(seeds.select("core"), "core", "left_anti")))
+        trusted = written(seeds.unionByName(found.join(seeds.select("core"), "core", "left_anti")))
     return best
 
 
@@ -170,20 +170,20 @@ def _joined(spans: Column) -> Column:
 
 
 def located(docs: DataFrame, text: str = "text", carry: list[str] | None = None, **learning) -> DataFrame:
-    """``docs`` (its columns ``carry``, all if None) with ``base_spans`` and ``spans`` (base and discovered), arrays of (start, rank, end, kind).
+    """``doc`` (a struct of the row's columns, or of ``carry``), ``base_spans`` and ``spans`` (base and discovered), arrays of (start, rank, end, kind).
 
     ``start`` and ``end`` count code points, end exclusive. A null text counts as empty and
-    has none; repeated rows keep theirs each. Columns of these names are replaced.
+    has none; repeated rows keep theirs each; an empty table gives an empty result. Columns
+    of any name are safe, since they stay within ``doc``.
     """
-    row = unused(docs, "row")
-    keep = [c for c in (docs.columns if carry is None else carry) if c not in ("base_spans", "spans")]
-    body = F.coalesce(F.col(text), F.lit(""))
-    per_kind = docs.select("*", F.monotonically_increasing_id().alias(row), *[base_spans(body, k).alias(f"{k}_{row}") for k in KINDS])
-    base = per_kind.select(*{*keep, text}, row, F.array_sort(F.concat(*[F.col(f"{k}_{row}") for k in KINDS])).alias("base_spans"))
-    base = base.select(*keep, row, "base_spans", _candidates(body, F.col("base_spans")).alias("found_" + row))
+    keep = docs.columns if carry is None else carry
+    body = F.col("body")
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.monotonically_increasing_id().alias("row"))
+    base = rows.select("doc", "body", "row", *[base_spans(body, k).alias(k) for k in KINDS])
+    base = base.select("doc", "body", "row", F.array_sort(F.concat(*KINDS)).alias("base_spans"))
     # Written once: what was found serves both the graph and the result.
-    base = written(base) if text in keep else checkpoint(base)
-    seen = base.where(F.col("found_" + row).isNotNull()).select(F.col(row).alias("at"), F.explode("found_" + row).alias("f")).select("at", "f.*")
+    base = written(base.select("doc", "row", "base_spans", _candidates(body, F.col("base_spans")).alias("found")))
+    seen = base.where(F.col("found").isNotNull()).select(F.col("row").alias("at"), F.explode("found").alias("f")).select("at", "f.*")
     vouch = learn_patterns(seen, **learning)
     unknown = seen.where(F.col("kind").isNull()).drop("kind").withColumn("pattern", F.explode("patterns"))
     rank = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)]), F.col("kind"))
@@ -191,26 +191,27 @@ def located(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         unknown.join(vouch, "pattern").where(_shaped(F.col("core"), F.col("kind")))
         .groupBy("at", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
         .groupBy("at").agg(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind")).alias("new"))
-        .withColumnRenamed("at", "at_" + row).withColumnRenamed("new", "new_" + row)
     )
-    joined = base.join(new, F.col(row) == F.col("at_" + row), "left")
-    spans = F.array_sort(F.concat("base_spans", F.coalesce(F.col("new_" + row), F.array().cast(_SPAN))))
-    return joined.select(*keep, "base_spans", spans.alias("spans"))
+    joined = base.join(new, F.col("row") == F.col("at"), "left")
+    spans = F.array_sort(F.concat("base_spans", F.coalesce(F.col("new"), F.array().cast(_SPAN))))
+    return joined.select("doc", "base_spans", spans.alias("spans"))
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **learning) -> DataFrame:
     """Counts and hash of the base spans, and all spans as text, per document."""
-    found = located(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", ["doc_id"], **learning)
+    found = located(docs, text, [doc_id], **learning)
+
     def count(kind: str) -> Column:
         return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select(F.col("doc")[doc_id].alias("doc_id"), *counts, F.sha2(_joined(F.col("base_spans")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, text: str = "text", **learning) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans become one."""
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; overlapping spans become one. A null text stays null."""
     found = located(docs, text, **learning)
+    body = F.col("doc")[text]
 
     def merge(s: Column, x: Column) -> Column:
         last = F.element_at(s, -1)
@@ -219,8 +220,9 @@ def redacted(docs: DataFrame, text: str = "text", **learning) -> DataFrame:
 
     def rebuild(spans: Column) -> Column:
         ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-        parts = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, e: F.concat(F.substr(F.col(text), e + 1, s["start"] - e), F.lit("<"), s["kind"], F.lit(">")))
-        return F.concat(F.array_join(parts, ""), F.substr(F.col(text), F.element_at(ends, -1) + 1))
+        parts = F.zip_with(spans, F.slice(ends, F.lit(1), F.size(spans)), lambda s, e: F.concat(F.substr(body, e + 1, s["start"] - e), F.lit("<"), s["kind"], F.lit(">")))
+        return F.concat(F.array_join(parts, ""), F.substr(body, F.element_at(ends, -1) + 1))
 
     one = F.aggregate("spans", F.array().cast(_SPAN), merge)
-    return found.withColumn(text, F.when(F.size("spans") > 0, _let(one, rebuild)).otherwise(F.col(text))).select(docs.columns)
+    clean = F.when(F.size("spans") > 0, _let(one, rebuild)).otherwise(body)
+    return found.select(*[(clean if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])

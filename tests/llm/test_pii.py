@@ -64,3 +64,13 @@ def test_redaction_of_overlaps_and_nulls(spark):
     assert out.columns == ["doc_id", "text", "row"]
     assert [r.text for r in out.orderBy("doc_id").collect()] == [None, "", "a <phone> b", "x é@a.bc <email>"]
     assert pii.digest(rows(spark, texts).limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    shape = "doc_id long, text string, spans string, base_spans int, email_row int, row int, found string, body string, doc string"
+    rows = [(1, "write to a@b.cd now", "s", 1, 2, 3, "f", "b", "d"), (1, "write to a@b.cd now", "s", 1, 2, 3, "f", "b", "d"), (2, None, None, None, None, None, None, None, None), (None, "", "", 0, 0, 0, "", "", "")]
+    docs = spark.createDataFrame(rows, shape)
+    got = pii.redacted(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((a, t and t.replace("a@b.cd", "<email>"), *rest)) for a, t, *rest in rows)
+    assert pii.redacted(docs.limit(0)).count() == 0 and pii.digest(docs).count() == 4
