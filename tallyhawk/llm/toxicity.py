@@ -5,8 +5,8 @@ shares most vectors with what was learnt. The vectors of a window of words are a
 and go into a linear softmax; vectors and softmax are trained jointly in numpy. A text
 takes the probability of its most toxic window, so a short insult in a long text counts
 the same as alone; in training that window is chosen anew in every epoch. A word that
-comes again within a window's reach counts in the length but adds no second vector, so
-junk that repeats one word gathers no evidence.
+comes again within a window counts in the length but adds no second vector, so junk that
+repeats one word gathers no evidence.
 
 Fitting uses about ``rows`` labelled texts of each class, dealt by a hash of the id.
 """
@@ -39,54 +39,55 @@ class Model:
     shift: float
 
     def score(self, text: str | None) -> float:
-        best = -np.inf
-        sums, sizes = [], []
+        sums, sizes, names = [], [], []
         for bucket, word, words in word_grams(text or "", _LEAST, _MOST, BITS):
-            value = np.bincount(word, self.weight[bucket], words)
-            value[_repeats(bucket[:words])] = 0
-            sums.append(value)
+            sums.append(np.bincount(word, self.weight[bucket], words))
             sizes.append(np.bincount(word, minlength=words))
-        if sums:
-            best = _windows(np.concatenate(sums), np.concatenate(sizes))[1]
-        else:
-            best = 0.0
+            names.append(bucket[:words])
+        best = _windows(np.concatenate(sums), np.concatenate(sizes), _before(np.concatenate(names)))[1] if sums else 0.0
         return float(1 / (1 + np.exp(-np.clip(self.scale * best + self.shift, -30, 30))))
 
 
-def _repeats(word: np.ndarray) -> np.ndarray:
-    """Positions whose word also stands fewer than ``WINDOW`` words earlier."""
+def _before(word: np.ndarray) -> np.ndarray:
+    """Where each word stood last before, -1 where it did not."""
     order = np.argsort(word, kind="stable")
-    again = (word[order[1:]] == word[order[:-1]]) & (order[1:] - order[:-1] < WINDOW)
-    return order[1:][again]
+    out = np.full(len(word), -1)
+    again = word[order[1:]] == word[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
 
 
-def _windows(sums: np.ndarray, sizes: np.ndarray) -> tuple[int, float]:
-    """First word and mean of the window of ``WINDOW`` words (or all) with the highest mean."""
-    s, n = np.concatenate(([0.0], np.cumsum(sums))), np.concatenate(([0], np.cumsum(sizes)))
-    w = min(WINDOW, len(sums))
-    mean = (s[w:] - s[:-w]) / np.maximum(n[w:] - n[:-w], 1)
-    at = int(np.argmax(mean))
-    return at, float(mean[at])
+def _windows(sums: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[int, float]:
+    """First word and mean of the window of ``WINDOW`` words (or all) with the highest mean, each word's sum counted once a window."""
+    n = len(sums)
+    w = min(WINDOW, n)
+    # A word adds to the windows that begin after its last occurrence and reach it.
+    at = np.arange(n)
+    change = np.bincount(np.maximum(np.maximum(before + 1, at - w + 1), 0), sums, n + 1) - np.bincount(at + 1, sums, n + 1)
+    sizes = np.concatenate(([0], np.cumsum(sizes)))
+    mean = np.cumsum(change)[: n - w + 1] / np.maximum(sizes[w:] - sizes[:-w], 1)
+    best = int(np.argmax(mean))
+    return best, float(mean[best])
 
 
 class _Text:
     def __init__(self, text: str):
-        buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        buckets, sizes, names = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b, w, k in word_grams(text, _LEAST, _MOST, BITS):
             sizes.append(np.bincount(w, minlength=k))
-            again = np.zeros(k, bool)
-            again[_repeats(b[:k])] = True
-            b = np.where(again[w], _NOTHING, b)
+            names.append(b[:k])
             buckets.append(b[np.argsort(w, kind="stable")].astype(np.int32))
-        self.bucket = np.concatenate(buckets)
-        self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        self.bucket, self.size = np.concatenate(buckets), np.concatenate(sizes)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.before = _before(np.concatenate(names))
 
     def window(self, weight: np.ndarray) -> tuple[np.ndarray, float]:
         if not len(self.bucket):
             return self.bucket, 0.0
-        sums = np.add.reduceat(weight[self.bucket], self.start[:-1])
-        at, mean = _windows(sums, np.diff(self.start))
-        return self.bucket[self.start[at] : self.start[min(at + WINDOW, len(self.start) - 1)]], mean
+        at, mean = _windows(np.add.reduceat(weight[self.bucket], self.start[:-1]), self.size, self.before)
+        upto = min(at + WINDOW, len(self.size))
+        once = np.repeat(self.before[at:upto] < at, self.size[at:upto])
+        return np.where(once, self.bucket[self.start[at] : self.start[upto]], _NOTHING), mean
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -114,7 +115,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 14, dim: int = 8, ra
     seen = np.zeros((2, size))
     for d, label, use in zip(docs, y, fit, strict=True):
         if use:
-            seen[label, np.unique(d.bucket[d.bucket != _NOTHING])] += 1
+            seen[label, np.unique(d.bucket)] += 1
     per = [max(1, int((fit & (y == c)).sum())) for c in (0, 1)]
     weight = np.log((seen[1] + 0.5) / (per[1] + 1)) - np.log((seen[0] + 0.5) / (per[0] + 1))
     weight = np.append(weight, 0.0)
@@ -175,7 +176,7 @@ def fit(
     marks = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "id long, toxic int")
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= longest)
     # About 2 * rows marks, so the texts never move to meet them.
-    got = source.join(F.broadcast(marks), "id").dropDuplicates(["id"]).collect()
+    got = source.join(F.broadcast(marks), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()  # of an id's differing texts the least
     got.sort(key=lambda r: r.id)
     return train([r.text for r in got], [r.toxic for r in got])
 

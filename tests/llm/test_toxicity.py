@@ -37,8 +37,29 @@ def test_held_out_texts_with_unseen_endings(model):
 def test_repeated_words_gather_no_evidence():
     flat = toxicity.Model(np.ones(1 << toxicity.BITS, np.float32), 4.0, -1.0)
     assert flat.score("oronti") == flat.score("oronti thsting") > flat.score("oronti oronti") > flat.score("oronti " * 40)
-    assert toxicity._repeats(np.array([5, 7, 5, 9, 7])).tolist() == [2, 4]
-    assert toxicity._repeats(np.array([5, *range(100, 131), 5])).tolist() == []
+    assert toxicity._before(np.array([5, 7, 5, 9, 7])).tolist() == [-1, -1, 0, -1, 1]
+
+
+def test_windows_count_a_word_once_wherever_it_stands(monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 6)
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 6, 7, 40):
+        word = rng.integers(0, 9, n)
+        value, size = rng.normal(size=9)[word], rng.integers(1, 5, 9)[word]
+        w = min(6, n)
+        means = [sum({k: v for k, v in zip(word[s : s + w].tolist(), value[s : s + w], strict=True)}.values()) / size[s : s + w].sum() for s in range(n - w + 1)]
+        at, best = toxicity._windows(value, size, toxicity._before(word))
+        assert at == int(np.argmax(means)) and abs(best - max(means)) < 1e-9
+
+
+def test_long_toxic_text_is_no_milder_than_its_sentence():
+    weight = np.zeros(1 << toxicity.BITS, np.float32)
+    for word in ("gorvan", "blaskit"):
+        for b, w, k in toxicity.word_grams(word, 3, 5, toxicity.BITS):
+            weight[b] = 1.0
+    model = toxicity.Model(weight, 8.0, -2.0)
+    late = (["gorvan"] + ["la", "de", "ment", "ores"] * 5) * 4 + ["blaskit"]
+    assert model.score(" ".join(late)) >= model.score(" ".join(late[-32:])) > 0.2
 
 
 def test_odd_texts(model):
