@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import checkpoint, unused
+from tallyhawk.llm.common import few, written
 
 LEVELS = ("domain", "lang", "source")
-MOST_BROADCAST = 50_000  # leaves; more are joined by shuffle
 
 
 def words(text: str) -> Column:
@@ -92,14 +91,9 @@ def _narrow(docs: DataFrame, digit: int) -> DataFrame:
     sized = docs.withColumn("part", _part(digit))
     sums = sized.groupBy(*keys, "part").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest"))
     before = F.sum("sum").over(Window.partitionBy(*keys).orderBy("part")) - F.col("sum")
-    ends = checkpoint(sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))))
+    ends = written(sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))))
     left = ends.select(*keys, "part", (F.col("rest") - F.col("before")).alias("left"))
-    return sized.join(_small(left), [*keys, "part"]).drop("rest", "part").withColumnRenamed("left", "rest")
-
-
-def _small(leaves: DataFrame) -> DataFrame:
-    """Broadcast a written table of one row a leaf if it has few enough, else leave the join to a shuffle."""
-    return F.broadcast(leaves) if leaves.count() <= MOST_BROADCAST else leaves
+    return sized.join(few(left), [*keys, "part"]).drop("rest", "part").withColumnRenamed("left", "rest")
 
 
 def plan(slim: DataFrame, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int, seed: int) -> DataFrame:
@@ -110,9 +104,9 @@ def plan(slim: DataFrame, weights: dict[str, dict[str, int]], budget: Column, ma
     """
     keys = list(LEVELS)
     leaves = slim.groupBy(*keys).agg(F.sum("tokens").alias("supply"))
-    shares = budgets(checkpoint(leaves), weights, budget, max_epochs)
-    shares = checkpoint(shares.select(*keys, F.expr("cast(share div supply as int)").alias("epochs"), F.expr("share % supply").alias("rest")))
-    docs = slim.join(_small(shares.where("rest > 0")), keys).withColumn("place", _place(seed, F.col("epochs"), "doc_id")).where("tokens > 0")
+    shares = budgets(written(leaves), weights, budget, max_epochs)
+    shares = written(shares.select(*keys, F.expr("cast(share div supply as int)").alias("epochs"), F.expr("share % supply").alias("rest")))
+    docs = slim.join(few(shares.where("rest > 0")), keys).withColumn("place", _place(seed, F.col("epochs"), "doc_id")).where("tokens > 0")
     for digit in (0, 1):
         docs = _narrow(docs, digit)
     order = Window.partitionBy(*keys).orderBy("place")
@@ -121,7 +115,7 @@ def plan(slim: DataFrame, weights: dict[str, dict[str, int]], budget: Column, ma
     cuts = last.groupBy(*keys).agg(
         F.max("place").alias("cut"), F.max_by(F.least("tokens", F.col("rest") - F.col("start")), "place").alias("cut_tokens")
     )
-    return checkpoint(shares.select(*keys, "epochs").join(cuts, keys, "left"))
+    return written(shares.select(*keys, "epochs").join(cuts, keys, "left"))
 
 
 def chosen(docs: DataFrame, leaves: DataFrame, seed: int, doc_id: str = "doc_id") -> DataFrame:
@@ -133,7 +127,7 @@ def chosen(docs: DataFrame, leaves: DataFrame, seed: int, doc_id: str = "doc_id"
     place = _place(seed, F.col("epochs"), doc_id)
     more = F.col("cut").isNotNull() & (place <= F.col("cut"))
     reach = F.col("epochs") + F.when(more, 1).otherwise(0)
-    joined = docs.join(_small(leaves), list(LEVELS)).withColumn("epoch", F.explode(F.when(reach > 0, F.sequence(F.lit(0), reach - 1))))
+    joined = docs.join(few(leaves), list(LEVELS)).withColumn("epoch", F.explode(F.when(reach > 0, F.sequence(F.lit(0), reach - 1))))
     partial = (F.col("epoch") == F.col("epochs")) & (place == F.col("cut"))
     return joined.withColumn("cut_tokens", F.when(partial, F.col("cut_tokens"))).drop("epochs", "cut")
 
@@ -152,7 +146,7 @@ def mixed(
     Null domains, languages and sources make the node ``unknown``; a null text has no
     tokens; a leaf without tokens takes nothing. An empty table gives none.
     """
-    slim = checkpoint(docs.select(*_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"), words(text).alias("tokens")))
+    slim = written(docs.select(*_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"), words(text).alias("tokens")))
     leaves = plan(slim, weights, budget, max_epochs, seed)
     return chosen(slim, leaves, seed).select("doc_id", *LEVELS, "tokens", "epoch", "cut_tokens")
 
@@ -161,9 +155,15 @@ def keep_mixed(
     docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int = 2, seed: int = 7,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
 ) -> DataFrame:
-    """``docs`` as the mixture takes them, whole documents, repeated where several epochs do."""
-    slim = checkpoint(docs.select(*_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"), words(text).alias("tokens")))
+    """``docs`` as the mixture takes them, repeated where several epochs do; a leaf's last document is cut where the budget ends.
+
+    Nulls and empty tables as in ``mixed``; columns of any name are safe. Only ``text`` is cut.
+    """
+    slim = written(docs.select(*_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"), words(text).alias("tokens")))
     leaves = plan(slim, weights, budget, max_epochs, seed)
-    all_ = unused(docs, "whole")
-    nested = docs.select(F.struct("*").alias(all_), *_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"))
-    return chosen(nested, leaves, seed).select(f"{all_}.*")
+    nested = docs.select(F.struct("*").alias("doc"), *_tree(docs, domain, lang, source), F.col(doc_id).alias("doc_id"))
+    taken = chosen(nested, leaves, seed)
+    # Not more than one document a leaf is cut, so its words are told apart only there.
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("doc")[text], F.lit(r"[ \t\n\r]*[^ \t\n\r]+"), F.lit(0)), F.lit(1), F.col("cut_tokens").cast("int")), "")
+    cut = F.when(F.col("cut_tokens").isNotNull(), head).otherwise(F.col("doc")[text])
+    return taken.select(*[(cut if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
