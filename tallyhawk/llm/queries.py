@@ -109,6 +109,32 @@ _DOMAIN_SQL = (
     "WHEN source IS NOT NULL THEN 'community' ELSE 'unknown' END"
 )
 
+_NEAR_COPIES_SQL = """
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usual AS (SELECT len(e) AS n FROM vectors WHERE len(e) > 0 GROUP BY len(e) ORDER BY count(*) DESC, n DESC LIMIT 1),
+good AS (SELECT vec_id, e FROM vectors WHERE len(e) = (SELECT n FROM usual) AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM vectors UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM vectors JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
+"""
+
+#: The default template adds 24 characters a turn and a backslash to each run of ``<``, backslashes and ``|`` in role and text.
+_CHAT_SQL = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, r, '{CONTROL}' FROM (VALUES (0, 'user'), (1, 'assistant')) c(t, r)),
+sized AS (SELECT *, replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n') AS told FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(told) + length(text) + len(regexp_extract_all(told, '<\\\\*[|]')) + len(regexp_extract_all(text, '<\\\\*[|]'))) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_embedding_neardup": _NEAR_COPIES_SQL,
+    "op5_chat_spans": _CHAT_SQL,
     "op7_hierarchical_mixing": mixing_sql.mixture(_DOMAIN_SQL, WEIGHTS, "CAST(sum(supply) * 3 AS BIGINT) // 5", MAX_EPOCHS, MIX_SEED),
 }
