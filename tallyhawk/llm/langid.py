@@ -86,12 +86,16 @@ def _add(t: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [t["lang"].iat[0]], "counts": [total.tobytes()]})
 
 
-def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, penalty: float = 12.0) -> Model:
-    """n-gram distributions of the non-null languages among the documents of ``learn``."""
+def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, penalty: float = 12.0, most_languages: int = 64) -> Model:
+    """n-gram distributions of the non-null languages among the documents of ``learn``.
+
+    A dirty label column may hold any number of values; the ``most_languages`` with most
+    documents (ties: first name) are learnt, which bounds what reaches the driver and tasks.
+    """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Model((), np.zeros((1 << BITS, 0)), penalty)
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_language / n)]), F.col("lang"))

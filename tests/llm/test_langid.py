@@ -41,3 +41,9 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(docs, F.lit(True))
     assert model.mixture("abc") == [] and langid.predicted(docs, model).count() == 0
+
+
+def test_languages_learnt_are_bounded(spark):
+    rows = [(i, f"la de {k} ores ment", k) for i, k in enumerate(["aa"] * 6 + ["bb"] * 5 + [f"junk{j}" for j in range(40)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, F.lit(True), most_languages=2).languages == ("aa", "bb")
