@@ -57,17 +57,18 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes have each of the 64 bits: every eighth bit is added up in bytes, 255 hashes at a time."""
-    lanes = np.uint64(0x0101010101010101)
-    counts = np.zeros((8, 8), np.int64)  # [bit in byte, byte]
-    for at in range(0, len(hashes), 255 * 64):
-        h = hashes[at : at + 255 * 64]
-        rows = np.zeros(-(-len(h) // 255) * 255, np.uint64)
-        rows[: len(h)] = h
-        for bit in range(8):
-            sums = ((rows >> np.uint64(bit)) & lanes).reshape(-1, 255).sum(axis=1, dtype=np.uint64)
-            counts[bit] += sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return counts.T.ravel()
+    """[words, 64] from [words, n]: how many hashes have each bit. Every eighth bit is added up in bytes, 255 hashes at a time."""
+    words, n = hashes.shape
+    counts = np.zeros((words, 8, 8), np.int64)  # [word, bit in byte, byte]
+    for at in range(0, n, 255 * 64):
+        part = hashes[:, at : at + 255 * 64]
+        lots = -(-part.shape[1] // 255)
+        rows = np.zeros((words, 1, lots * 255), np.uint64)
+        rows[:, 0, : part.shape[1]] = part
+        bits = (rows >> np.arange(8, dtype=np.uint64)[:, None]) & np.uint64(0x0101010101010101)
+        sums = bits.reshape(words, 8, lots, 255).sum(axis=3, dtype=np.uint64)
+        counts += sums.astype("<u8").view(np.uint8).reshape(words, 8, lots, 8).sum(axis=2, dtype=np.int64)
+    return counts.transpose(0, 2, 1).reshape(words, 64)
 
 
 def _remixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -82,8 +83,8 @@ def _remixed(hashes: np.ndarray, word: int) -> np.ndarray:
 
 def fingerprint_of(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """``words`` uint64 whose bits are set where over half of the hashes (remixed for each word) have them; zero without hashes."""
-    bits = [_bit_counts(_remixed(hashes, w)) * 2 > len(hashes) for w in range(words)]
-    return np.packbits(np.concatenate(bits), bitorder="little").view("<u8")
+    counts = _bit_counts(np.stack([_remixed(hashes, w) for w in range(words)]))
+    return np.packbits((counts * 2 > len(hashes)).ravel(), bitorder="little").view("<u8")
 
 
 def fingerprint_bytes(text: bytes | None, shingle: int = 3) -> int:
