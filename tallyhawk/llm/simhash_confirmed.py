@@ -13,7 +13,7 @@ as bit planes with carry-save counters. A chunk of few pairs gives all of them.
 many gives each row's pair with its best-linked neighbour, and is opened again once these
 are counted out: then only rows of different components meet, the bucket's largest
 component not with itself, so a large group of copies costs links in proportion to its rows.
-There fingerprints of 1024 bits are compared, in which pairs below 0.7 are as good as none.
+There fingerprints of 2048 bits are compared, in which hardly a pair below 0.7 is within the radius.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ SHINGLE = 5
 SHARE = (4, 5)
 WORDS = 4  # of 64 bits
 RADIUS = 54
-WIDE, WIDE_RADIUS = 16, 195  # in opened buckets; a pair at 0.8 differs in 155 bits on average with a deviation of 12
+WIDE, WIDE_RADIUS = 32, 366  # in opened buckets; a pair at 0.8 differs in 310 of 2048 bits on average with a deviation of 16
 TABLES = 64
 CHUNK = 512
 _SEED = 42
-_DENSE = 4  # pairs a row from which on a chunk gives one pair a row
+_DENSE = 2  # pairs a row from which on a chunk gives one pair a row
 #: Which four nibbles of a fingerprint key a table: fixed draws without repetition within a table.
 _NIBBLES = np.array([np.random.default_rng([6, t]).permutation(16 * WORDS)[:4] for t in range(TABLES)])
 _F = [f"f{i}" for i in range(WORDS)]
@@ -176,9 +176,8 @@ def _tile(t: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _across(sets: DataFrame, opened: DataFrame, roots: DataFrame, sides: DataFrame) -> DataFrame:
-    """Pairs within the radius of the opened buckets whose components differ, a bucket's largest component not among itself."""
-    rows = _spread(sets).join(opened, "bucket").select("bucket", "key")
+def _across(rows: DataFrame, roots: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs within the radius of the opened buckets' ``rows`` (bucket, key) whose components differ, a bucket's largest component not among itself."""
     rows = written(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")))
     sizes = rows.groupBy("bucket", "root").count()
     main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("of_main"), F.sum("count").alias("of_all")).where("of_all > of_main")
@@ -216,16 +215,22 @@ def _linked(sets: DataFrame, texts: DataFrame) -> DataFrame:
     found = written(_candidates(sets))
     pairs = written(found.where("open IS NULL").select("a", "b").distinct())
     opened = written(found.where("open IS NOT NULL").select(F.col("open").alias("bucket")).distinct())
-    in_open = _spread(sets).join(few(opened), "bucket").select("key").distinct()
+    in_open = written(_spread(sets).join(few(opened), "bucket").select("bucket", "key"))
     in_pairs = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = written(in_pairs.union(in_open).distinct().join(sets, "key").select("key", "th"))
+    asked = written(in_pairs.union(in_open.select("key")).distinct().join(sets, "key").select("key", "th"))
     sides = written(texts.join(few(asked), "th").dropDuplicates(["key"]).select("key", _hashes("text").alias("h")).select("key", "h.*"))
     edges = written(_confirmed(pairs, sides))
     roots = connected_components(edges)
     if opened.isEmpty():
         return roots
-    fresh = written(_across(sets, few(opened), roots, sides).join(pairs, ["a", "b"], "left_anti"))
-    return connected_components(edges.union(_confirmed(fresh, sides)))
+    fresh = written(_across(in_open, roots, sides).join(pairs, ["a", "b"], "left_anti"))
+    # What is linked already meets as its root, so the edges are not gone through again.
+    named = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    late = written(_confirmed(fresh, sides)).join(named[0], "a", "left").join(named[1], "b", "left")
+    late = written(late.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    merged = connected_components(late)
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.union(merged.join(roots.select("node"), "node", "left_anti"))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
