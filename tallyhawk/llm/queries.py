@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import ann, chat, embedding_neardup, langid, license_scan, mixing, mixing_sql, packing, pii, simhash, toxicity
+from tallyhawk.llm import (
+    ann, bpe, chat, clustering, clustering_sql, embedding_neardup, langid, license_scan, mixing, mixing_sql, packing, pii, prefix_trie, prefix_trie_sql, simhash, toxicity,
+)
 from tallyhawk.llm.common import doc_crc, read
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +20,8 @@ CRAWL, REFERENCE = ("src0",), tuple(f"src{i}" for i in range(1, 10))
 WEIGHTS = {"domain": {"crawl": 2, "reference": 5, "community": 3}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 MAX_EPOCHS, MIX_SEED = 2, 7
 
+CLUSTERS = {"k": 8, "rounds": 10, "dim": 64, "scale": 1024, "seed": 3}
+
 #: The conversation that says control strings, to show that they come back as text.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
@@ -96,11 +100,27 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, whose first turns are those of the hundred's first."""
+    return prefix_trie.trie(prefix_trie.with_shared_starts(prefix_trie.turn_lists(read(spark, sf_dir, "conversations")), every=100, modulus=6))
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the texts they decode to, as hashes."""
+    return bpe.digest(read(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all embeddings after ten rounds."""
+    return clustering.clustered(read(spark, sf_dir, "embeddings"), **CLUSTERS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_binary_packing, op2_embedding_neardup, op3_language_mixture, op4_prefix_forest, op5_chat_spans, op6_contextual_pii,
-        op7_hierarchical_mixing, op8_license_scan, op9_simhash_neardup, op10_subword_toxicity,
+        op7_hierarchical_mixing, op8_license_scan, op9_simhash_neardup, op10_subword_toxicity, op11_prefix_trie, op12_backtracking_bpe,
+        op13_centroid_clusters,
     )
 }
 
@@ -137,4 +157,6 @@ ORACLES: dict[str, str] = {
     "op2_embedding_neardup": _NEAR_COPIES_SQL,
     "op5_chat_spans": _CHAT_SQL,
     "op7_hierarchical_mixing": mixing_sql.mixture(_DOMAIN_SQL, WEIGHTS, "CAST(sum(supply) * 3 AS BIGINT) // 5", MAX_EPOCHS, MIX_SEED),
+    "op11_prefix_trie": prefix_trie_sql.trie(every=100, modulus=6),
+    "op13_centroid_clusters": clustering_sql.clusters(**CLUSTERS),
 }

@@ -20,6 +20,9 @@ SHAPES = {
     "op6": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op9": "doc_id bigint, fingerprint string, component_id bigint",
     "op10": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
@@ -36,7 +39,7 @@ def test_shapes_and_whole_tables(spark, results):
             name, kind = column.split()
             assert have[name] == kind, (op, name)
     n = docs.count()
-    for op in ("op3", "op6", "op8", "op9", "op10"):
+    for op in ("op3", "op6", "op8", "op9", "op10", "op12"):
         assert results[op].count() == n
     assert results["op2"].count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
@@ -80,7 +83,7 @@ def test_folds(spark, results):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
 
 
-@pytest.mark.parametrize("op", ["op2", "op5", "op7"])
+@pytest.mark.parametrize("op", ["op2", "op5", "op7", "op11", "op13"])
 def test_queries_equal_sql(spark, results, op):
     import duckdb
 
