@@ -2,9 +2,13 @@
 
 Each tree hashes a vector to a string of ``BITS`` signs of random projections and keeps the
 strings of an index shard as one sorted array. A query descends each tree to its longest
-matching prefix, then all trees ascend together, one level at a time, taking every entry
-that shares the prefix of that length, until the entries taken reach ``effort`` times the
-shard's rows or the root is reached. Candidates are scored exactly on the original vectors.
+matching prefix that holds a few times ``k`` entries, then all trees ascend together, taking
+every entry that shares the shorter prefix. How far depends on what is found: two vectors at
+an angle share a prefix of a given length in some tree with a known chance, and the ascent
+ends where a vector as near as the ``k``-th best so far would be missed with a chance of at
+most ``miss``. Where neighbours are close that is deep down and few rows are scored; where
+they are hardly nearer than the rest, as among vectors without structure, it is near the
+root. Candidates are scored exactly on the original vectors.
 
 Largest inner product becomes smallest angle by one more component: index vectors are
 scaled by the longest length in the table and filled up to length one, queries get a zero.
@@ -55,38 +59,63 @@ def _prefix_ranges(keys: np.ndarray, asked: np.ndarray, length: int) -> tuple[np
     return lo, hi
 
 
-def search(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, enough: float, least: int) -> Iterator[np.ndarray]:
-    """Positions of each query's candidates in a shard: ``keys`` [trees, rows] sorted, ``order`` what they came from."""
-    rows = keys.shape[1]
-    keys = keys.astype(np.uint64)
-    level = np.full(asked.shape[1], -1)
-    ranges = {}
-    # Below the length at which any prefix holds a few rows, nothing reaches ``enough``.
-    for length in range(min(BITS, int(np.log2(rows + 1)) + 12), -1, -1):
-        ranges[length] = _prefix_ranges(keys, asked, length)
-        lo, hi = ranges[length]
-        level[(level < 0) & ((hi - lo).sum(axis=0) >= enough)] = length
-        if (level >= 0).all():
-            break
-    level[level < 0] = 0
-    mask = np.zeros(rows, bool)
-    for q in range(asked.shape[1]):
-        at = int(level[q])
-        while True:
-            if at == 0:
-                yield np.arange(rows)
+def deepest_enough(angle: np.ndarray, trees: int, miss: float) -> np.ndarray:
+    """The longest prefix at which a vector at ``angle`` from the query shares it in some tree but for a chance of ``miss``; 0: take all."""
+    same = np.clip(1 - angle / np.pi, 1e-12, 1 - 1e-12)  # chance that one bit agrees
+    return np.clip(np.floor(np.log(1 - miss ** (1 / trees)) / np.log(same)), 0, BITS).astype(np.int64)
+
+
+class Shard:
+    """One index shard: sorted hash strings a tree, the rows they came from, and the vectors."""
+
+    def __init__(self, keys: np.ndarray, order: np.ndarray, x: np.ndarray, longest: float):
+        self.keys, self.order, self.x, self.longest = keys.astype(np.uint64), order, x, longest
+        self.mask = np.zeros(len(x), bool)
+        self.ranges: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _at(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        if length not in self.ranges:
+            self.ranges[length] = _prefix_ranges(self.keys, self.asked, length)
+        return self.ranges[length]
+
+    def _taken(self, q: int, length: int) -> np.ndarray:
+        if length == 0:
+            return np.arange(len(self.x))
+        lo, hi = self._at(length)
+        for order, s, e in zip(self.order, lo[:, q].tolist(), hi[:, q].tolist(), strict=True):
+            self.mask[order[s:e]] = True
+        found = np.nonzero(self.mask)[0]
+        self.mask[found] = False
+        return found
+
+    def search(self, asked: np.ndarray, vectors: np.ndarray, k: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates of each query and their scores. ``k`` counts the query itself, which may be among them."""
+        self.asked, self.ranges = asked, {}
+        level = np.zeros(asked.shape[1], np.int64)
+        # Descend: the longest prefix at which the trees together hold a few times k entries.
+        for length in range(min(BITS, int(np.log2(len(self.x) + 1)) + 12), 0, -1):
+            lo, hi = self._at(length)
+            level[(level == 0) & ((hi - lo).sum(axis=0) >= 8 * k)] = length
+            if (level > 0).all():
                 break
-            if at not in ranges:
-                ranges[at] = _prefix_ranges(keys, asked, at)
-            lo, hi = ranges[at]
-            for t in range(len(keys)):
-                mask[order[t, lo[t, q] : hi[t, q]]] = True
-            found = np.nonzero(mask)[0]
-            mask[found] = False
-            if len(found) >= least:
-                yield found
-                break
-            at -= 1
+        for q, v in enumerate(vectors):
+            at, reach = int(level[q]), self.longest * float(np.linalg.norm(v))
+            while True:
+                found = self._taken(q, at)
+                score = self.x[found] @ v
+                if at == 0:
+                    break
+                if len(found) >= k:
+                    # Ascend in all trees to where rows as near as the k-th found are hardly missed.
+                    kth = np.partition(score, len(score) - k)[len(score) - k]
+                    wanted = int(deepest_enough(np.arccos(np.clip(kth / reach, -1, 1)), len(self.keys), miss))
+                    if wanted >= at:
+                        break
+                    # What is found on the way up is nearer and may end the way sooner.
+                    at = max(wanted, at - 3)
+                else:
+                    at -= 1
+            yield found, score
 
 
 def _pack(dim: int, projections: np.ndarray, longest: float, asked: bool):
@@ -118,23 +147,22 @@ def _pack(dim: int, projections: np.ndarray, longest: float, asked: bool):
 _PACKED = "part int, asked boolean, ids binary, vectors binary, keys binary, order binary"
 
 
-def _answer(dim: int, trees: int, k: int, effort: float):
+def _answer(dim: int, trees: int, k: int, miss: float, longest: float):
     def run(t: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(t) == 2:
-            ask, shard = t[t["asked"]].iloc[0], t[~t["asked"]].iloc[0]
-            ids, x = np.frombuffer(shard["ids"], np.int64), unpack(shard["vectors"], dim)
-            keys = np.frombuffer(shard["keys"], np.uint32).reshape(trees, -1)
-            order = np.frombuffer(shard["order"], np.int32).reshape(trees, -1)
+            ask, held = t[t["asked"]].iloc[0], t[~t["asked"]].iloc[0]
+            ids, x = np.frombuffer(held["ids"], np.int64), unpack(held["vectors"], dim)
+            shard = Shard(np.frombuffer(held["keys"], np.uint32).reshape(trees, -1), np.frombuffer(held["order"], np.int32).reshape(trees, -1), x, longest)
             q_ids, q = np.frombuffer(ask["ids"], np.int64), unpack(ask["vectors"], dim)
             q_keys = np.frombuffer(ask["keys"], np.uint32).reshape(trees, -1)
             some = range(0, len(q_ids), _AT_ONCE)
-            told = (f for at in some for f in search(keys, order, q_keys[:, at : at + _AT_ONCE], effort * len(ids), k + 1))
-            for i, found in enumerate(told):
-                found = found[ids[found] != q_ids[i]]
+            told = (f for at in some for f in shard.search(q_keys[:, at : at + _AT_ONCE], q[at : at + _AT_ONCE], k + 1, miss))
+            for i, (found, score) in enumerate(told):
+                other = ids[found] != q_ids[i]
+                found, score = found[other], score[other]
                 if not len(found):
                     continue
-                score = x[found] @ q[i]
                 if len(found) > k:
                     cut = np.partition(score, len(found) - k)[len(found) - k]
                     found = found[score >= cut - 1e-9 * (1 + abs(cut))]  # ties stay until the exact sums are there
@@ -149,7 +177,7 @@ def _answer(dim: int, trees: int, k: int, effort: float):
 
 def nearest(
     df: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding",
-    k: int = 20, trees: int = 48, effort: float = 0.75, seed: int = 17,
+    k: int = 20, trees: int = 48, miss: float = 0.1, seed: int = 17,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows of largest inner product found for each query row.
 
@@ -174,6 +202,6 @@ def nearest(
     pairs = index.select("*", F.col("part").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).unionByName(
         asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("part").alias("block"))
     )
-    found = pairs.groupBy("shard", "block").applyInPandas(_answer(dim, trees, k, effort), "query_id long, vec_id long, score double")
+    found = pairs.groupBy("shard", "block").applyInPandas(_answer(dim, trees, k, miss, longest), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

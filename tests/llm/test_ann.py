@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import ann
+from tallyhawk.llm import ann, queries
 
 SCHEMA = "vec_id long, embedding array<float>, score double"
 
@@ -47,3 +50,34 @@ def test_few_rows_give_all(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]), (20, [-1.0, 1.0])]
     assert sorted(run(spark, rows)) == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, -1.0), (20, 1, 1, -0.5), (20, 2, 2, -0.5), (20, 3, 0, -1.0)]
     assert run(spark, []) == [] and run(spark, [(20, None)]) == [] and run(spark, [(20, [1.0])]) == []
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_on_the_driver_s_tables(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.isdir(path):
+        pytest.skip("driver tables are not here")
+    got = {}
+    for r in queries.op4_prefix_forest(spark, path).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    want = brute(rows, 20)
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {i for _, i in w}) for q, w in want.items()) >= 0.9 * 20 * len(want)
+
+
+def test_clustered_vectors_stop_deep():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(160, 64))[rng.integers(0, 160, 16_000)] + 0.3 * rng.normal(size=(16_000, 64))
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    planes = ann.planes(64, 48, 17)
+    keys = ann.hash_strings(np.hstack([x / length.max(), np.sqrt(np.maximum(0, 1 - (length / length.max()) ** 2))]), planes)
+    order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
+    shard = ann.Shard(np.take_along_axis(keys, order, axis=1), order, x, length.max())
+    asks = x[::100]
+    asked = ann.hash_strings(np.hstack([asks / length[::100], np.zeros((len(asks), 1))]), planes)
+    hits = scored = 0
+    for (found, score), all_ in zip(shard.search(asked, asks, 21, 0.1), asks @ x.T, strict=True):
+        scored += len(found)
+        hits += len(set(found[np.argsort(-score)[:21]].tolist()) & set(np.argsort(-all_)[:21].tolist()))
+    assert hits >= 0.9 * 21 * len(asks) and scored < 0.25 * len(x) * len(asks)
