@@ -10,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhawk.operators.windows import START, anchored, micros, seconds, unused
+from tallyhawk.operators.jumps import NOT_NEW, Chains
+from tallyhawk.operators.windows import START, anchored, micros, named_apart, runs, seconds, unused
 
 STEP, FIRED, VALUE = "step", "fired", "value"
 
@@ -27,7 +30,8 @@ class Step:
 
     ``measure`` is count, sum, avg or distinct; all but count look at the expression ``of``.
     ``guard`` decides besides ``when`` which rows count. Both are SQL conditions; null is no.
-    With ``either`` the step has several thresholds, see ``any_of``.
+    With ``either`` the step has several thresholds, see ``any_of``. A count or distinct
+    threshold must be above 0.
     """
 
     when: str
@@ -37,6 +41,12 @@ class Step:
     guard: str = ""
     either: tuple[Step, ...] = ()
 
+    def __post_init__(self):
+        if self.measure not in ("count", "sum", "avg", "distinct", "any"):
+            raise ValueError(f"no measure {self.measure}")
+        if self.measure in ("count", "distinct") and not self.least > 0:
+            raise ValueError("a count or distinct threshold must be above 0")
+
     @property
     def flag(self) -> str:
         return f"({self.when}) AND ({self.guard})" if self.guard else self.when
@@ -143,48 +153,73 @@ class _Chain:
 def track(
     df: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", parts: list[str] | None = None
 ) -> DataFrame:
-    """``df`` with ``window_start, step, fired, value`` of each row.
+    """``df`` with ``window_start, step, fired, value`` of each row; step and value, the measure, where a step is completed.
 
     Rows that are an event of no step are left out before the shuffle. The first row that
     counts toward step 1 opens a key's window; rows outside a window have none. A row completes at most one step; the next counts strictly later rows, in order of
     (``ts``, ``order``). After the last step the chain starts again within the window
     (``reset``), stays quiet until the next (``once``), or fires on every further row whose
     measure is still there (``every``). Sums and averages skip nothing: a null counts as 0.
-    A single count with ``reset`` needs no fold: it is every ``least``-th row of its window.
+    A single count is told from the row's place in its window; other chains go from one
+    completed step to the next (``jumps``). An event column of a result's name is an error.
     """
     if on_fire not in ("reset", "once", "every"):
         raise ValueError(on_fire)
+    named_apart(df.columns, START, STEP, FIRED, VALUE)
     if len(steps) == 1 and steps[0].measure == "count":
         return _counted(df, keys, ts, order, dur, steps[0], on_fire, parts)
-    fields = [T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()), T.StructField(VALUE, T.DoubleType())]
     names, all_ = df.columns, unused(df.columns, "_row")
     # The event's own columns travel as one struct, so none can clash with what the chain reads.
+    fields = [T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()), T.StructField(VALUE, T.DoubleType())]
     shape = T.StructType([T.StructField(all_, df.schema), *fields])
     plan, span = plan_of(steps), seconds(dur) * 1_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, chain = object(), None
+        chains = Chains(plan, span, on_fire)
         for batch in batches:
-            if not len(batch):
+            n = len(batch)
+            if not n:
                 continue
-            t = batch.select(batch.schema.names[1:]).to_pandas()
-            out = []
-            for own, at, f, v in zip(t["_k"], t["_t"], *rows_of(t, steps), strict=True):
-                if own != key:
-                    key, chain = own, _Chain(plan, span, on_fire)
-                out.append(chain.feed(at, f, v))
-            start, step, fired, value = zip(*out, strict=True)
-            told = [pa.array(start, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(step, pa.int32()), pa.array(fired, pa.bool_()), pa.array(value, pa.float64())]
+            keys, cuts = runs(batch.column("_k"))
+            column = lambda name, null: pc.fill_null(batch.column(name), null).to_numpy(zero_copy_only=False)
+            flags = [[column(f"_f{i}_{j}", False) for j in range(len(s))] for i, s in enumerate(plan)]
+            values = [
+                [None if kind == "count" else column(f"_v{i}_{j}", NOT_NEW) if kind == "distinct" else np.nan_to_num(column(f"_v{i}_{j}", 0.0), posinf=np.inf, neginf=-np.inf) for j, (kind, _) in enumerate(s)]
+                for i, s in enumerate(plan)
+            ]
+            start, step, fired, value = chains.read(keys, cuts, batch.column("_t").to_numpy(), flags, values)
+            told = [
+                pa.array(start[0], pa.int64(), mask=~start[1]).cast(pa.timestamp("us", "UTC")), pa.array(step[0], pa.int32(), mask=~step[1]),
+                pa.array(fired), pa.array(value[0], pa.float64(), mask=~value[1]),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=[all_, START, STEP, FIRED, VALUE])
 
-    deal = [*keys, *(parts or [])]
-    ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
-        F.struct(*[F.col(c) for c in names]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o"), *inputs_of(steps)
-    )
-    told = ready.repartition("_k").sortWithinPartitions("_k", "_t", "_o").drop("_o").mapInArrow(run, shape)
+    told = _dealt(df, keys, ts, order, steps, parts, all_).mapInArrow(run, shape)
     return told.select(*[F.col(f"{all_}.{c}") for c in names], START, STEP, FIRED, VALUE)
 
 
+def _dealt(df: DataFrame, keys: list[str], ts: str, order: str, steps: list[Step], parts: list[str] | None, all_: str) -> DataFrame:
+    """Rows dealt by key and sorted by time, as ``all_`` and what the chain reads.
+
+    A distinct value is told by the number of the key's row in which it stood before (-1: in
+    none), so neither the values nor a set of them goes to Python. All windows here are of
+    one key, so they share its exchange.
+    """
+    ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
+        F.struct(*[F.col(c) for c in df.columns]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*keys, *(parts or [])), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o"), *inputs_of(steps)
+    ).repartition("_k")
+    kinds = [f"{i}_{j}" for i, s in enumerate(steps) for j, t in enumerate(s.thresholds) if t.measure == "distinct"]
+    counts = [f"_v{i}_{j}" for i, s in enumerate(steps) for j, t in enumerate(s.thresholds) if t.measure == "count"]
+    ready = ready.drop(*counts)
+    if not kinds:
+        return ready.sortWithinPartitions("_k", "_t", "_o").drop("_o")
+    ready = ready.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_t", "_o")).cast("long") - 1)
+    for at in kinds:
+        before = F.lag("_n", 1, -1).over(Window.partitionBy("_k", f"_f{at}", f"_v{at}").orderBy("_n"))
+        ready = ready.withColumn(f"_v{at}", F.when(F.col(f"_f{at}") & F.col(f"_v{at}").isNotNull(), before))
+    return ready.sortWithinPartitions("_k", "_n").drop("_o", "_n")
+
+
 def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFrame, list[Step]]:
     """Only ``keep`` and what the steps look at, already worked out: Spark cannot prune columns below a Python reader."""
     cols = []
@@ -204,10 +239,10 @@ def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFram
 
 def _counted(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, step: Step, on_fire: str, parts: list[str] | None) -> DataFrame:
     n, least = F.col("row_in_window"), int(-(-step.least // 1))
-    value = {"reset": (n - 1) % least + 1, "once": n, "every": n}[on_fire]
+    value = n if on_fire == "every" else F.lit(least)
     fired = {"reset": n % least == 0, "once": n == least, "every": n >= least}[on_fire]
     rows = anchored(df.where(step.flag), keys, ts, order, dur, parts)
-    return rows.select(*df.columns, START, F.when(fired, 0).alias(STEP), fired.alias(FIRED), value.cast("double").alias(VALUE))
+    return rows.select(*df.columns, START, F.when(fired, 0).alias(STEP), fired.alias(FIRED), F.when(fired, value.cast("double")).alias(VALUE))
 
 
 def firings(tracked: DataFrame) -> DataFrame:

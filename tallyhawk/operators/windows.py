@@ -39,6 +39,20 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def named_apart(columns: list[str], *names: str) -> None:
+    """An error if a result's column has the name of an event's."""
+    if clash := {c.lower() for c in columns} & set(names):
+        raise ValueError(f"rename the event columns {sorted(clash)}: the result has columns of these names")
+
+
+def runs(column: pa.Array) -> tuple[list, list[int]]:
+    """Values of each run of equal ones, and where the runs begin, with the end."""
+    n = len(column)
+    change = np.nonzero(pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False))[0] + 1
+    cuts = [0, *change.tolist(), n]
+    return column.take(pa.array(cuts[:-1])).to_pylist(), cuts
+
+
 def stretches(df: DataFrame, keys: list[str], ts: str, dur: str, out: str) -> DataFrame:
     """``df`` with a number per key that rises wherever a whole slot of length ``dur`` has no event.
 
@@ -79,6 +93,7 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
     Rows of equal time go by ``order``. Null keys form a key of their own; rows without a
     time are left out. ``parts`` are columns of ``stretches`` to deal by as well as the keys.
     """
+    named_apart(df.columns, START, ROW)
     span = seconds(dur) * 1_000_000
     names, all_ = df.columns, unused(df.columns, "_row")
     # The event's own columns travel as one struct, so none can clash with those added here.
