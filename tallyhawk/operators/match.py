@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhawk.operators.jumps import NOT_NEW, Chains
-from tallyhawk.operators.windows import START, anchored, micros, named_apart, runs, seconds, unused
+from tallyhawk.operators.windows import START, anchored, blocks, micros, named_apart, runs, seconds, unused
 
 STEP, FIRED, VALUE = "step", "fired", "value"
 
@@ -151,7 +151,7 @@ class _Chain:
 
 
 def track(
-    df: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", parts: list[str] | None = None
+    df: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", parts: list[str] | None = None, hot: bool = False
 ) -> DataFrame:
     """``df`` with ``window_start, step, fired, value`` of each row; step and value, the measure, where a step is completed.
 
@@ -161,13 +161,14 @@ def track(
     (``reset``), stays quiet until the next (``once``), or fires on every further row whose
     measure is still there (``every``). Sums and averages skip nothing: a null counts as 0.
     A single count is told from the row's place in its window; other chains go from one
-    completed step to the next (``jumps``). An event column of a result's name is an error.
+    completed step to the next (``jumps``). With ``hot`` the windows of a single count are
+    cut into ``blocks``, so that a key of very many rows is not read by one task. An event column of a result's name is an error.
     """
     if on_fire not in ("reset", "once", "every"):
         raise ValueError(on_fire)
     named_apart(df.columns, START, STEP, FIRED, VALUE)
     if len(steps) == 1 and steps[0].measure == "count":
-        return _counted(df, keys, ts, order, dur, steps[0], on_fire, parts)
+        return _counted(df, keys, ts, order, dur, steps[0], on_fire, parts, hot)
     names, all_ = df.columns, unused(df.columns, "_row")
     # The event's own columns travel as one struct, so none can clash with what the chain reads.
     fields = [T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()), T.StructField(VALUE, T.DoubleType())]
@@ -237,11 +238,12 @@ def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFram
     return df.select(*dict.fromkeys(keep), *cols), out
 
 
-def _counted(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, step: Step, on_fire: str, parts: list[str] | None) -> DataFrame:
+def _counted(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, step: Step, on_fire: str, parts: list[str] | None, hot: bool) -> DataFrame:
     n, least = F.col("row_in_window"), int(-(-step.least // 1))
     value = n if on_fire == "every" else F.lit(least)
     fired = {"reset": n % least == 0, "once": n == least, "every": n >= least}[on_fire]
-    rows = anchored(df.where(step.flag), keys, ts, order, dur, parts)
+    counts = df.where(step.flag)
+    rows = anchored(blocks(counts, keys, ts, dur) if hot else counts, keys, ts, order, dur, parts)
     return rows.select(*df.columns, START, F.when(fired, 0).alias(STEP), fired.alias(FIRED), F.when(fired, value.cast("double")).alias(VALUE))
 
 

@@ -5,11 +5,13 @@ before t0 + dur, and the next event opens another. Whether a row opens one depen
 rows before it, so the rows are dealt by key, sorted by time, and read once in Arrow
 batches; what goes from batch to batch is the key and start of the open window, so memory
 does not grow with a key's rows. A gap of at least ``dur`` closes any window, which is why
-``parts`` may deal the stretches between such gaps to different tasks.
+``parts`` may deal the stretches between such gaps to different tasks. A key that never
+pauses is cut into ``blocks``, whose windows open on entry are found beforehand.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, ROW = "window_start", "row_in_window"
+#: Columns of ``blocks``: the block, the start of the window open as it begins, and the rows that window has before.
+BLOCK = PART, OPENED, BEFORE = "_block", "_opened", "_before"
 
 
 def micros(ts: str) -> Column:
@@ -68,6 +72,89 @@ def stretches(df: DataFrame, keys: list[str], ts: str, dur: str, out: str) -> Da
     return df.join(numbered, on).select(*df.columns, out)
 
 
+_MAP = "_rows bigint, _after array<bigint>, _start array<bigint>, _count array<bigint>"
+
+
+def _block_map(dur: int):
+    """What a block does to the window open on its entry.
+
+    An open window matters only through the block's first row past its end, which opens the
+    next. Windows that begin at different rows soon run into each other, so few rows are left
+    that the block's last window can begin at. Told are, for each of these, the latest such
+    first row that leads to it, its time, and how many rows of the block it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for times in batch.column("_times").to_pylist():
+                t = np.array([r["t"] for r in times], np.int64)
+                rows = np.concatenate(([0], np.cumsum([r["n"] for r in times])))
+                after = np.searchsorted(t, t + dur)
+                last = np.arange(len(t))
+                for k in range(len(t) - 1, -1, -1):
+                    if after[k] < len(t):
+                        last[k] = last[after[k]]
+                end = np.nonzero(np.append(last[1:] != last[:-1], True))[0]
+                out.append((int(rows[-1]), t[end].tolist(), t[last[end]].tolist(), (rows[-1] - rows[last[end]]).tolist()))
+            if out:
+                told = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), *[pa.list_(pa.int64())] * 3), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_times"), *told], names=[*(c for c in batch.schema.names if c != "_times"), "_rows", "_after", "_start", "_count"])
+
+    return run
+
+
+def _entries(dur: int, names: list[str]):
+    """The window open on each block's entry, by its maps in order; of a key only that window is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, count = object(), None, 0
+        for batch in batches:
+            opened, counts = [], []
+            for own, rows, after, starts, had in zip(*(batch.column(c).to_pylist() for c in ("_k", "_rows", "_after", "_start", "_count")), strict=True):
+                if own != key:
+                    key, start, count = own, None, 0
+                opened.append(start)
+                counts.append(count)
+                at = 0 if start is None else bisect_left(after, start + dur)
+                if at < len(after):
+                    start, count = starts[at], had[at]
+                else:
+                    count += rows
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(opened, pa.int64()), pa.array(counts, pa.int64())], names=[*names, OPENED, BEFORE])
+
+    return run
+
+
+def blocks(df: DataFrame, keys: list[str], ts: str, dur: str, length: str | None = None, most: int = 100_000) -> DataFrame:
+    """``df`` with the columns ``BLOCK``: a number of its key's stretch of ``length``, and the window that is open as the stretch begins.
+
+    For keys of very many rows that never pause: with these columns ``anchored`` deals every
+    block by itself. Each block is first told as a map from the window open on entry to that
+    open on exit (a row a block), and the maps of a key are followed in order, so no task
+    reads a key's rows. Without ``length`` it is chosen so that the fullest block has about
+    ``most`` rows (more, if one instant has more).
+    """
+    named_apart(df.columns, *(c.lower() for c in BLOCK))
+    span, own = seconds(dur) * 1_000_000, [f"_k{i}" for i in range(len(keys))]
+    timed = df.where(F.col(ts).isNotNull())
+    if length is None:
+        fullest = timed.groupBy(*keys, F.floor(micros(ts) / span)).count().agg(F.max("count")).head()[0] or 1
+        step = max(1, span * most // fullest)
+    else:
+        step = seconds(length) * 1_000_000
+    at = F.floor(micros(ts) / step)
+    told = timed.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], at.alias("_at"), micros(ts).alias("t"))
+    times = told.groupBy(*own, "_at", "t").agg(F.count(F.lit(1)).alias("n")).groupBy(*own, "_at").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("_times"))
+    shape = [*times.drop("_times").schema.fields]
+    maps = times.mapInArrow(_block_map(span), T.StructType([*shape, *T.StructType.fromDDL(_MAP).fields]))
+    keyed = maps.withColumn("_k", F.to_json(F.struct(*own), {"ignoreNullFields": "false"})).repartition("_k").sortWithinPartitions("_k", "_at")
+    names = [f.name for f in shape]
+    entered = keyed.mapInArrow(_entries(span, names), T.StructType([*shape, T.StructField(OPENED, T.LongType()), T.StructField(BEFORE, T.LongType())]))
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)] + [at == F.col("_at")]
+    return timed.join(entered, on).select(*df.columns, F.col("_at").alias(PART), OPENED, BEFORE)
+
+
 def _starts(dur: int):
     """Opening rows within one key's sorted times, given the open window's start or None."""
 
@@ -91,13 +178,16 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
     """``df`` with ``window_start`` and ``row_in_window`` (from 1) of each row's anchored window.
 
     Rows of equal time go by ``order``. Null keys form a key of their own; rows without a
-    time are left out. ``parts`` are columns of ``stretches`` to deal by as well as the keys.
+    time are left out. ``parts`` are columns of ``stretches`` to deal by as well as the keys;
+    the columns of ``blocks``, if ``df`` has them, are dealt by, too, and left out of the result.
     """
     named_apart(df.columns, START, ROW)
     span = seconds(dur) * 1_000_000
-    names, all_ = df.columns, unused(df.columns, "_row")
+    in_blocks = set(BLOCK) <= set(df.columns)
+    own = df.drop(*BLOCK) if in_blocks else df
+    names, all_ = own.columns, unused(own.columns, "_row")
     # The event's own columns travel as one struct, so none can clash with those added here.
-    kinds = T.StructType([T.StructField(all_, df.schema), T.StructField(START, T.TimestampType()), T.StructField(ROW, T.LongType())])
+    kinds = T.StructType([T.StructField(all_, own.schema), T.StructField(START, T.TimestampType()), T.StructField(ROW, T.LongType())])
     starts = _starts(span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,23 +197,24 @@ def anchored(df: DataFrame, keys: list[str], ts: str, order: str, dur: str, part
             if not n:
                 continue
             times = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            codes = batch.column(2)
-            change = np.nonzero(pc.not_equal(codes.slice(1), codes.slice(0, n - 1)).to_numpy(zero_copy_only=False))[0] + 1
+            own_keys, cuts = runs(batch.column(2))
             start, number = np.empty(n, np.int64), np.empty(n, np.int64)
-            for s, e in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
-                own_key = codes[s].as_py()
+            for own_key, s, e in zip(own_keys, cuts[:-1], cuts[1:], strict=True):
                 if own_key != key:
                     key, open_, rows = own_key, None, 0
+                    if in_blocks:
+                        open_, rows = batch.column(3)[s].as_py(), batch.column(4)[s].as_py()
                 own, first = starts(times[s:e], open_)
                 place = np.where(first < 0, rows + np.arange(1, e - s + 1), np.arange(e - s) - first + 1)
                 start[s:e], number[s:e] = own, place
                 open_, rows = int(own[-1]), int(place[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(start, pa.int64()).cast(pa.timestamp("us", "UTC")), pa.array(number)], names=[all_, START, ROW])
 
-    deal = [*keys, *(parts or [])]
+    deal = [*keys, *(parts or []), *([PART] if in_blocks else [])]
     ready = df.where(F.col(ts).isNotNull()).select(
-        F.struct(*[F.col(c) for c in names]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o")
-    )
+        F.struct(*[F.col(c) for c in names]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*deal), {"ignoreNullFields": "false"}).alias("_k"),
+        *([OPENED, BEFORE] if in_blocks else []), F.col(order).alias("_o"),
+    )
     told = ready.repartition("_k").sortWithinPartitions("_k", "_t", "_o").drop("_o").mapInArrow(run, kinds)
     return told.select(*[F.col(f"{all_}.{c}") for c in names], START, ROW)
 

@@ -49,18 +49,19 @@ def run(
     """Alerts of ``rule`` with the firing measure in ``measure`` (null for closings).
 
     Windows that end ``delay`` before the latest event of the rule's input or earlier close
-    by timeout, the rest for ``end_reason``. ``split`` deals a key's rows to several tasks
-    wherever it pauses for a whole window, for keys with very many rows.
+    by timeout, the rest for ``end_reason``. ``split`` deals a key's rows to several tasks,
+    for keys with very many rows: those of a single count in blocks, others wherever the key
+    pauses for a whole window.
     """
     bound = events.where(rule.where)
     keys = list(rule.keys)
     named = [c for c in events.columns if re.search(rf"\b{re.escape(c)}\b", rule.close)]
     bound, steps = match.slimmed(bound, [*keys, rule.entity[1], ts, order, *named], list(rule.steps))
-    parts = None
-    if split:
+    parts, hot = None, split and len(steps) == 1 and steps[0].measure == "count"
+    if split and not hot:
         parts = [unused(bound.columns, "_part")]
         bound = stretches(bound, keys, ts, rule.dur, parts[0])
-    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire, parts)
+    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire, parts, hot)
     entity = (rule.entity[0], F.col(rule.entity[1]))
     out = []
     if not rule.close or rule.close_mode == "or":

@@ -320,6 +320,23 @@ def f1_anchored_split(spark, sf):
     return windows.anchored(cut, ["user_id"], "ts", "event_id", "1d", ["part"]).select("event_id", "user_id", us("window_start"), "row_in_window")
 
 
+@query(sql.anchored(f"SELECT *, user_id % 2 AS half FROM {E}", ["half"], "1h") + f" SELECT event_id, half, {sql.us('window_start')} AS window_start_us, CAST(row_in_window AS BIGINT) AS row_in_window FROM w")
+def f1_anchored_blocks(spark, sf):
+    """Anchored windows of two keys that hardly pause, cut into blocks of a day."""
+    halves = events(spark, sf).withColumn("half", F.col("user_id") % 2)
+    return windows.anchored(windows.blocks(halves, ["half"], "ts", "1h", "1d"), ["half"], "ts", "event_id", "1h").select("event_id", "half", us("window_start"), "row_in_window")
+
+
+_SPLIT = Rule("counted_blocks", ("half",), "2h", (Step("event_type = 'click'", 5),), 60, ("half", "half"))
+
+
+@query(rule.oracle(_SPLIT, f"SELECT *, user_id % 2 AS half FROM ({SOURCE})"))
+def i10_hot_keys(spark, sf):
+    """A counting rule on two hot keys, each dealt to many tasks."""
+    halves = events(spark, sf).withColumn("half", F.col("user_id") % 2).withColumnRenamed("value", "amount")
+    return rule.flat(rule.run(_SPLIT, halves, split=True))
+
+
 @query(f"SELECT user_id, {sql.us('time_bucket(INTERVAL 6 HOUR, ts)')} AS window_start_us, count(*) AS n, round(sum(value), 4) AS total FROM {E} GROUP BY ALL")
 def f2_fixed(spark, sf):
     rows = windows.fixed(events(spark, sf), "ts", "6h")
