@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -87,69 +86,6 @@ def inputs_of(steps: list[Step]) -> list[Column]:
     return out
 
 
-def rows_of(t: pd.DataFrame, steps: list[Step]) -> tuple[list[tuple], list[tuple]]:
-    """Flags and values of each row as ``_Chain.feed`` takes them: a tuple a step."""
-    flags, values = [], []
-    for i, s in enumerate(steps):
-        at = range(len(s.thresholds))
-        flags.append(list(zip(*[t[f"_f{i}_{j}"] for j in at], strict=True)))
-        values.append(list(zip(*[t[f"_v{i}_{j}"].astype(object).where(t[f"_v{i}_{j}"].notna(), None) for j in at], strict=True)))
-    return list(zip(*flags, strict=True)), list(zip(*values, strict=True))
-
-
-class _Chain:
-    """State of one key: the open window's start, the step under way and its measures."""
-
-    def __init__(self, steps: tuple[tuple[tuple[str, float], ...], ...], span: int, on_fire: str):
-        self.steps, self.span, self.on_fire = steps, span, on_fire
-        self.start: int | None = None
-        self.fired_once = False
-        self.at = 0
-        self.clear()
-
-    def clear(self) -> None:
-        self.state = [(0, 0.0, set()) for _ in self.steps[self.at]]
-
-    def _measure(self, j: int, v) -> float:
-        kind = self.steps[self.at][j][0]
-        n, total, seen = self.state[j]
-        n += 1
-        if kind == "distinct":
-            if v is not None:
-                seen.add(v)
-            m = float(len(seen))
-        elif kind == "count":
-            m = float(n)
-        else:
-            total += 0.0 if v is None else v
-            m = total if kind == "sum" else total / n
-        self.state[j] = (n, total, seen)
-        return m
-
-    def feed(self, t: int, flags: tuple, values: tuple) -> tuple[int | None, int | None, bool, float | None]:
-        """(window start, step completed, fires, measure) of a row."""
-        if self.start is None or t >= self.start + self.span:
-            self.start, self.at, self.fired_once = None, 0, False
-            self.clear()
-        mine = flags[self.at]
-        if not any(mine):
-            return self.start, None, False, None
-        if self.start is None:
-            self.start = t
-        got = [(self._measure(j, values[self.at][j]), self.steps[self.at][j][1]) for j, f in enumerate(mine) if f]
-        m = next((x for x, least in got if x >= least), None)
-        if m is None:
-            return self.start, None, False, got[0][0]
-        done, last = self.at, self.at == len(self.steps) - 1
-        if last and self.on_fire == "every":
-            return self.start, done, True, m
-        self.at = 0 if last else self.at + 1
-        self.clear()
-        fires = last and not (self.on_fire == "once" and self.fired_once)
-        self.fired_once |= last
-        return self.start, done, fires, m
-
-
 def track(
     df: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", parts: list[str] | None = None, hot: bool = False
 ) -> DataFrame:

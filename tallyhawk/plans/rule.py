@@ -53,24 +53,31 @@ def run(
     for keys with very many rows: those of a single count in blocks, others wherever the key
     pauses for a whole window.
     """
-    bound = events.where(rule.where)
-    keys = list(rule.keys)
-    named = [c for c in events.columns if re.search(rf"\b{re.escape(c)}\b", rule.close)]
-    bound, steps = match.slimmed(bound, [*keys, rule.entity[1], ts, order, *named], list(rule.steps))
-    parts, hot = None, split and len(steps) == 1 and steps[0].measure == "count"
+    rows, steps = bound(rule, events, ts, order)
+    keys, parts, hot = list(rule.keys), None, split and len(steps) == 1 and steps[0].measure == "count"
     if split and not hot:
-        parts = [unused(bound.columns, "_part")]
-        bound = stretches(bound, keys, ts, rule.dur, parts[0])
-    tracked = match.track(bound, keys, ts, order, rule.dur, steps, rule.on_fire, parts, hot)
-    entity = (rule.entity[0], F.col(rule.entity[1]))
-    out = []
+        parts = [unused(rows.columns, "_part")]
+        rows = stretches(rows, keys, ts, rule.dur, parts[0])
+    tracked = match.track(rows, keys, ts, order, rule.dur, steps, rule.on_fire, parts, hot)
+    windows = match.with_reason(tracked, rule.dur, match.watermark_of(rows, ts, delay) if late_close else None, end_reason) if rule.close else None
+    return told(rule, tracked, windows, ts, order)
+
+
+def bound(rule: Rule, events: DataFrame, ts: str, order: str) -> tuple[DataFrame, list[Step]]:
+    """The rule's events with the columns that matching, alerts and the close look at, and the steps told by them."""
+    named = [c for c in events.columns if re.search(rf"\b{re.escape(c)}\b", rule.close)]
+    return match.slimmed(events.where(rule.where), [*rule.keys, rule.entity[1], ts, order, *named], list(rule.steps))
+
+
+def told(rule: Rule, tracked: DataFrame, windows: DataFrame | None, ts: str, order: str) -> DataFrame:
+    """Alerts of tracked rows that fire, and of windows, given by their rows with ``close_reason``, as they close."""
+    keys, entity, out = list(rule.keys), (rule.entity[0], F.col(rule.entity[1])), []
     if not rule.close or rule.close_mode == "or":
         out.append(alerts.envelope(match.firings(tracked), rule.name, entity, rule.score, F.col(ts), measure=F.col(match.VALUE)))
     if rule.close:
-        told = match.with_reason(tracked, rule.dur, match.watermark_of(bound, ts, delay) if late_close else None, end_reason)
         if re.search(r"\binterval_s\b", rule.close):
-            told = match.with_interval(told, keys, ts, order)
-        seen = match.evidence(told, keys, ts, order, rule.dur, F.expr(rule.close).alias("holds"))
+            windows = match.with_interval(windows, keys, ts, order)
+        seen = match.evidence(windows, keys, ts, order, rule.dur, F.expr(rule.close).alias("holds"))
         armed = F.col("holds") & (F.col("matches") > 0) if rule.close_mode == "and" else F.col("holds")
         closed = match.closings(seen, armed)
         out.append(alerts.envelope(closed, rule.name, entity, rule.score, F.col("fired_at"), F.concat(F.lit("close:"), F.col("close_reason")), measure=F.lit(None).cast("double")))

@@ -10,7 +10,7 @@ from tallyhawk.functions import scalars as fn
 from tallyhawk.operators import alerts, reconcile
 from tallyhawk.operators.match import Step
 from tallyhawk.operators.windows import micros
-from tallyhawk.plans import rule, sql
+from tallyhawk.plans import rule, rule_queries, sql
 from tallyhawk.plans.core_queries import SOURCE, E, events, table, us
 from tallyhawk.plans.rule_queries import _FIRST, _MANY, view, view_sql
 from tallyhawk.sinks import writers
@@ -130,18 +130,55 @@ _STREAM = [Step("event_type IN ('click', 'view')", 3, "distinct", "k")]
 
 @query(
     sql.chain(SOURCE, ["user_id"], "3d", _STREAM)
-    + f" SELECT event_id, CAST(measure AS DOUBLE) AS value, {sql.us('window_start')} AS window_start_us FROM w WHERE fired AND epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events) - 86400000) * 1000"
+    + f" SELECT event_id, CAST(measure AS DOUBLE) AS value, {sql.us('window_start')} AS window_start_us FROM w WHERE fired AND epoch_us(ts) <= ((SELECT epoch_ms(max(ts)) FROM events WHERE event_type IN ('click', 'view')) - 86400000) * 1000"
 )
 def i_stream_equals_batch(spark, sf):
     """Firings of a stream over the events, run to its end: those that the last watermark has passed."""
     path = f"{sf}/events.parquet"
     shape = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(shape).parquet(f"{sf}/events*.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    found = stateful.matched(lateness.watermarked(raw, "ts", "1d"), ["user_id"], "ts", "event_id", "3d", _STREAM)
+    raw = spark.readStream.schema(shape).parquet(f"{sf}/events*.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("bigint")).withColumnRenamed("value", "amount")
+    found = stateful.tracked(lateness.watermarked(raw, "ts", "1d"), ["user_id"], "ts", "event_id", "3d", _STREAM)
     base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
     stateful.drain(found, f"{base}/state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
     out = spark.read.parquet(f"{base}/out")
-    return out.select(F.col("event_id").cast("bigint").alias("event_id"), "value", us("window_start"))
+    return out.select("event_id", "value", us("window_start"))
+
+
+_TIMED = rule_queries._OPEN.with_(name="stream_timeout", dur="2d")
+
+
+@query(rule.oracle(_TIMED, rule_queries.view_sql("conn"), "1d", None))
+def f9_stream_close(spark, sf):
+    """A rule with a closing condition on a stream: windows that the last watermark has passed."""
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+    rows = raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.col("value").alias("amount"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    conn = lateness.watermarked(rows, "ts", "1d").selectExpr(*rule_queries.BASE, *[f"{e} AS {c}" for c, e in rule_queries.VIEWS["conn"].items()])
+    base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
+    followed = stateful.followed(_TIMED, conn)
+    stateful.drain(followed, f"{base}/state", lambda batch, n: rule.flat(stateful.alerts_of(_TIMED, batch)).write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+_TURNS = 3
+_BY_TURN = f"SELECT event_id, ts, ((event_id * 7919) % 10007) * {_TURNS} // 10007 AS turn FROM {E}"
+
+
+@query(
+    f"SELECT event_id, turn, coalesce(epoch_us(ts) <= (SELECT epoch_ms(max(o.ts)) - 20 * 86400000 FROM ({_BY_TURN}) o WHERE o.turn < w.turn) * 1000, FALSE) AS late FROM ({_BY_TURN}) w"
+)
+def i4_stream_side_output(spark, sf):
+    """Late rows of a stream that is stopped twice and goes on from its checkpoint; every row comes out, late or as a match."""
+    rows = events(spark, sf).withColumn("turn", F.expr(f"event_id * 7919 % 10007 * {_TURNS} div 10007"))
+    base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
+    for turn in range(_TURNS):
+        rows.where(F.col("turn") == turn).write.mode("append").parquet(f"{base}/in")
+        read = spark.readStream.schema(rows.schema).parquet(f"{base}/in").withColumnRenamed("value", "amount")
+        stream = stateful.tracked(lateness.watermarked(read, "ts", "20d"), ["user_id"], "ts", "event_id", "1d", [Step("TRUE", 1)])
+        stateful.drain(stream, f"{base}/state", lambda batch, n: batch.select("event_id", "turn", (F.col("kind") == "late").alias("late")).write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    # Rows that no watermark has passed still wait in the state when the input ends.
+    out = spark.read.parquet(f"{base}/out").drop("batch")
+    waiting = rows.join(out, "event_id", "left_anti").select("event_id", "turn", F.lit(False).alias("late"))
+    return out.unionByName(waiting).select("event_id", F.col("turn").cast("bigint").alias("turn"), "late")
 
 
 # --- reconciliation -------------------------------------------------------------------------------

@@ -1,90 +1,266 @@
-"""Anchored matching on streams: rows wait for the watermark, then go through the same chain as in batch.
+"""Rules on streams: anchored windows, chains of steps and closing conditions in keyed state.
 
-Rows of a micro-batch come in any order and an anchored window depends on order, so each
-key buffers its rows until the watermark has passed them. State is the buffer and the
-open chain of a key; a key whose window is over and whose buffer is empty has none.
+Rows of a micro-batch come in any order and an anchored window depends on order, so rows
+wait until the watermark has passed them. A key's state is in four parts. ``waiting`` holds
+its rows by slots of time, ``chain`` the open window's start, the step under way and its
+measures, ``seen`` the distinct values of that step, and ``events``, for rules with a
+closing condition, the events of the open window. Event-time timers stand at the earliest
+waiting row of a slot and at the window's end, so a micro-batch reads and writes only slots
+with new or due rows, and a key without due rows is not touched. A key whose window is over
+and that waits for nothing has no state.
+
+Three kinds of rows come out: ``fired`` (a chain is completed), ``window`` (the events of a
+window that closes by timeout, all in the batch in which it closes) and ``late`` (rows that
+the watermark had passed before they came: a side output, nothing is dropped). The first
+two become alerts in ``foreachBatch`` by the same aggregates as in batch.
 """
 
 from __future__ import annotations
 
 import pickle
 import tempfile
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tallyhawk.operators.match import Step, _Chain, inputs_of, plan_of, rows_of
-from tallyhawk.operators.windows import micros, seconds
-
-OUTPUT = "key string, window_start timestamp, fired_at timestamp, event_id string, origin string, value double, window_events long"
-
-
-def _advance(rows: list, chain: _Chain | None, plan: tuple, span: int, on_fire: str, upto: int, key: str, close_at_least: int | None):
-    """Feed buffered rows up to the watermark; give firings and closings, the rest of the buffer, and the chain."""
-    out, wait = [], []
-    state = chain or _Chain(plan, span, on_fire)
-    seen = getattr(state, "events", 0)
-
-    def close() -> None:
-        if close_at_least is not None and state.start is not None and seen >= close_at_least:
-            out.append((key, state.start, state.start + span, None, "close:timeout", None, seen))
-
-    for row in sorted(rows, key=lambda r: r[:2]):
-        t, event, flags, values = row
-        if t > upto:
-            wait.append(row)
-            continue
-        if state.start is not None and t >= state.start + span:
-            close()
-            seen = 0
-        start, _, fires, value = state.feed(t, flags, values)
-        if start is not None:
-            seen += 1
-        if fires:
-            out.append((key, start, t, event, "event", value, seen))
-    if state.start is not None and state.start + span <= upto:
-        close()
-        state, seen = _Chain(plan, span, on_fire), 0
-    state.events = seen
-    return out, wait, state
-
-
-def matched(
-    stream: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", close_at_least: int | None = None
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from tallyhawk.operators import match
+from tallyhawk.operators.match import FIRED, STEP, VALUE, Step, inputs_of, plan_of
+from tallyhawk.operators.windows import START, micros, named_apart, seconds
+from tallyhawk.plans import rule as rules
+from tallyhawk.plans.rule import Rule
+
+KIND = "kind"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+_OUT = "kind string, start long, step int, fired boolean, value double, event string"
+
+
+@dataclass
+class _Open:
+    """A key's open window and the step under way in it."""
+
+    start: int | None = None
+    at: int = 0
+    fired: bool = False
+    measures: list = field(default_factory=list)  # rows, sum and number of distinct values for each threshold
+    slots: list = field(default_factory=list)  # in which rows wait, in order
+
+
+class _Seen:
+    """Distinct values of the step under way; what is known is asked for once a call."""
+
+    def __init__(self, state):
+        self.state, self.known = state, {}
+
+    def new(self, threshold: int, word: str) -> bool:
+        at = (threshold, word)
+        if at not in self.known:
+            self.known[at] = self.state.containsKey(at)
+        if not self.known[at]:
+            self.known[at] = True
+            self.state.updateValue(at, (1,))
+            return True
+        return False
+
+    def clear(self) -> None:
+        if self.state.exists():
+            self.state.clear()
+        self.known = {}
+
+
+class Follower(StatefulProcessor):
+    """Keyed state of one chain of steps, see the module."""
+
+    def __init__(self, plan: tuple, span: int, on_fire: str, windows: bool):
+        self.plan, self.span, self.on_fire, self.windows = plan, span, on_fire, windows
+        self.slot = max(1000, span // 8)
+        self.kinds = any(kind == "distinct" for s in plan for kind, _ in s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chain = handle.getValueState("chain", "start long, at int, fired boolean, measures array<struct<n:long,total:double,kinds:long>>, slots array<long>")
+        self.waiting = handle.getMapState("waiting", "slot long", "rows binary")
+        self.seen = handle.getMapState("seen", "threshold int, word string", "n int")
+        self.events = handle.getListState("events", "step int, fired boolean, value double, event string")
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> _Open:
+        if not self.chain.exists():
+            return _Open()
+        start, at, fired, measures, slots = self.chain.get()
+        return _Open(start, at, fired, [tuple(m) for m in measures], list(slots))
+
+    def _save(self, o: _Open) -> None:
+        if o.start is None and not o.slots:
+            if self.chain.exists():
+                self.chain.clear()
+        else:
+            self.chain.update((o.start, o.at, o.fired, o.measures, o.slots))
+
+    def _wake(self, time: int) -> None:
+        self.handle.registerTimer(-(-time // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        new = defaultdict(list)
+        for r in rows:
+            if r["_t"] <= upto:
+                yield Row(kind="late", start=None, step=None, fired=False, value=None, event=r["_event"])
+            else:
+                flags = [[r[f"_f{i}_{j}"] for j in range(len(s))] for i, s in enumerate(self.plan)]
+                values = [[r[f"_v{i}_{j}"] for j in range(len(s))] for i, s in enumerate(self.plan)]
+                new[r["_t"] // self.slot].append((r["_t"], r["_o"], flags, values, r["_event"]))
+        if new:
+            o = self._load()
+            for slot, some in new.items():
+                held = self._waiting(slot) if slot in o.slots else []
+                first = min(r[0] for r in some)
+                if not held or first < min(r[0] for r in held):
+                    self._wake(first)
+                self.waiting.updateValue((slot,), (pickle.dumps(held + some),))
+            o.slots = sorted({*o.slots, *new})
+            self._save(o)
+
+    def _waiting(self, slot: int) -> list[tuple]:
+        return pickle.loads(bytes(self.waiting.getValue((slot,))[0]))
+
+    def _due(self, o: _Open, upto: int) -> list[tuple]:
+        """Waiting rows that the watermark has passed, in order; the rest waits on."""
+        due, slots = [], []
+        for slot in o.slots:
+            if slot * self.slot > upto:
+                slots.append(slot)
+                continue
+            rows = self._waiting(slot)
+            later = [r for r in rows if r[0] > upto]
+            due += [r for r in rows if r[0] <= upto]
+            if not later:
+                self.waiting.removeKey((slot,))
+                continue
+            slots.append(slot)
+            if len(later) < len(rows):
+                self.waiting.updateValue((slot,), (pickle.dumps(later),))
+                self._wake(min(r[0] for r in later))
+        o.slots = slots
+        return sorted(due, key=lambda r: r[:2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        o, seen, kept = self._load(), _Seen(self.seen), []
+        for t, _, flags, values, event in self._due(o, upto):
+            if o.start is not None and t >= o.start + self.span:
+                yield from self._closed(o, seen, kept)
+            opens = o.start is None
+            step, fired, value = self._feed(o, seen, t, flags, values)
+            if o.start is None:
+                continue
+            if opens and o.start + self.span > upto:
+                self._wake(o.start + self.span)
+            if fired:
+                yield Row(kind="fired", start=o.start, step=step, fired=True, value=value, event=event)
+            if self.windows:
+                kept.append((step, fired, value, event))
+        if o.start is not None and o.start + self.span <= upto:
+            yield from self._closed(o, seen, kept)
+        if kept:
+            self.events.appendList(kept)
+        self._save(o)
+
+    def _closed(self, o: _Open, seen: _Seen, kept: list[tuple]) -> Iterator[Row]:
+        if self.windows:
+            before = self.events.exists()
+            for rows in (self.events.get() if before else (), kept):
+                for step, fired, value, event in rows:
+                    yield Row(kind="window", start=o.start, step=step, fired=fired, value=value, event=event)
+            if before:
+                self.events.clear()
+            kept.clear()
+        o.start = None
+
+    def _feed(self, o: _Open, seen: _Seen, t: int, flags: list, values: list) -> tuple[int | None, bool, float | None]:
+        """(step completed, fires, its measure) of the next row."""
+        if o.start is None:
+            if not any(flags[0]):
+                return None, False, None
+            o.start, o.fired = t, False
+            self._next(o, seen, 0)
+        met = None
+        for j, (kind, least) in enumerate(self.plan[o.at]):
+            if not flags[o.at][j]:
+                continue
+            n, total, kinds = o.measures[j]
+            v = values[o.at][j]
+            n += 1
+            if kind == "distinct":
+                kinds += v is not None and seen.new(j, v)
+            elif kind != "count":
+                total += v if v is not None and v == v else 0.0
+            o.measures[j] = (n, total, kinds)
+            measure = float({"count": n, "distinct": kinds, "sum": total}.get(kind, total / n))
+            if met is None and measure >= least:
+                met = measure
+        if met is None:
+            return None, False, None
+        done, last = o.at, o.at == len(self.plan) - 1
+        fires = last and not (self.on_fire == "once" and o.fired)
+        o.fired |= last
+        if not (last and self.on_fire == "every"):
+            self._next(o, seen, 0 if last else o.at + 1)
+        return done, fires, met
+
+    def _next(self, o: _Open, seen: _Seen, at: int) -> None:
+        o.at, o.measures = at, [(0, 0.0, 0) for _ in self.plan[at]]
+        if self.kinds:
+            seen.clear()
+
+
+def tracked(
+    stream: DataFrame, keys: list[str], ts: str, order: str, dur: str, steps: list[Step], on_fire: str = "reset", windows: bool = False
 ) -> DataFrame:
-    """Firings of the chain, and with ``close_at_least`` windows of at least so many events as they close by timeout.
+    """``kind, <the event's columns>, window_start, step, fired, value``: firings, with ``windows`` the events of windows that close, and late rows.
 
-    ``stream`` needs a watermark on ``ts``. Append mode. What the watermark has not passed
-    at the end of a finite input stays in the state, as windows do that end later.
+    ``stream`` needs a watermark on ``ts``; rows without a time or of no step are left out
+    (and do not move the watermark). Append mode. State is in RocksDB, which is set for the session if nothing else was. What
+    the watermark has not passed at the end of a finite input stays in the state, as windows
+    do that end later; a query started again from its checkpoint goes on from there.
     """
-    span, plan = seconds(dur) * 1_000_000, plan_of(steps)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, chain = pickle.loads(state.get[0]) if state.exists else ([], None)
-        for t in frames:
-            rows += list(zip(t["_t"].tolist(), t["_id"], *rows_of(t, steps), strict=True))
-        upto = state.getCurrentWatermarkMs() * 1000
-        out, rows, chain = _advance(rows, chain, plan, span, on_fire, upto, key[0], close_at_least)
-        if rows or chain.start is not None:
-            state.update((pickle.dumps((rows, chain)),))
-            due = min([r[0] for r in rows] + ([chain.start + span] if chain.start is not None else []))
-            state.setTimeoutTimestamp(max(due // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            table = pd.DataFrame(out, columns=["key", "window_start", "fired_at", "event_id", "origin", "value", "window_events"])
-            for c in ("window_start", "fired_at"):
-                table[c] = pd.to_datetime(table[c], unit="us", utc=True)
-            yield table
-
-    ready = stream.where(F.col(ts).isNotNull()).select(
-        ts, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_k"), micros(ts).alias("_t"), F.col(order).cast("string").alias("_id"),
-        *inputs_of(steps),
+    named_apart(stream.columns, KIND, START, STEP, FIRED, VALUE)
+    spark = stream.sparkSession
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    # Only expressions of the time go on, without the watermark's mark on the column: Spark would drop late rows otherwise.
+    ready = stream.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
+        F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_k"), micros(ts).alias("_t"), F.col(order).alias("_o"),
+        F.to_json(F.struct(*stream.columns), _JSON).alias("_event"), *inputs_of(steps),
     )
-    return ready.groupBy("_k").applyInPandasWithState(run, OUTPUT, "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    follower = Follower(plan_of(steps), seconds(dur) * 1_000_000, on_fire, windows)
+    out = ready.groupBy("_k").transformWithState(follower, _OUT, "append", "eventTime")
+    event = F.from_json("event", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema]), _JSON)
+    return out.withColumn("event", event).select(KIND, "event.*", F.timestamp_micros("start").alias(START), STEP, FIRED, VALUE)
+
+
+def followed(rule: Rule, stream: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """``tracked`` for a whole rule; ``alerts_of`` makes alerts of its micro-batches."""
+    bound, steps = rules.bound(rule, stream, ts, order)
+    return tracked(bound, list(rule.keys), ts, order, rule.dur, steps, rule.on_fire, windows=bool(rule.close))
+
+
+def alerts_of(rule: Rule, batch: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """Alerts of a micro-batch of ``followed``, as ``rule.run`` gives them; for ``foreachBatch``. Windows close by timeout only: a stream has no end."""
+    windows = batch.where(F.col(KIND) == "window").drop(KIND).withColumn("close_reason", F.lit("timeout"))
+    return rules.told(rule, batch.where(F.col(KIND) == "fired").drop(KIND), windows, ts, order)
+
+
+def late_of(batch: DataFrame) -> DataFrame:
+    """Late events of a micro-batch, as they came."""
+    return batch.where(F.col(KIND) == "late").drop(KIND, START, STEP, FIRED, VALUE)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -150,33 +150,6 @@ def test_late_rows(spark):
         lateness.retained(df, "ts", "2d", "1d")
 
 
-@pytest.mark.parametrize("steps", [[Step("v > 2", 2)], [Step("v < 4", 1), Step("TRUE", 9, "sum", "v")]])
-def test_stream_equals_batch_up_to_the_watermark(spark, tmp_path, steps):
-    rows = [(i, T0 + timedelta(seconds=(i * 37) % 900 + i), "ab"[i % 2], i % 7) for i in range(120)]
-    shape = "event_id long, ts timestamp, k string, v long"
-    for part in range(4):
-        spark.createDataFrame(rows[part * 30 : part * 30 + 30], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    raw = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream = stateful.matched(lateness.watermarked(raw, "ts", "20m"), ["k"], "ts", "event_id", "5m", steps)
-    got = []
-    stateful.drain(stream, str(tmp_path / "cp"), lambda batch, _: got.extend(batch.collect()))
-    batch = match.firings(match.track(spark.createDataFrame(rows, shape), ["k"], "ts", "event_id", "5m", steps)).collect()
-    mark = max(r[1] for r in rows) - timedelta(minutes=20)
-    want = {(r.event_id, r.value) for r in batch if r.ts.replace(tzinfo=timezone.utc) <= mark}
-    assert {(int(r.event_id), r.value) for r in got} == want
-
-
-def test_stream_closes_by_timeout(spark, tmp_path):
-    shape = "event_id long, ts timestamp, k string"
-    rows = [(0, T0, "a"), (1, T0 + timedelta(seconds=30), "a"), (2, T0 + timedelta(hours=1), "b")]
-    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "in"))
-    raw = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
-    stream = stateful.matched(lateness.watermarked(raw, "ts", "1m"), ["k"], "ts", "event_id", "5m", [Step("TRUE", 5)], close_at_least=2)
-    got = []
-    stateful.drain(stream, str(tmp_path / "cp"), lambda batch, _: got.extend(batch.collect()))
-    assert [(r.origin, r.window_events, r.fired_at) for r in got] == [("close:timeout", 2, datetime(2024, 1, 1, 0, 5))]
-
-
 def test_revise_recomputes_touched_keys(spark):
     history = spark.createDataFrame([("a", 1), ("b", 5)], "k string, v int")
     late = spark.createDataFrame([("a", 2)], "k string, v int")
