@@ -32,7 +32,7 @@ _LONGEST_KEPT = 64
 class WordIds:
     """Token ids of texts as little-endian uint32 bytes; remembers up to ``most`` words, when full the half met first, which has the frequent ones."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -102,9 +102,13 @@ class WordIds:
         return out
 
 
+#: Words that a worker remembers; one of so many takes about 200 MB.
+REMEMBERED = 700_000
+
+
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -127,9 +131,9 @@ _PIECES = pa.schema(
 )
 
 
-def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
+def _cut(path: str, longest: int, remembered: int, most_bytes: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(path)
+        encode = word_ids(path, remembered)
         task = TaskContext.get().partitionId() << 32
         # The next number of each length.
         after = {1 << k: (k << 56) + task for k in range(longest.bit_length())}
@@ -159,10 +163,10 @@ def _cut(path: str, longest: int, most_bytes: int = 8 << 20):
     return run
 
 
-def packed(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048, remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset``: every token in exactly one piece.
 
-    ``longest`` is a power of two. Each document ends with id 1; a null text counts as
+    ``longest`` is a power of two; ``remembered`` bounds a worker's memory of words. Each document ends with id 1; a null text counts as
     empty and so has that one token. Repeated rows give their pieces once each, an empty
     table none. ``offset`` is 0, since a piece fills its sequence. A task that runs again on
     the same rows gives the same numbers; pack a written table, not a plan that draws anew.
@@ -170,7 +174,7 @@ def packed(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_cut(vocabulary, longest), schema)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_cut(vocabulary, longest, remembered), schema)
 
 
 def digest(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", longest: int = 2048) -> DataFrame:
