@@ -42,7 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences to train on: pieces of a power of two of token ids, with their checksums. A null text is one closing token."""
     text_batches(spark)
-    return packing.packed(docs, queries.VOCABULARY, longest=2048).withColumn("ids_crc32", F.crc32("ids"))
+    # Workers outlive the stage, so words are remembered by fewer than where packing is all there is to do.
+    return packing.packed(docs, queries.VOCABULARY, longest=2048, remembered=150_000).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
