@@ -5,16 +5,17 @@ paragraphs. It is trained here, on notices of each family with words dropped, sw
 from the corpus or cut off, against paragraphs of the corpus (a bounded sample) as the
 unknown class; a temperature fitted on held-out examples calibrates its probabilities. A
 family is reported only where one of its notices confirms it: the words of the notice have
-to stand in the paragraph to a set share. A paragraph is a line, or a run of lines without a
-blank one between that a notice may be wrapped over: the fewest that confirm it, scored from
-the notice's first pair of words to its last. Texts whose pairs of words confirm no notice
-cannot have a line or run that does, and are not looked at further.
+to stand in the paragraph to a set share. The paragraph is what the notice itself takes up,
+from its first pair of words to its last, in a line of any length or wrapped over lines
+without a blank one between: words around it do not weaken it. Texts whose pairs of words
+confirm no notice cannot have a stretch that does, and are not looked at further.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,60 +118,89 @@ def confirmed(tokens: list[str], family: str) -> bool:
     return False
 
 
-_PAIRS = {f: [(len(w := words(n)), set(zip(w, w[1:], strict=False))) for n in notices] for f, notices in NOTICES.items()}
+@dataclass(frozen=True)
+class Notice:
+    """A notice's pairs of words, how many of them confirm it, and within how many words they have to stand."""
+
+    family: str
+    pairs: frozenset[tuple[str, str]]
+    need: int
+    within: int
+
+
+def _notice(family: str, text: str) -> Notice:
+    w = words(text)
+    pairs = frozenset(zip(w, w[1:], strict=False))
+    return Notice(family, pairs, -int(-CONFIRM * len(pairs) // 1), 3 * len(w) // 2 + 4)
+
 
+_NOTICES = [_notice(f, n) for f, notices in NOTICES.items() for n in notices]
+_PAIRS = frozenset().union(*[n.pairs for n in _NOTICES])
 
-def _runs(lines: list[list[str]], length: int, pairs: set[tuple[str, str]]) -> Iterator[tuple[int, int, list[str]]]:
-    """First and last line, and words from the first to the last pair, of the shortest runs of two lines or more of a block that confirm a notice.
 
-    Where a notice of ``length`` words is wrapped, the lines between its first and last hold only words of it, and a comment mark each.
+def spans(tokens: list[str], block: list[int], notice: Notice) -> Iterator[tuple[int, int]]:
+    """Stretches of words, none overlapping, that confirm ``notice``: from its first pair to its last, within one block of lines.
+
+    Two ends go over the places of its pairs once, so a text of many notices costs no more than its length.
     """
-    tokens = [w for line in lines for w in line]
-    of = [i for i, line in enumerate(lines) for _ in line]
-    hits = [k for k, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in pairs]
-    for first in sorted({of[k] for k in hits}):
-        have, start, between = set(), None, 0
-        for k in hits:
-            if of[k] < first:
-                continue
-            last = of[k + 1]
-            between = sum(len(x) for x in lines[first + 1 : last])
-            if between > length + last - first:
-                break
-            start = k if start is None else start
-            have.add((tokens[k], tokens[k + 1]))
-            if len(have) >= CONFIRM * len(pairs):
-                if last > first:
-                    yield first, last, tokens[start : k + 2]
-                break
+    hits = [k for k, p in enumerate(zip(tokens, tokens[1:], strict=False)) if p in notice.pairs and block[k] == block[k + 1]]
+    held: Counter = Counter()
+    left = right = 0
+
+    def drop() -> None:
+        nonlocal left
+        p = tokens[hits[left]], tokens[hits[left] + 1]
+        held[p] -= 1
+        if not held[p]:
+            del held[p]
+        left += 1
+
+    while right < len(hits):
+        k = hits[right]
+        right += 1
+        held[tokens[k], tokens[k + 1]] += 1
+        while block[hits[left]] != block[k] or k + 2 - hits[left] > notice.within:
+            drop()
+        if len(held) < notice.need:
+            continue
+        while held[tokens[hits[left]], tokens[hits[left] + 1]] > 1 or len(held) > notice.need:
+            drop()
+        start, end = hits[left], k + 2
+        # The rest of the notice belongs to it, as far as its pairs are new.
+        while right < len(hits) and (p := (tokens[hits[right]], tokens[hits[right] + 1])) not in held and block[hits[right]] == block[start] and hits[right] + 2 - start <= notice.within:
+            held[p] += 1
+            end = hits[right] + 2
+            right += 1
+        yield start, end
+        held.clear()
+        left = right
 
 
 def findings(model: Model, text: str | None, least: float = 0.5) -> list[tuple[int, str, float]]:
-    """(line it begins at, family, probability) of each confirmed paragraph of a text."""
+    """(line it begins at, family, probability) of each confirmed notice of a text; one of a family for a line."""
     tokens = words(text or "")
-    have = set(zip(tokens, tokens[1:], strict=False))
-    able = [(f, length, pairs) for f, told in _PAIRS.items() for length, pairs in told if len(pairs & have) >= CONFIRM * len(pairs)]
+    met = _PAIRS.intersection(zip(tokens, tokens[1:], strict=False))
+    able = [n for n in _NOTICES if len(n.pairs & met) >= n.need]
     if not able:
         return []
-    raw = text.split("\n")
-    lines = [words(x) for x in raw]
-    out, taken = [], set()
-    for i, line in enumerate(lines):
-        if any(confirmed(line, f) for f in {f for f, _, _ in able}):
-            name, p = model.family(raw[i], least)
-            if name != UNKNOWN:
-                out.append((i, name, p))
-                taken.add((i, name))
-    begins = [i for i in range(len(raw)) if raw[i].strip() and not (i and raw[i - 1].strip())]
-    for begin in begins:
-        end = next((i for i in range(begin, len(raw)) if not raw[i].strip()), len(raw))
-        for family, length, pairs in able:
-            for first, last, span in _runs(lines[begin:end], length, pairs):
-                own = {(begin + i, family) for i in range(first, last + 1)}
-                p = float(model.probabilities(" ".join(span))[model.families.index(family)])
-                if p >= least and not own & taken:
-                    out.append((begin + first, family, p))
-                    taken |= own
+    line, block, blank = [], [], 0
+    for i, raw in enumerate(text.split("\n")):
+        blank += not raw.strip()
+        n = len(words(raw))
+        line += [i] * n
+        block += [blank] * n
+    out, taken, known = [], set(), {}
+    for notice in able:
+        at = model.families.index(notice.family)
+        for start, end in spans(tokens, block, notice):
+            said = " ".join(tokens[start:end])
+            if said not in known:
+                known[said] = model.probabilities(said)
+            p = float(known[said][at])
+            own = {(i, notice.family) for i in range(line[start], line[end - 1] + 1)}
+            if p >= least and not own & taken:
+                out.append((line[start], notice.family, p))
+                taken |= own
     return sorted(out)
 
 
