@@ -110,7 +110,7 @@ class Threshold:
 
 @dataclass
 class Open:
-    """A key between two batches: rows read, the open window, the step under way and its measures."""
+    """A key between two batches: the next row's number, the open window, the step under way and its measures."""
 
     rows: int = 0
     start: int | None = None
@@ -128,12 +128,16 @@ class Chains:
         self.key: object = object()
         self.open = Open()
 
-    def read(self, keys: list, cuts: list[int], times: np.ndarray, flags: list[list[np.ndarray]], values: list[list[np.ndarray | None]]):
-        """(window start, step, fires, measure) of each row as masked arrays; rows ``cuts[i]`` to ``cuts[i + 1]`` are of key ``keys[i]``."""
+    def read(self, keys: list, cuts: list[int], times: np.ndarray, flags: list[list[np.ndarray]], values: list[list[np.ndarray | None]], number: np.ndarray | None = None):
+        """(window start, step, fires, measure) of each row as masked arrays; rows ``cuts[i]`` to ``cuts[i + 1]`` are of key ``keys[i]``.
+
+        ``number`` counts the rows of a key, as ``prev`` does; gaps do not matter. Without it all rows are counted.
+        """
         n = len(times)
-        offset = self.open.rows if keys[0] == self.key else 0
-        number = np.arange(n) - np.repeat(cuts[:-1], np.diff(cuts))
-        number[: cuts[1]] += offset
+        if number is None:
+            number = np.arange(n) - np.repeat(cuts[:-1], np.diff(cuts))
+            number[: cuts[1]] += self.open.rows if keys[0] == self.key else 0
+        self.number = number.tolist()
         steps = [
             [Threshold(kind, least, f, v, number) for (kind, least), f, v in zip(s, fs, vs, strict=True)]
             for s, fs, vs in zip(self.plan, flags, values, strict=True)
@@ -150,23 +154,22 @@ class Chains:
 
     def _key(self, i: int, b: int, t: list[int], steps: list[list[Threshold]], opening: list[int]) -> None:
         o, first = self.open, i
-        base = o.rows - i  # a row's number is its place plus this
-        o.rows += b - i
+        o.rows = self.number[b - 1] + 1
         while True:
             if o.start is None:
                 i = opening[i]
                 if i >= b:
                     return
-                o.start, o.at, o.fired, o.begin, o.so_far = t[i], 0, False, base + i, []
+                o.start, o.at, o.fired, o.begin, o.so_far = t[i], 0, False, self.number[i], []
             end = bisect_left(t, o.start + self.span, i, b)
             self.windows.append((i, end, o.start))
-            i = self._window(i, end, b, steps, base)
+            i = self._window(i, end, b, steps)
             if end == b:
                 return
             o.start = None
             i = max(end, first)
 
-    def _window(self, i: int, end: int, b: int, steps: list[list[Threshold]], base: int) -> int:
+    def _window(self, i: int, end: int, b: int, steps: list[list[Threshold]]) -> int:
         """Follow the chain through rows ``i`` to ``end`` of the open window."""
         o, last, each = self.open, self.last, self.on_fire == "every"
         while i < end:
@@ -189,7 +192,7 @@ class Chains:
             o.fired |= o.at == last
             o.at = 0 if o.at == last else o.at + 1
             i = found + 1
-            o.begin, o.so_far = base + i, []
+            o.begin, o.so_far = self.number[i] if i < b else o.rows, []
         if end == b and i < end:
             ways = steps[o.at]
             held = o.so_far or [Measure() for _ in ways]

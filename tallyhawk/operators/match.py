@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tallyhawk.operators.jumps import NOT_NEW, Chains
 from tallyhawk.operators.windows import START, anchored, blocks, micros, named_apart, runs, seconds, unused
 
-STEP, FIRED, VALUE = "step", "fired", "value"
+STEP, FIRED, VALUE, CHAIN = "step", "fired", "value", "chain"
 
 
 @dataclass(frozen=True)
@@ -76,13 +76,13 @@ def plan_of(steps: list[Step]) -> tuple[tuple[tuple[str, float], ...], ...]:
     return tuple(tuple((t.measure, t.least) for t in s.thresholds) for s in steps)
 
 
-def inputs_of(steps: list[Step]) -> list[Column]:
-    """Flag and value of each threshold, as columns ``_f<step>_<threshold>`` and ``_v<step>_<threshold>``."""
+def inputs_of(steps: list[Step], of: str = "") -> list[Column]:
+    """Flag and value of each threshold, as columns ``_f<of><step>_<threshold>`` and ``_v<of><step>_<threshold>``."""
     out = []
     for i, s in enumerate(steps):
         for j, t in enumerate(s.thresholds):
-            out.append(F.coalesce(F.expr(t.flag), F.lit(False)).alias(f"_f{i}_{j}"))
-            out.append(F.expr(t.of).cast("string" if t.measure == "distinct" else "double").alias(f"_v{i}_{j}"))
+            out.append(F.coalesce(F.expr(t.flag), F.lit(False)).alias(f"_f{of}{i}_{j}"))
+            out.append(F.expr(t.of).cast("string" if t.measure == "distinct" else "double").alias(f"_v{of}{i}_{j}"))
     return out
 
 
@@ -105,56 +105,95 @@ def track(
     named_apart(df.columns, START, STEP, FIRED, VALUE)
     if len(steps) == 1 and steps[0].measure == "count":
         return _counted(df, keys, ts, order, dur, steps[0], on_fire, parts, hot)
+    chain = Chain(tuple(steps), dur, on_fire)
+    return track_all(df, keys, ts, order, [chain], parts).drop(CHAIN)
+
+
+@dataclass(frozen=True)
+class Chain:
+    """What ``track_all`` follows: steps in windows of ``dur``; of its rows all are told, those in a window, or those that fire."""
+
+    steps: tuple[Step, ...]
+    dur: str
+    on_fire: str = "reset"
+    tell: str = "all"
+
+
+def track_all(df: DataFrame, keys: list[str], ts: str, order: str, chains: list[Chain], parts: list[str] | None = None) -> DataFrame:
+    """``track`` for several chains of the same keys in one read: each row as often as a chain tells of it, with the chain's number in ``chain``."""
+    named_apart(df.columns, START, STEP, FIRED, VALUE, CHAIN)
     names, all_ = df.columns, unused(df.columns, "_row")
-    # The event's own columns travel as one struct, so none can clash with what the chain reads.
-    fields = [T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()), T.StructField(VALUE, T.DoubleType())]
+    # The event's own columns travel as one struct, so none can clash with what the chains read.
+    fields = [
+        T.StructField(CHAIN, T.IntegerType()), T.StructField(START, T.TimestampType()), T.StructField(STEP, T.IntegerType()), T.StructField(FIRED, T.BooleanType()),
+        T.StructField(VALUE, T.DoubleType()),
+    ]
     shape = T.StructType([T.StructField(all_, df.schema), *fields])
-    plan, span = plan_of(steps), seconds(dur) * 1_000_000
+    plans = [(plan_of(list(c.steps)), seconds(c.dur) * 1_000_000, c.on_fire) for c in chains]
+    tell = [c.tell for c in chains]
+    numbered = any(t.measure == "distinct" for c in chains for s in c.steps for t in s.thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chains = Chains(plan, span, on_fire)
+        readers = [Chains(*plan) for plan in plans]
         for batch in batches:
-            n = len(batch)
-            if not n:
+            if not len(batch):
                 continue
             keys, cuts = runs(batch.column("_k"))
-            column = lambda name, null: pc.fill_null(batch.column(name), null).to_numpy(zero_copy_only=False)
-            flags = [[column(f"_f{i}_{j}", False) for j in range(len(s))] for i, s in enumerate(plan)]
-            values = [
-                [None if kind == "count" else column(f"_v{i}_{j}", NOT_NEW) if kind == "distinct" else np.nan_to_num(column(f"_v{i}_{j}", 0.0), posinf=np.inf, neginf=-np.inf) for j, (kind, _) in enumerate(s)]
-                for i, s in enumerate(plan)
-            ]
-            start, step, fired, value = chains.read(keys, cuts, batch.column("_t").to_numpy(), flags, values)
-            told = [
-                pa.array(start[0], pa.int64(), mask=~start[1]).cast(pa.timestamp("us", "UTC")), pa.array(step[0], pa.int32(), mask=~step[1]),
-                pa.array(fired), pa.array(value[0], pa.float64(), mask=~value[1]),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=[all_, START, STEP, FIRED, VALUE])
-
-    told = _dealt(df, keys, ts, order, steps, parts, all_).mapInArrow(run, shape)
-    return told.select(*[F.col(f"{all_}.{c}") for c in names], START, STEP, FIRED, VALUE)
-
-
-def _dealt(df: DataFrame, keys: list[str], ts: str, order: str, steps: list[Step], parts: list[str] | None, all_: str) -> DataFrame:
-    """Rows dealt by key and sorted by time, as ``all_`` and what the chain reads.
+            times = batch.column("_t").to_numpy()
+            number = batch.column("_n").to_numpy() if numbered else None
+            column = lambda name, null: pc.fill_null(batch.column(name), null).to_numpy(zero_copy_only=False)  # noqa: E731,B023
+            for c, (reader, (plan, _, _)) in enumerate(zip(readers, plans, strict=True)):
+                rows = np.nonzero(column(f"_w{c}", False))[0]
+                if not len(rows):
+                    continue
+                begins = np.searchsorted(rows, cuts)
+                own = [k for k, s, e in zip(keys, begins, begins[1:], strict=False) if e > s]
+                own_cuts = [*np.unique(begins[:-1][np.diff(begins) > 0]).tolist(), len(rows)]
+                flags = [[column(f"_f{c}_{i}_{j}", False)[rows] for j in range(len(s))] for i, s in enumerate(plan)]
+                values = [
+                    [
+                        None if kind == "count" else column(f"_v{c}_{i}_{j}", NOT_NEW)[rows] if kind == "distinct"
+                        else np.nan_to_num(column(f"_v{c}_{i}_{j}", 0.0)[rows], posinf=np.inf, neginf=-np.inf)
+                        for j, (kind, _) in enumerate(s)
+                    ]
+                    for i, s in enumerate(plan)
+                ]
+                start, step, fired, value = reader.read(own, own_cuts, times[rows], flags, values, None if number is None else number[rows])
+                said = {"all": np.ones(len(rows), bool), "windows": start[1], "fired": fired}[tell[c]]
+                if not said.any():
+                    continue
+                told = [
+                    pa.array(np.full(said.sum(), c, np.int32)), pa.array(start[0][said], pa.int64(), mask=~start[1][said]).cast(pa.timestamp("us", "UTC")),
+                    pa.array(step[0][said], pa.int32(), mask=~step[1][said]), pa.array(fired[said]), pa.array(value[0][said], pa.float64(), mask=~value[1][said]),
+                ]
+                event = batch.column(0) if said.all() and len(rows) == len(batch) else batch.column(0).take(pa.array(rows[said]))
+                yield pa.RecordBatch.from_arrays([event, *told], names=[all_, CHAIN, START, STEP, FIRED, VALUE])
+
+    told = _dealt(df, keys, ts, order, chains, parts, all_).mapInArrow(run, shape)
+    return told.select(*[F.col(f"{all_}.{c}") for c in names], CHAIN, START, STEP, FIRED, VALUE)
+
+
+def _dealt(df: DataFrame, keys: list[str], ts: str, order: str, chains: list[Chain], parts: list[str] | None, all_: str) -> DataFrame:
+    """Rows dealt by key and sorted by time, as ``all_`` and what the chains read.
 
     A distinct value is told by the number of the key's row in which it stood before (-1: in
     none), so neither the values nor a set of them goes to Python. All windows here are of
     one key, so they share its exchange.
     """
-    ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for s in steps)).select(
-        F.struct(*[F.col(c) for c in df.columns]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*keys, *(parts or [])), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o"), *inputs_of(steps)
+    ofs = [F.coalesce(F.expr(" OR ".join(f"({s.when})" for s in c.steps)), F.lit(False)).alias(f"_w{i}") for i, c in enumerate(chains)]
+    inputs = [x for i, c in enumerate(chains) for x in inputs_of(list(c.steps), f"{i}_")]
+    ready = df.where(F.col(ts).isNotNull()).where(" OR ".join(f"({s.when})" for c in chains for s in c.steps)).select(
+        F.struct(*[F.col(c) for c in df.columns]).alias(all_), micros(ts).alias("_t"), F.to_json(F.struct(*keys, *(parts or [])), {"ignoreNullFields": "false"}).alias("_k"), F.col(order).alias("_o"), *ofs, *inputs
     ).repartition("_k")
-    kinds = [f"{i}_{j}" for i, s in enumerate(steps) for j, t in enumerate(s.thresholds) if t.measure == "distinct"]
-    counts = [f"_v{i}_{j}" for i, s in enumerate(steps) for j, t in enumerate(s.thresholds) if t.measure == "count"]
-    ready = ready.drop(*counts)
-    if not kinds:
+    of = lambda measure: [f"{c}_{i}_{j}" for c, x in enumerate(chains) for i, s in enumerate(x.steps) for j, t in enumerate(s.thresholds) if t.measure == measure]
+    ready = ready.drop(*[f"_v{at}" for at in of("count")])
+    if not of("distinct"):
         return ready.sortWithinPartitions("_k", "_t", "_o").drop("_o")
     ready = ready.withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("_t", "_o")).cast("long") - 1)
-    for at in kinds:
+    for at in of("distinct"):
         before = F.lag("_n", 1, -1).over(Window.partitionBy("_k", f"_f{at}", f"_v{at}").orderBy("_n"))
         ready = ready.withColumn(f"_v{at}", F.when(F.col(f"_f{at}") & F.col(f"_v{at}").isNotNull(), before))
-    return ready.sortWithinPartitions("_k", "_n").drop("_o", "_n")
+    return ready.sortWithinPartitions("_k", "_n").drop("_o")
 
 
 def slimmed(df: DataFrame, keep: list[str], steps: list[Step]) -> tuple[DataFrame, list[Step]]:

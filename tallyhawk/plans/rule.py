@@ -53,6 +53,8 @@ def run(
     for keys with very many rows: those of a single count in blocks, others wherever the key
     pauses for a whole window.
     """
+    if rule.close and rule.close_mode == "or" and not split:
+        return together([rule], events, ts, order, delay, end_reason, late_close)
     rows, steps = bound(rule, events, ts, order)
     keys, parts, hot = list(rule.keys), None, split and len(steps) == 1 and steps[0].measure == "count"
     if split and not hot:
@@ -115,10 +117,81 @@ def flat(found: DataFrame, *more: str | Column) -> DataFrame:
     return found.select("rule_name", "score", "entity_type", "entity_id", "origin", micros("fired_at").alias("fired_at_us"), F.round("measure", 4).alias("measure"), *more)
 
 
+def together(
+    rules: list[Rule], events: DataFrame, ts: str = "ts", order: str = "event_id", delay: str = "0s", end_reason: str | None = "eos", late_close: bool = True
+) -> DataFrame:
+    """Alerts of rules of the same keys over the same events, as ``run`` gives them, in one pass.
+
+    The events are dealt by key once, and one read follows the chains of all rules. Firings
+    and the rows of windows that a rule judges as they close then go through one
+    aggregation, in which a firing is a group of its own.
+    """
+    keys = list(rules[0].keys)
+    if any(list(r.keys) != keys for r in rules):
+        raise ValueError("rules told together have the same keys")
+    named = [c for c in events.columns if any(re.search(rf"\b{re.escape(c)}\b", r.close) for r in rules)]
+    own = [[_within(s, r.where) for s in r.steps] for r in rules]
+    rows, steps = match.slimmed(events, [*keys, ts, order, *named], [s for some in own for s in some])
+    at, chains = iter(steps), []
+    for r in rules:
+        chains.append(match.Chain(tuple(next(at) for _ in r.steps), r.dur, r.on_fire, "windows" if r.close else "fired"))
+    tracked = match.track_all(rows, keys, ts, order, chains)
+    chain, start, fires = F.col(match.CHAIN), F.col(START), [not r.close or r.close_mode == "or" for r in rules]
+
+    def by_rule(told: list[Column], only: list[bool] | None = None) -> Column:
+        out = None
+        for i, c in enumerate(told):
+            if only is None or only[i]:
+                out = F.when(chain == i, c) if out is None else out.when(chain == i, c)
+        return out if out is not None else F.lit(None)
+
+    closes = [bool(r.close) for r in rules]
+    ends = start + F.make_dt_interval(secs=by_rule([F.lit(seconds(r.dur)) for r in rules]))
+    if any(closes):
+        tracked = tracked.withColumn("close_reason", F.lit(end_reason).cast("string"))
+        if late_close:
+            marks = events.agg(*[F.max(F.when(F.expr(r.where), F.col(ts))).alias(f"_mark{i}") for i, r in enumerate(rules)])
+            mark = by_rule([F.col(f"_mark{i}") for i in range(len(rules))]) - F.make_dt_interval(secs=F.lit(seconds(delay)))
+            tracked = tracked.join(F.broadcast(marks)).withColumn("close_reason", F.when(ends <= mark, "timeout").otherwise(F.col("close_reason"))).drop(*marks.columns)  # one row
+        if any(re.search(r"\binterval_s\b", r.close) for r in rules):
+            tracked = match.with_interval(tracked, [match.CHAIN, *keys], ts, order)
+    firing = F.array(*[F.struct(F.lit("event").alias("kind"), F.monotonically_increasing_id().alias("one"))])
+    window = F.array(F.struct(F.lit("close").alias("kind"), F.lit(-1).cast("long").alias("one")))
+    none = F.array().cast("array<struct<kind:string,one:bigint>>")
+    kinds = F.concat(
+        F.when(F.col(match.FIRED) & chain.isin([i for i, f in enumerate(fires) if f]), firing).otherwise(none) if any(fires) else none,
+        F.when(chain.isin([i for i, c in enumerate(closes) if c]), window).otherwise(none) if any(closes) else none,
+    )
+    reason = ["close_reason"] if any(closes) else []
+    groups = tracked.withColumn("_k", F.explode(kinds)).groupBy(match.CHAIN, "_k.kind", "_k.one", *keys, START, *reason).agg(
+        F.max(ts).alias("last_event"), F.max(match.VALUE).alias("measure"), F.count_if(match.FIRED).alias("matches"),
+        F.coalesce(by_rule([F.expr(r.close or "FALSE") for r in rules], closes).cast("boolean"), F.lit(False)).alias("holds"),
+    )
+    event, armed = F.col("kind") == "event", by_rule([F.lit(r.close_mode == "or") for r in rules]) | (F.col("matches") > 0)
+    ended = F.col("close_reason") if reason else F.lit(None).cast("string")
+    kept = groups.where(event | (F.col("holds") & armed & ended.isNotNull()))
+    at_end = F.when(ended == "timeout", ends).otherwise(F.col("last_event"))
+    told = alerts.envelope(
+        kept, "", ("", by_rule([F.col(r.entity[1]).cast("string") for r in rules])), by_rule([F.lit(float(r.score)) for r in rules]), F.when(event, F.col("last_event")).otherwise(at_end),
+        F.when(event, "event").otherwise(F.concat(F.lit("close:"), ended)), measure=F.when(event, F.col("measure")), chain=chain,
+    )
+    return told.withColumn("rule_name", by_rule([F.lit(r.name) for r in rules])).withColumn("entity_type", by_rule([F.lit(r.entity[0]) for r in rules])).drop(match.CHAIN)
+
+
+def _within(step: Step, where: str) -> Step:
+    """``step`` over the events where ``where`` holds."""
+    if step.either:
+        return match.any_of(*[_within(t, where) for t in step.either])
+    return replace(step, when=f"({where}) AND ({step.when})")
+
+
 def run_all(rules: list[Rule], inputs: dict[str, DataFrame], names: list[str] | None = None, **options) -> DataFrame:
-    """Alerts of the rules (those of ``names``, if given), each on its input; several rules may share one."""
-    chosen = [r for r in rules if names is None or r.name in names]
-    return reduce(DataFrame.unionByName, [run(r, inputs[r.name], **options) for r in chosen])
+    """Alerts of the rules (those of ``names``, if given), each on its input; those that share an input and keys are read together."""
+    shared: dict[tuple, list[Rule]] = {}
+    for r in rules:
+        if names is None or r.name in names:
+            shared.setdefault((id(inputs[r.name]), r.keys), []).append(r)
+    return reduce(DataFrame.unionByName, [together(some, inputs[some[0].name], **options) for some in shared.values()])
 
 
 def ordered(reads: dict[str, set[str]]) -> list[str]:
