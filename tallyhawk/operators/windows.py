@@ -234,3 +234,34 @@ def sessions(df: DataFrame, keys: list[str], ts: str, gap: str, *aggregates: Col
 def trailing(keys: list[str], ts: str, dur: str):
     """The frame of a key's rows in the ``dur`` up to and including each row's time."""
     return Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-seconds(dur) * 1_000_000, 0)
+
+
+def trailing_counts(df: DataFrame, keys: list[str], ts: str, dur: str, count: str = "n", **distinct: str) -> DataFrame:
+    """``df`` with the number of a key's rows in the ``dur`` up to and including each row's time, and of distinct values of expressions.
+
+    ``distinct`` names each result and gives its expression; nulls are no value. Every row
+    enters at its time and leaves ``dur`` later, and a value enters where it did not stand
+    within ``dur`` before, and leaves where it does not within ``dur`` after, so the counts
+    are running sums: linear in the rows, however many a frame has. One shuffle by key.
+    Rows without a time are left out.
+    """
+    named_apart(df.columns, count.lower(), *(c.lower() for c in distinct))
+    span, all_ = seconds(dur) * 1_000_000, unused(df.columns, "_row")
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = df.where(F.col(ts).isNotNull()).repartition(*keys).select(
+        F.struct(*[F.col(c) for c in df.columns]).alias(all_), *[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], micros(ts).alias("_t"),
+        *[F.expr(e).alias(f"_v{i}") for i, e in enumerate(distinct.values())],
+    )
+    enters, leaves = [F.lit(1).alias("_c")], [F.lit(-1).alias("_c")]
+    for i in range(len(distinct)):
+        same, v = Window.partitionBy(*own, f"_v{i}").orderBy("_t"), F.col(f"_v{i}").isNotNull()
+        first = F.coalesce(F.col("_t") - F.lag("_t").over(same) > span, F.lit(True))
+        last = F.coalesce(F.lead("_t").over(same) - F.col("_t") > span, F.lit(True))
+        rows = rows.withColumn(f"_in{i}", (v & first).cast("int")).withColumn(f"_out{i}", (v & last).cast("int"))
+        enters.append(F.col(f"_in{i}").alias(f"_d{i}"))
+        leaves.append((-F.col(f"_out{i}")).alias(f"_d{i}"))
+    marks = F.array(F.struct(F.col("_t").alias("_at"), F.col(all_).alias("_own"), *enters), F.struct((F.col("_t") + span + 1).alias("_at"), F.lit(None).cast(df.schema).alias("_own"), *leaves))
+    upto = Window.partitionBy(*own).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.select(*own, F.explode(marks).alias("_m")).select(*own, "_m.*")
+    sums = [F.sum("_c").over(upto).alias(count), *[F.sum(f"_d{i}").over(upto).alias(c) for i, c in enumerate(distinct)]]
+    return told.select("_own", *sums).where(F.col("_own").isNotNull()).select("_own.*", count, *distinct)

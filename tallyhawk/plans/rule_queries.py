@@ -353,8 +353,8 @@ def f3_session(spark, sf):
 
 @query(f"SELECT * FROM (SELECT event_id, count(*) OVER t AS n, CAST(len(list_distinct(list(event_type) OVER t)) AS INTEGER) AS kinds FROM {E} WINDOW t AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW)) WHERE n >= 3")
 def f4_trailing(spark, sf):
-    frame = windows.trailing(["user_id"], "ts", "1d")
-    rows = events(spark, sf).select("event_id", F.count(F.lit(1)).over(frame).alias("n"), F.size(F.collect_set("event_type").over(frame)).alias("kinds"))
+    told = windows.trailing_counts(events(spark, sf), ["user_id"], "ts", "1d", kinds="event_type")
+    rows = told.select("event_id", "n", F.col("kinds").cast("int").alias("kinds"))
     return rows.where("n >= 3")
 
 
