@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyhawk.functions import scalars as fn
-from tallyhawk.operators import alerts, reconcile
+from tallyhawk.operators import alerts, match, reconcile, revise
 from tallyhawk.operators.match import Step
 from tallyhawk.operators.windows import micros
 from tallyhawk.plans import rule, rule_queries, sql
@@ -144,6 +144,25 @@ def i_stream_equals_batch(spark, sf):
     return out.select("event_id", "value", us("window_start"))
 
 
+_REVISED = [Step("event_type = 'view'", 1), Step("event_type IN ('click', 'error')", 40, "sum", "amount")]
+_ARRIVAL = f"SELECT event_id, ts, user_id, event_type, value AS amount, {_LATE.format(20 * 86400)} AS late FROM ({_ARRIVED})"
+_FIRES = f"SELECT event_id, {sql.us('window_start')} AS window_start_us, round(measure, 4) AS measure FROM {{}} WHERE fired"
+
+
+@query(
+    sql.chain(f"SELECT event_id, ts, user_id, event_type, amount FROM ({_ARRIVAL}) WHERE NOT coalesce(late, FALSE)", ["user_id"], "3d", _REVISED, name="a") + ", "
+    + sql.chain(f"SELECT event_id, ts, user_id, event_type, value AS amount FROM {E}", ["user_id"], "3d", _REVISED, name="b").removeprefix("WITH RECURSIVE ")
+    + f" SELECT 'retract' AS change, * FROM ({_FIRES.format('a')} EXCEPT {_FIRES.format('b')}) UNION ALL SELECT 'upsert', * FROM ({_FIRES.format('b')} EXCEPT {_FIRES.format('a')})"
+)
+def i5_revise(spark, sf):
+    """What late rows take back and add, against two runs over all rows."""
+    good, late = lateness.side_output(lateness.marked_late(_arrived(spark, sf), "ts", "arrival", "20d", "slot"))
+    own = [x.select("event_id", "ts", "user_id", "event_type", F.col("value").alias("amount")) for x in (good, late)]
+    tracked = match.track(own[0], ["user_id"], "ts", "event_id", "3d", _REVISED)
+    found = revise.revisions(tracked, own[1], ["user_id"], "ts", "event_id", "3d", _REVISED)
+    return found.select("change", "event_id", us("window_start"), F.round("value", 4).alias("measure"))
+
+
 _TIMED = rule_queries._OPEN.with_(name="stream_timeout", dur="2d")
 
 
