@@ -15,7 +15,7 @@ from tallyhawk.plans.core_queries import SOURCE, E, events, table, us
 from tallyhawk.plans.rule_queries import _FIRST, _MANY, view, view_sql
 from tallyhawk.sinks import writers
 from tallyhawk.sinks.writers import Sink
-from tallyhawk.streaming import lateness, stateful
+from tallyhawk.streaming import lateness, outputs, stateful
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +178,38 @@ def f9_stream_close(spark, sf):
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
+def _events_stream(spark, sf, delay: str):
+    shape = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = spark.readStream.schema(shape).parquet(f"{sf}/events*.parquet").select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return lateness.watermarked(raw, "ts", delay)
+
+
+@query(f"SELECT event_id, user_id FROM {E}")
+def g5_stream_dedup(spark, sf):
+    """Events that arrive twice on a stream, once each."""
+    base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
+    twice = _events_stream(spark, sf, "2d").unionByName(_events_stream(spark, sf, "2d"))
+    stateful.drain(outputs.once(twice, "event_id"), f"{base}/state", lambda batch, n: batch.select("event_id", "user_id").write.mode("overwrite").parquet(f"{base}/out/batch={n}"))
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@query(
+    f"SELECT * FROM (SELECT window_start_us, user_id, scan, row_number() OVER (PARTITION BY window_start_us ORDER BY scan DESC, user_id) AS rank FROM (SELECT {sql.us('time_bucket(INTERVAL 1 DAY, ts)')} AS window_start_us, user_id, count(DISTINCT k) AS scan FROM {E} WHERE k IS NOT NULL GROUP BY ALL HAVING count(DISTINCT k) >= 3) "
+    f"WHERE window_start_us + 86400000000 <= ((SELECT epoch_ms(max(ts)) FROM {E} WHERE k IS NOT NULL) - 2 * 86400000) * 1000) WHERE rank <= 2"
+)
+def f12_stream_top(spark, sf):
+    """The two widest scanners of every day that the watermark has passed: two stateful operators in one stream, ranked batch by batch."""
+    base = f"{stateful.shared_folder(spark)}/{uuid.uuid4()}"
+    counted = outputs.distinct_per_window(_events_stream(spark, sf, "2d"), "ts", "1d", ["user_id"], "k", "scan")
+
+    def each(batch, n):
+        first = outputs.top(batch.where("scan >= 3"), F.col("scan"), 2, "user_id")
+        first.select(us("window_start"), "user_id", "scan", F.col("rank").cast("bigint").alias("rank")).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    stateful.drain(counted, f"{base}/state", each)
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 _TURNS = 3
 _BY_TURN = f"SELECT event_id, ts, ((event_id * 7919) % 10007) * {_TURNS} // 10007 AS turn FROM {E}"
 
