@@ -2,10 +2,11 @@
 
 Alerts meet by rule, entity and origin. Within such a group each expected alert, in order of
 time and score, takes the nearest actual one not taken yet (of equally near ones the earlier,
-then the one of lower score). Both sides are one table dealt by key and sorted by time, read
-once: expected alerts wait for the next actual one, and actual ones that nobody took lie on
-a stack whose top is the nearest before. What is held is the waiting and the left-over
-alerts of one key, not the key's alerts.
+then the one of lower score). Both sides are one table dealt by key. A key with at most one
+alert on each side is paired by an aggregation. The others are sorted by time and read once:
+expected alerts wait for the next actual one, and actual ones that nobody took lie on a
+stack whose top is the nearest before. What is held is the waiting and the left-over alerts
+of one key, not the key's alerts.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhawk.operators.alerts import PREFIX
@@ -48,16 +49,18 @@ class _Pairing:
 
     def meet(self, t: int, scores: list) -> None:
         """Actual alerts of time ``t``, lowest score first."""
+        taken = 0
         for at, (e, score) in enumerate(self.waiting):
             if self.left and e - self.left[-1][0] <= t - e:
                 self.pairs.append((e, score, *self.left.pop()))
-            elif scores:
-                self.pairs.append((e, score, t, scores.pop(0)))
+            elif taken < len(scores):
+                self.pairs.append((e, score, t, scores[taken]))
+                taken += 1
             else:
                 self.waiting = self.waiting[at:]
                 return
         self.waiting = []
-        self.left += [(t, s) for s in reversed(scores)]
+        self.left += [(t, s) for s in reversed(scores[taken:])]
 
     def end(self) -> None:
         for e, score in self.waiting:
@@ -118,9 +121,15 @@ def reconcile(expected: DataFrame, actual: DataFrame, score_tolerance: float = S
         plain(side).select(*KEY, F.lit(name == "expected").alias("expected"), F.coalesce(F.unix_micros("at"), F.lit(0)).alias("t"), "score")
         for name, side in (("expected", expected), ("actual", actual))
     ]
-    dealt = sides[0].unionByName(sides[1]).repartition(*KEY).sortWithinPartitions(*KEY, "t", "expected", "score")
+    of_key = Window.partitionBy(*KEY)
+    counts = [F.count_if(c).over(of_key).alias(n) for n, c in (("_e", F.col("expected")), ("_a", ~F.col("expected")))]
+    dealt = sides[0].unionByName(sides[1]).repartition(*KEY).select("*", *counts)
+    alone = (F.col("_e") <= 1) & (F.col("_a") <= 1)
+    one = lambda c, side: F.max(F.when(F.col("expected") == side, F.col(c)))
+    single = dealt.where(alone).groupBy(*KEY).agg(one("t", True).alias("expected_at"), one("score", True).alias("expected_score"), one("t", False).alias("actual_at"), one("score", False).alias("actual_score"))
+    crowded = dealt.where(~alone).drop("_e", "_a").sortWithinPartitions(*KEY, "t", "expected", "score")
     shape = ", ".join(f"{k} string" for k in KEY) + ", expected_at long, expected_score double, actual_at long, actual_score double"
-    pairs = dealt.mapInArrow(_paired, shape)
+    pairs = single.unionByName(crowded.mapInArrow(_paired, shape))
     within = (F.abs(F.col("expected_score") - F.col("actual_score")) <= score_tolerance) & (F.abs(F.col("expected_at") - F.col("actual_at")) <= time_tolerance_s * 1e6)
     status = F.when(F.col("actual_at").isNull(), "missing").when(F.col("expected_at").isNull(), "unexpected").when(F.coalesce(within, F.lit(False)), "matched").otherwise("field_mismatch")
     times = [F.timestamp_micros(c).alias(c) for c in ("expected_at", "actual_at")]
