@@ -105,6 +105,8 @@ class Threshold:
         if (step := self.steps[low]) >= 0:
             place = self.rows[low + step]
             return (place, self.reached[low]) if place < end else None
+        if self.before[end] - low <= _NARROW:
+            return None
         return self.search(low, self.before[end], Measure(), begin)
 
 
