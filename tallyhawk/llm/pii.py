@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in native expressions only.
 
 Base entities (e-mail, IP, card and phone numbers in fixed formats) are the seeds. Every
-identifier-like token run with digits or an ``@`` is a candidate; the words around it and a
-``label=`` in front are its lexical patterns. Patterns and candidate strings form a graph:
+token with digits or an ``@`` is a candidate, and so are groups of digits with single blanks
+between them; of one that holds a base entity that entity itself, of one behind a ``label=``
+the rest. The words around it and the label are its lexical patterns. Patterns and candidate strings form a graph:
 a pattern's confidence in a kind is the share of its distinct strings trusted as that kind,
 a string's trust comes from the confident patterns it stands in, and a few rounds of both
 are joined and aggregated in Spark. Patterns that end confident, with enough different seeds
@@ -27,7 +28,9 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_CANDIDATE = r"(?<!\S)(?>\S*[0-9@])\S*+(?:\x20(?>\S*[0-9@])\S*+)*+"
+#: Groups of digits with single blanks between them (no address of four parts, and nothing but marks of the sentence behind), or one run with digits or an ``@``.
+_GROUP = r"(?!(?:[0-9]++\.){3}[0-9])[+(]?[0-9][0-9()./:-]*+(?![^\s,;!?\"'\]])"
+_CANDIDATE = rf"(?<!\S)(?:(?:[A-Za-z_-]{{2,40}}[=:])?+{_GROUP}(?:\x20{_GROUP})++|(?>\S*[0-9@])\S*+)"
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 _BLOCK = 128
 _EDGES = ".,;:!?()[]\"'"
@@ -111,24 +114,55 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may(text), kept).otherwise(F.array().cast(_SPAN))
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Identifier-like runs with their contexts and the kind of a base span that they meet, if any."""
+def _first(found: Column, kind: str) -> Column:
+    """The first match of a kind within a run, null if there is none or its check fails; told from the run alone, so that many runs and spans of a text never meet each other."""
+    pattern, may, holds = _CHECKS[kind]
+    none = F.lit(None).cast("struct<start:int,rank:int,end:int,kind:string>")
+
+    def place(said: Column) -> Column:
+        start = F.instr(found, said) - 1
+        return F.when(
+            (said != "") & holds(said),
+            F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.length(said)).cast("int").alias("end"), F.lit(kind).alias("kind")),
+        ).otherwise(none)
+
+    return F.when(may(found), _let(F.regexp_extract(found, pattern, 0), place)).otherwise(none)
+
+
+def _candidates(text: Column) -> Column:
+    """Identifier-like runs with their contexts and the kind of the fixed format within them, if any."""
+
+    def cut(m: Column, x: Column) -> Column:
+        """What of a run is the identifier: a base span within it, else what stands behind a label."""
+        inside = x["meets"].isNotNull()
+        skip = F.when(inside, x["meets"]["start"]).otherwise(F.length(x["label"]))
+        size = F.when(inside, x["meets"]["end"] - x["meets"]["start"]).otherwise(F.length(m["found"]) - F.length(x["label"]))
+        head = F.substr(m["found"], F.lit(1), skip)
+        label = F.when(inside, F.regexp_extract(head, r"([A-Za-z_-]{2,40}[=:])$", 1)).otherwise(x["label"])
+        return F.struct(
+            skip.alias("skip"), F.substr(m["found"], skip + 1, size).alias("piece"), label.alias("label"), x["meets"]["kind"].alias("kind"),
+            F.concat(F.right(m["before"], F.lit(60)), F.substr(head, F.lit(1), skip - F.length(label))).alias("left"),
+            F.concat(F.substr(m["found"], skip + size + 1), F.left(m["after"], F.lit(60))).alias("right"),
+        )
 
-    def describe(m: Column) -> Column:
-        core = F.ltrim(m["found"], F.lit(_EDGES))
-        start = m["start"] + F.length(m["found"]) - F.length(core)
-        core = F.rtrim(core, F.lit(_EDGES))
-        left = F.split(F.lower(F.substring(F.rtrim(m["before"]), -60, 60)), r"\s+", -1)
-        right = F.get(F.split(F.lower(F.ltrim(F.left(m["after"], F.lit(60)))), r"\s+", -1), F.lit(0))
+    def tell(m: Column, x: Column) -> Column:
+        bare = F.ltrim(x["piece"], F.lit(_EDGES))
+        start = m["start"] + x["skip"] + F.length(x["piece"]) - F.length(bare)
+        core = F.rtrim(bare, F.lit(_EDGES))
+        left = F.split(F.lower(F.rtrim(x["left"])), r"\s+", -1)
+        right = F.get(F.split(F.lower(F.ltrim(x["right"])), r"\s+", -1), F.lit(0))
         one, two = F.coalesce(F.element_at(left, -1), F.lit("")), F.coalesce(F.when(F.size(left) > 1, F.element_at(left, -2)), F.lit(""))
-        label = F.regexp_extract(m["found"], r"^([A-Za-z_-]{2,40}[=:])\S", 1)
         patterns = F.array(
             F.concat(F.lit("w1 "), one), F.concat(F.lit("w2 "), two, F.lit(" "), one),
-            F.concat(F.lit("wr "), one, F.lit(" _ "), right), F.concat(F.lit("lb "), F.lower(label)),
+            F.concat(F.lit("wr "), one, F.lit(" _ "), right), F.concat(F.lit("lb "), F.lower(x["label"])),
         )
         patterns = F.filter(patterns, lambda p: ~F.trim(p).isin("w1", "w2", "wr", "lb", "wr  _"))
-        meets = F.get(F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])), F.lit(0))
-        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), meets["kind"].alias("kind"), patterns.alias("patterns"))
+        return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("core"), x["kind"].alias("kind"), patterns.alias("patterns"))
+
+    def describe(m: Column) -> Column:
+        meets = F.get(F.array_sort(F.filter(F.array(*[_first(m["found"], k) for k in KINDS]), lambda b: b.isNotNull())), F.lit(0))
+        met = F.struct(meets.alias("meets"), F.regexp_extract(m["found"], r"^([A-Za-z_-]{2,40}[=:])\S", 1).alias("label"))
+        return _let(_let(met, lambda x: cut(m, x)), lambda x: tell(m, x))
 
     return F.when(text.rlike("[0-9@]"), F.transform(_located(text, _CANDIDATE), describe))
 
@@ -182,7 +216,7 @@ def located(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     base = rows.select("doc", "body", "row", *[base_spans(body, k).alias(k) for k in KINDS])
     base = base.select("doc", "body", "row", F.array_sort(F.concat(*KINDS)).alias("base_spans"))
     # Written once: what was found serves both the graph and the result.
-    base = written(base.select("doc", "row", "base_spans", _candidates(body, F.col("base_spans")).alias("found")))
+    base = written(base.select("doc", "row", "base_spans", _candidates(body).alias("found")))
     seen = base.where(F.col("found").isNotNull()).select(F.col("row").alias("at"), F.explode("found").alias("f")).select("at", "f.*")
     vouch = learn_patterns(seen, **learning)
     unknown = seen.where(F.col("kind").isNull()).drop("kind").withColumn("pattern", F.explode("patterns"))

@@ -1,6 +1,10 @@
 import hashlib
 import random
 import re
+import time
+
+from pii_fixture import planted
+from pyspark.sql import functions as F
 
 from tallyhawk.llm import pii
 
@@ -74,3 +78,32 @@ def test_columns_of_any_name_stay(spark):
     assert got.columns == docs.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((a, t and t.replace("a@b.cd", "<email>"), *rest)) for a, t, *rest in rows)
     assert pii.redacted(docs.limit(0)).count() == 0 and pii.digest(docs).count() == 4
+
+
+def test_planted_identifiers_and_decoys(spark):
+    """Seeds, formats that no pattern of the base knows, and numbers in other contexts: what is discovered, and how much of it is right."""
+    docs, hidden, decoys = planted(random.Random(5))
+    found = set()
+    for r in pii.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        found |= {(r.doc_id, k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)}
+    assert len(found & hidden) >= 0.9 * len(hidden)
+    wrong = {x for x in found if (x[0], x[2], x[3]) in decoys}
+    assert not wrong
+
+
+def test_runs_are_cut_at_base_spans(spark):
+    texts = [f"er{i} host 10.0.0.{i} 5559{i:03d}" for i in range(12)] + ["la mail=bob@x.org 10.0.0.9", "er 1234 5678 and 12", "tel=+1 200 555 1000 la"]
+    df = rows(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    got = {r.doc_id: [(c.core, c.kind, c.start, c.end) for c in r.c] for r in df.select("doc_id", pii._candidates(F.col("t")).alias("c")).collect()}
+    assert got[3][1:] == [("10.0.0.3", "ip", 9, 17), ("5559003", None, 18, 25)]
+    assert got[12] == [("bob@x.org", "email", 8, 17), ("10.0.0.9", "ip", 18, 26)]
+    assert got[13] == [("1234 5678", None, 3, 12), ("12", None, 17, 19)] and got[14] == [("+1 200 555 1000", "phone", 4, 19)]
+
+
+def test_long_texts_take_linear_time(spark):
+    """Many base spans, many candidates and one long run in a text."""
+    texts = ["10.0.0.1 a1 " * 20_000, "12 " * 60_000, "tel=" * 40_000 + "1", "x" * 200_000 + "@", "bob@x.org " * 20_000]
+    began = time.perf_counter()
+    got = {r.doc_id: r.n for r in pii.located(rows(spark, texts)).select(F.col("doc.doc_id").alias("doc_id"), F.size("base_spans").alias("n")).collect()}
+    assert [got[i] for i in range(5)] == [20_000, 0, 0, 0, 20_000]
+    assert time.perf_counter() - began < 90
