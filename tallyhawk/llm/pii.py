@@ -173,6 +173,12 @@ def _shaped(core: Column, kind: Column) -> Column:
     return F.when(kind == "email", F.contains(core, F.lit("@"))).otherwise(numeric)
 
 
+def _open(found: Column) -> Column:
+    """Is there a candidate without a kind that a pattern could give one?"""
+    none = lambda c: c["kind"].isNull() & (_shaped(c["core"], F.lit("email")) | _shaped(c["core"], F.lit("ip")))
+    return F.coalesce(F.exists(found, none), F.lit(False))
+
+
 def learn_patterns(occurrences: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.9) -> DataFrame:
     """``pattern, kind, confidence``: contexts that vouch for a kind.
 
@@ -216,7 +222,8 @@ def located(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     base = rows.select("doc", "body", "row", *[base_spans(body, k).alias(k) for k in KINDS])
     base = base.select("doc", "body", "row", F.array_sort(F.concat(*KINDS)).alias("base_spans"))
     # Written once: what was found serves both the graph and the result.
-    base = written(base.select("doc", "row", "base_spans", _candidates(body).alias("found")))
+    base = base.select("doc", "row", "base_spans", _candidates(body).alias("found"))
+    base = written(base.withColumn("open", _open(F.col("found"))))
     seen = base.where(F.col("found").isNotNull()).select(F.col("row").alias("at"), F.explode("found").alias("f")).select("at", "f.*")
     vouch = learn_patterns(seen, **learning)
     unknown = seen.where(F.col("kind").isNull()).drop("kind").withColumn("pattern", F.explode("patterns"))
@@ -226,9 +233,11 @@ def located(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         .groupBy("at", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
         .groupBy("at").agg(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind")).alias("new"))
     )
-    joined = base.join(new, F.col("row") == F.col("at"), "left")
+    # Only documents that may have discoveries meet them in a shuffle; the texts of the rest stay where they are.
+    joined = base.where("open").join(new, F.col("row") == F.col("at"), "left")
     spans = F.array_sort(F.concat("base_spans", F.coalesce(F.col("new"), F.array().cast(_SPAN))))
-    return joined.select("doc", "base_spans", spans.alias("spans"))
+    rest = base.where(~F.col("open")).select("doc", "base_spans", F.col("base_spans").alias("spans"))
+    return rest.unionByName(joined.select("doc", "base_spans", spans.alias("spans")))
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **learning) -> DataFrame:

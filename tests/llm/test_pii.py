@@ -107,3 +107,27 @@ def test_long_texts_take_linear_time(spark):
     got = {r.doc_id: r.n for r in pii.located(rows(spark, texts)).select(F.col("doc.doc_id").alias("doc_id"), F.size("base_spans").alias("n")).collect()}
     assert [got[i] for i in range(5)] == [20_000, 0, 0, 0, 20_000]
     assert time.perf_counter() - began < 90
+
+
+def test_texts_without_open_candidates_are_not_shuffled(spark):
+    """Long texts whose identifiers are all of a fixed format, or that have none, beside ones that wait for a discovery."""
+    rng = random.Random(4)
+    docs, hidden, _ = planted(rng)
+    long = [(10_000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=20_000)) + (" tel=+1 234 567 8901" if i % 2 else "")) for i in range(100)]
+    sc = spark.sparkContext
+    store, before = sc._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    sc.setJobGroup("open", "open")
+    try:
+        rows = {r.doc.doc_id: r for r in pii.located(spark.createDataFrame(docs + long, "doc_id long, text string")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("open") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    ran = [store.lastStageAttempt(s) for s in stages]
+    moved = sum(s.shuffleWriteBytes() for s in ran if s.status().toString() == "COMPLETE")
+    assert len(rows) == len(docs) + len(long)
+    assert all([tuple(s) for s in rows[i].base_spans] == [tuple(s) for s in rows[i].spans] == slow(text) for i, text in long)
+    found = {(i, s.kind, s.start, s.end) for i, r in rows.items() for s in r.spans}
+    assert hidden and hidden <= found
+    assert 0 < moved < sum(len(text) for _, text in long) / 4
