@@ -8,15 +8,18 @@ the same as alone; in training that window is chosen anew in every epoch. A word
 comes again within a window counts in the length but adds no second vector, so junk that
 repeats one word gathers no evidence.
 
-Fitting uses about ``rows`` labelled texts of each class, dealt by a hash of the id.
+Fitting uses about ``rows`` labelled texts of each class, dealt by a hash of the id. One task
+trains on them; the driver gets the model only, no text and none of what is derived from it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +80,9 @@ class _Text:
             sizes.append(np.bincount(w, minlength=k))
             names.append(b[:k])
             buckets.append(b[np.argsort(w, kind="stable")].astype(np.int32))
-        self.bucket, self.size = np.concatenate(buckets), np.concatenate(sizes)
-        self.start = np.concatenate(([0], np.cumsum(self.size)))
-        self.before = _before(np.concatenate(names))
+        self.bucket, self.size = np.concatenate(buckets), np.concatenate(sizes).astype(np.int32)
+        self.start = np.concatenate(([0], np.cumsum(self.size))).astype(np.int32)
+        self.before = _before(np.concatenate(names)).astype(np.int32)
 
     def window(self, weight: np.ndarray) -> tuple[np.ndarray, float]:
         if not len(self.bucket):
@@ -160,25 +163,32 @@ def train(texts: list[str], toxic: list[int], epochs: int = 14, dim: int = 8, ra
     return Model(weight[:size].astype(np.float32), scale, shift)
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["id"])
+    m = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    yield pa.RecordBatch.from_pydict({"weight": [m.weight.tobytes()], "scale": [m.scale], "shift": [m.shift]})
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", rows: int = 1500, longest: int = 100_000
 ) -> Model:
     """A model of ``labels.toxic``, learnt from about ``rows`` documents of each class among those of ``learn``.
 
     Texts of more than ``longest`` characters are scored like any other but not learnt from,
-    which bounds what the driver holds.
+    which bounds what the training task holds.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = F.lit(0.0)
     for r in known.groupBy("toxic").count().collect():
         share = F.when(F.col("toxic") == r.toxic, rows / r["count"]).otherwise(share)
-    ids = known.where(dealt(F.col("doc_id"), 5) < share).collect()
-    marks = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in ids], "id long, toxic int")
+    marks = known.where(dealt(F.col("doc_id"), 5) < share).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int"))
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") <= longest)
     # About 2 * rows marks, so the texts never move to meet them.
-    got = source.join(F.broadcast(marks), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()  # of an id's differing texts the least
-    got.sort(key=lambda r: r.id)
-    return train([r.text for r in got], [r.toxic for r in got])
+    got = source.join(F.broadcast(marks), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))  # of an id's differing texts the least
+    model = got.coalesce(1).mapInArrow(_trained, "weight binary, scale double, shift double").collect()
+    if not model:  # no text, so no task
+        return train([], [])
+    return Model(np.frombuffer(model[0].weight, np.float32), model[0].scale, model[0].shift)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

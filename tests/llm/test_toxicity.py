@@ -89,3 +89,18 @@ def test_table(spark):
     assert sorted(map(str, kept.collect())) == sorted(map(str, out.where("p < 0.7").drop("p").collect()))
     assert toxicity.scored(docs.limit(0), model).count() == 0
     assert toxicity.fit(docs.limit(0), labels.limit(0), F.lit(True)).score("x") < 0.01
+
+
+def test_texts_are_learnt_from_in_a_task_not_by_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def here(*_):
+        raise AssertionError("trained by the driver")
+
+    texts, toxic = corpus(120, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    want = toxicity.train(texts, toxic)
+    monkeypatch.setattr(toxicity, "train", here)
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert np.allclose(model.weight, want.weight, atol=1e-5) and abs(model.scale - want.scale) < 1e-3 and abs(model.shift - want.shift) < 1e-3
