@@ -48,9 +48,13 @@ def released(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A written table marked for broadcast if it has few enough rows, else left to a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def few(df: DataFrame, most: int = MOST_BROADCAST, bound: int | None = None) -> DataFrame:
+    """A written table marked for broadcast if it has few enough rows, else left to a shuffle.
+
+    It is counted unless ``bound``, which its rows are known not to pass, is few enough: a
+    count is a job, and of every job something stays in the driver.
+    """
+    return F.broadcast(df) if (bound is not None and bound <= most) or df.count() <= most else df
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

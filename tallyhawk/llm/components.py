@@ -56,8 +56,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 roots.join(step, "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
             )
         turn += 1
-        pa = few(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")))
-        pb = few(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")))
+        # Edges have two nodes at most each.
+        pa = few(parent.select(F.col("node").alias("a"), F.col("parent").alias("pa")), bound=2 * n)
+        pb = few(parent.select(F.col("node").alias("b"), F.col("parent").alias("pb")), bound=2 * n)
         left = written(_undirected(rows.join(pa, "a").join(pb, "b"), "pa", "pb"))
         for table in past:
             released(table)

@@ -85,15 +85,15 @@ def _part(digit: int) -> Column:
     return F.substring("place", 1 + 2 * digit, 2)
 
 
-def _narrow(docs: DataFrame, digit: int) -> DataFrame:
-    """Documents of each leaf in the 256th where ``rest`` is reached, with what of it is left before them."""
+def _narrow(docs: DataFrame, digit: int, leaves: int) -> DataFrame:
+    """Documents of each of so many ``leaves`` in the 256th where ``rest`` is reached, with what of it is left before them."""
     keys = list(LEVELS)
     sized = docs.withColumn("part", _part(digit))
     sums = sized.groupBy(*keys, "part").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest"))
     before = F.sum("sum").over(Window.partitionBy(*keys).orderBy("part")) - F.col("sum")
     ends = written(sums.withColumn("before", before).where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))))
     left = ends.select(*keys, "part", (F.col("rest") - F.col("before")).alias("left"))
-    return sized.join(few(left), [*keys, "part"]).drop("rest", "part").withColumnRenamed("left", "rest")
+    return sized.join(few(left, bound=leaves), [*keys, "part"]).drop("rest", "part").withColumnRenamed("left", "rest")
 
 
 def plan(slim: DataFrame, weights: dict[str, dict[str, int]], budget: Column, max_epochs: int, seed: int) -> DataFrame:
@@ -106,9 +106,10 @@ def plan(slim: DataFrame, weights: dict[str, dict[str, int]], budget: Column, ma
     leaves = slim.groupBy(*keys).agg(F.sum("tokens").alias("supply"))
     shares = budgets(written(leaves), weights, budget, max_epochs)
     shares = written(shares.select(*keys, F.expr("cast(share div supply as int)").alias("epochs"), F.expr("share % supply").alias("rest")))
-    docs = slim.join(few(shares.where("rest > 0")), keys).withColumn("place", _place(seed, F.col("epochs"), "doc_id")).where("tokens > 0")
+    n = shares.count()
+    docs = slim.join(few(shares.where("rest > 0"), bound=n), keys).withColumn("place", _place(seed, F.col("epochs"), "doc_id")).where("tokens > 0")
     for digit in (0, 1):
-        docs = _narrow(docs, digit)
+        docs = _narrow(docs, digit, n)
     order = Window.partitionBy(*keys).orderBy("place")
     start = F.sum("tokens").over(order.rangeBetween(Window.unboundedPreceding, 0)) - F.sum("tokens").over(Window.partitionBy(*keys, "place"))
     last = docs.withColumn("start", start).where(F.col("start") < F.col("rest"))

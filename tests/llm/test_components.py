@@ -32,3 +32,13 @@ def test_against_search(spark, monkeypatch, one_task):
 
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_small_tables_are_counted_once_a_round(spark, monkeypatch):
+    counted = []
+    count = type(spark.range(0)).count
+    monkeypatch.setattr(type(spark.range(0)), "count", lambda self: counted.append(count(self)) or counted[-1])
+    roots = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    left = [*counted]
+    assert count(roots.select("root").distinct()) == 1 and count(roots) == 41
+    assert left[0] == 40 and left[-1] == 0 and left == sorted(left, reverse=True)  # the edges left before each round, nothing else
