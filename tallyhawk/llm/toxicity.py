@@ -73,16 +73,30 @@ def _windows(sums: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[i
     return best, float(mean[best])
 
 
+class _Slabs:
+    """Arrays in blocks large enough to go back to the system after training; thousands of small ones would stay in a worker that lives on."""
+
+    def __init__(self):
+        self.left = np.empty(0, np.int32)
+
+    def keep(self, a: np.ndarray) -> np.ndarray:
+        if len(a) > len(self.left):
+            self.left = np.empty(max(1 << 23, len(a)), np.int32)
+        out, self.left = self.left[: len(a)], self.left[len(a) :]
+        out[:] = a
+        return out
+
+
 class _Text:
-    def __init__(self, text: str):
+    def __init__(self, text: str, slabs: _Slabs):
         buckets, sizes, names = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b, w, k in word_grams(text, _LEAST, _MOST, BITS):
             sizes.append(np.bincount(w, minlength=k))
             names.append(b[:k])
             buckets.append(b[np.argsort(w, kind="stable")].astype(np.int32))
-        self.bucket, self.size = np.concatenate(buckets), np.concatenate(sizes).astype(np.int32)
-        self.start = np.concatenate(([0], np.cumsum(self.size))).astype(np.int32)
-        self.before = _before(np.concatenate(names)).astype(np.int32)
+        self.bucket, self.size = slabs.keep(np.concatenate(buckets)), slabs.keep(np.concatenate(sizes))
+        self.start = slabs.keep(np.concatenate(([0], np.cumsum(self.size))))
+        self.before = slabs.keep(_before(np.concatenate(names)))
 
     def window(self, weight: np.ndarray) -> tuple[np.ndarray, float]:
         if not len(self.bucket):
@@ -111,7 +125,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 14, dim: int = 8, ra
     size = 1 << BITS
     if len(set(toxic)) < 2:  # nothing to tell apart: the share of the one class seen, none if nothing was
         return Model(np.zeros(size, np.float32), 0.0, 30.0 if len(y) and y[0] else -30.0)
-    docs = [_Text(t) for t in texts]
+    slabs = _Slabs()
+    docs = [_Text(t, slabs) for t in texts]
     rng = np.random.default_rng(seed)
     fit = rng.random(len(docs)) >= 0.2
     # First windows: by the log-odds of a bucket's document frequency in either class.
